@@ -19,7 +19,8 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     e = materialise(e, "edges")
     for _ in range(most):
         for large in (True, False):
-            both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.col("b").alias("a"), F.col("a").alias("b"))
+            turned = e.select(F.col("b").alias("a"), F.col("a").alias("b"))
+            both = e.unionByName(turned) if large else turned
             least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
             joined = both.join(least, "a")
             if large:
@@ -31,18 +32,10 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
             e = e.where("a != b").distinct()
         e = materialise(e, "edges")
         # Settled once each node hangs below one other at most, and none of those below a third.
-        ends = e.select(F.col("b").alias("id"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(e.select(F.col("a").alias("id"), F.lit(0).alias("below"), F.lit(1).alias("above")))
-        if ends.groupBy("id").agg(F.sum("below").alias("x"), F.max("above").alias("y")).where("x + y > 1").isEmpty():
+        below = e.select(F.col("b").alias("id"), F.lit(1).alias("x"), F.lit(0).alias("y"))
+        above = e.select(F.col("a").alias("id"), F.lit(0).alias("x"), F.lit(1).alias("y"))
+        if below.unionByName(above).groupBy("id").agg(F.sum("x").alias("x"), F.max("y").alias("y")).where("x + y > 1").isEmpty():
             break
-    else:
-                # Each node hangs below its smallest neighbour, and so do its other smaller neighbours.
-                e = joined.select(F.col("m").alias("a"), "b").unionByName(least.select(F.col("m").alias("a"), F.col("a").alias("b")))
-            e = e.where("a != b").distinct()
-        e = materialise(e, "edges")
-        now = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
     roots = e.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("component"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_digests
 from .near_duplicates import near_duplicates
+from .suffix_dedup import removal_digests
 from .token_counts import context_limits, length_histogram
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
@@ -31,6 +36,7 @@ def op10_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_near_duplicates": op3_near_duplicates,
     "op7_bpe": op7_bpe,
     "op10_token_lengths": op10_token_lengths,

@@ -7,10 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .audio import audio_digests
 from .bpe import encode_digests
+from .mixing import mixed
 from .near_duplicates import near_duplicates
 from .suffix_dedup import removal_digests
 from .token_counts import context_limits, length_histogram
+from .toxicity import toxicity_scores
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -27,10 +30,22 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_limits(length_histogram(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
 
@@ -38,7 +53,10 @@ def op10_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_near_duplicates": op3_near_duplicates,
+    "op5_mixing": op5_mixing,
+    "op6_audio": op6_audio,
     "op7_bpe": op7_bpe,
+    "op8_toxicity": op8_toxicity,
     "op10_token_lengths": op10_token_lengths,
 }
 

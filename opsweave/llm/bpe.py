@@ -24,7 +24,7 @@ from .common import U64, in_slices, mix, prefix_hash, slice_hash
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Pre-tokens of earlier batches whose merges a Python worker keeps.
-KEEP = 600_000
+KEEP = 400_000
 
 
 @functools.cache

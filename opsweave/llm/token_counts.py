@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import token_counts
+from .common import materialise
 
 #: Lengths in one block of the two-level suffix sums.
 BLOCK = 256
@@ -30,7 +31,7 @@ def context_limits(histogram: DataFrame) -> DataFrame:
     quantile (share of documents not longer). Suffix sums run within blocks of lengths; only one row
     for each block is summed in one place, so the work is bounded by the longest text, not by the documents.
     """
-    h = histogram.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    h = materialise(histogram, "lengths").withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     blocks = (

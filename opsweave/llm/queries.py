@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import warc
 from .audio import audio_digests
 from .bpe import encode_digests
+from .html_text import page_texts
 from .mixing import mixed
 from .near_duplicates import near_duplicates
 from .suffix_dedup import removal_digests
@@ -26,6 +28,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses_from_pages(table(spark, sf_dir, "pages")), keep=("page_id",))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
@@ -46,18 +52,24 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 def op10_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_limits(length_histogram(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_warc": op2_warc,
     "op3_near_duplicates": op3_near_duplicates,
     "op5_mixing": op5_mixing,
     "op6_audio": op6_audio,
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
+    "op9_html_text": op9_html_text,
     "op10_token_lengths": op10_token_lengths,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE}

@@ -33,7 +33,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *key: str, rows: int = 0) -> DataFrame:
+def spread(df: DataFrame, *key: str) -> DataFrame:
     """Deal rows out by key over as many partitions as shuffles have."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
 

@@ -23,14 +23,17 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialise, mix, powers, prefix_hash, slice_hash
+from .common import U64, materialise, mix, powers, prefix_hash, slice_hash, spread
 
 #: Bytes of the rolling hash; starts that share a trigger at most.
-GRAM, REACH = 16, 192
+GRAM, REACH = 16, 256
 _LOCAL = 20
+#: Dictionary entries with one parse suffix that are compared in one place; more are dealt out, and what stays single meets again.
+TOGETHER = 2048
 
 
 def _chunks(n: int, length: int, step: int = 1 << 19):
@@ -79,16 +82,46 @@ _BASE2 = 0xD6E8FEB86659FD93
 _INVERSE2 = pow(_BASE2, -1, 1 << 64)
 
 
-def string_ranks(data: np.ndarray, first: int, count: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit ranks of the strings at count starts from first on: dictionary suffix and parse suffix taken together."""
-    part = data[first : first + count - 1 + length]
-    a, b = np.arange(count), np.arange(count) + length
-    one = slice_hash(prefix_hash(part), a, b)
-    h = _second(part)
-    two = (h[b] - h[a]) * powers(_INVERSE2, len(part))[a]
+def string_ranks(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit ranks of the strings that start at the given places: dictionary suffix and parse suffix taken together."""
+    one = slice_hash(prefix_hash(data), at, at + length)
+    h = _second(data)
+    two = (h[at + length] - h[at]) * powers(_INVERSE2, len(data))[at]
     return mix(one, 11), mix(two, 12)
 
 
+def _suffix_order(entries: pd.DataFrame, length: int) -> pd.DataFrame:
+    """Suffixes of dictionary entries in order: equal neighbours are repeats.
+
+    Returns spans (doc_id, start, stop) of starts found repeated, for entries that occur once; and for entries of parse
+    suffixes that are dealt out (many), ranks of what can still meet an equal: single ones, and one of each repeated string.
+    """
+    n = entries["n"].to_numpy(np.int64)
+    size = entries["bytes"].map(len).to_numpy(np.int64)
+    data = np.frombuffer(b"".join(entries["bytes"]), np.uint8)
+    entry = np.repeat(np.arange(len(n)), n)
+    within = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
+    r1, r2 = string_ranks(data, (np.cumsum(size) - size)[entry] + within, length)
+    order = np.lexsort((r2, r1))
+    same = (r1[order[1:]] == r1[order[:-1]]) & (r2[order[1:]] == r2[order[:-1]])
+    twice = np.zeros(len(order), bool)
+    twice[order] = np.append(same, False) | np.append(False, same)
+    first = np.zeros(len(order), bool)
+    first[order] = np.append(True, ~same)
+    alone, many, doc = entries["alone"].to_numpy(bool)[entry], entries["many"].to_numpy(bool)[entry], entries["doc_id"].to_numpy(np.int64)[entry]
+    start = entries["start"].to_numpy(np.int64)[entry] + within
+    hit = twice & alone
+    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    # A run of starts ends with its entry.
+    fresh = np.append(within == 0, True)
+    begins = np.flatnonzero((edge[:-1] == 1) | hit & fresh[:-1])
+    ends = np.flatnonzero(hit & ((edge[1:] == -1) | fresh[1:]))
+    spans = pd.DataFrame({"doc_id": doc[begins], "start": start[begins], "stop": start[ends] + length})
+    go = many & (first & (twice | ~alone) | ~twice & alone)
+    rest = pd.DataFrame({"doc_id": doc[go], "start": start[go], "alone": (alone & ~twice)[go], "r1": r1[go].view(np.int64), "r2": r2[go].view(np.int64)})
+    return pd.concat([spans, rest]).astype({"alone": "boolean", "stop": "Int64", "r1": "Int64", "r2": "Int64"})
+
+
 def parse(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, start, n (starts), core, context: a row for each phrase of each text."""
 
@@ -120,30 +153,58 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     spans = whole.select("doc_id", "start", (F.col("start") + F.col("n") - 1 + length).alias("stop"))
 
     # Entries that share their parse suffix with others, if one of them occurs once: suffix by suffix.
-    apart = entry.join(per_core.where("entries > 1 and rarest = 1").select("core"), "core", "left_semi").select("at.doc_id", "at.start", "at.n", (F.col("times") == 1).alias("alone"))
-    listed = apart.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "alone")).alias("parts"))
-    texts = docs.join(listed.hint("shuffle_hash"), "doc_id")
+    chunks = F.ceil(F.col("entries") / TOGETHER)
+    some = per_core.where("entries > 1 and rarest = 1").select("core", chunks.alias("chunks"))
+    apart = entry.join(some, "core").select("at.doc_id", "at.start", "at.n", (F.col("times") == 1).alias("alone"), "core", F.pmod(F.xxhash64("context"), F.col("chunks")).alias("chunk"), (F.col("chunks") > 1).alias("many"))
+    listed = apart.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "alone", "core", "chunk", "many")).alias("parts"))
+    texts = packed(docs).join(listed.hint("shuffle_hash"), "doc_id")
 
-    def suffixes(batches):
+    def contexts(batches):
+        for batch in batches:
+            rows = []
+            for doc, text, parts in zip(batch["doc_id"].tolist(), batch["packed"].tolist(), batch["parts"].tolist(), strict=True):
+                data = unpack(text)
+                rows += [(doc, p["start"], p["n"], p["alone"], p["core"], p["chunk"], p["many"], data[p["start"] : p["start"] + p["n"] - 1 + length]) for p in parts]
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "n", "alone", "core", "chunk", "many", "bytes"])
+
+    def ordered(batches):
+        held = None
         for batch in batches:
-            for doc, text, parts in zip(batch["doc_id"].tolist(), batch["text"].tolist(), batch["parts"].tolist(), strict=True):
-                data = np.frombuffer((text or "").encode(), np.uint8)
-                rows = [(p["start"], p["n"], p["alone"], *string_ranks(data, p["start"], p["n"], length)) for p in parts]
-                yield pd.DataFrame({
-                    "doc_id": doc,
-                    "start": np.concatenate([np.arange(s, s + n, dtype=np.int32) for s, n, *_ in rows]),
-                    "alone": np.concatenate([np.full(n, alone) for _, n, alone, *_ in rows]),
-                    "r1": np.concatenate([r[3] for r in rows]).view(np.int64),
-                    "r2": np.concatenate([r[4] for r in rows]).view(np.int64),
-                })
-
-    ranked = materialise(texts.select("doc_id", "text", "parts").mapInPandas(suffixes, "doc_id long, start int, alone boolean, r1 long, r2 long"), "suffixes")
-    twice = ranked.groupBy("r1", "r2").agg(F.count("*").alias("c")).where("c > 1").select("r1", "r2")
-    single = ranked.where("alone").join(twice, ["r1", "r2"], "left_semi")
-    spans = spans.unionByName(single.select("doc_id", "start", (F.col("start") + length).alias("stop")))
+            if held is not None:
+                batch = pd.concat([held, batch], ignore_index=True)
+            key = batch[["core", "chunk"]].to_numpy()
+            cut = int(np.flatnonzero((key != key[-1]).any(axis=1)).max(initial=-1)) + 1 if len(batch) else 0
+            held = batch.iloc[cut:]
+            if cut:
+                yield _suffix_order(batch.iloc[:cut], length)
+        if held is not None and len(held):
+            yield _suffix_order(held, length)
+
+    dictionary = texts.select("doc_id", "packed", "parts").mapInPandas(contexts, "doc_id long, start long, n long, alone boolean, core long, chunk long, many boolean, bytes binary")
+    dealt = spread(dictionary, "core", "chunk").sortWithinPartitions("core", "chunk")
+    ranked = materialise(dealt.mapInPandas(ordered, "doc_id long, start long, stop long, alone boolean, r1 long, r2 long"), "suffixes")
+    open_ = ranked.where("r1 is not null")
+    twice = open_.groupBy("r1", "r2").agg(F.count("*").alias("c")).where("c > 1").select("r1", "r2")
+    single = open_.where("alone").join(twice, ["r1", "r2"], "left_semi")
+    spans = spans.unionByName(ranked.where("r1 is null").select("doc_id", "start", "stop")).unionByName(single.select("doc_id", "start", (F.col("start") + length).alias("stop")))
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
+def unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, packed: texts as compressed UTF-8, as they travel between executors."""
+
+    @F.pandas_udf("binary")
+    def pack(texts: pd.Series) -> pd.Series:
+        c = zstandard.ZstdCompressor(level=1)
+        return texts.map(lambda t: c.compress((t or "").encode()))
+
+    return docs.select("doc_id", pack(F.col("text")).alias("packed"))
+
+
 def merged(spans) -> np.ndarray:
     """Sorted, disjoint (start, stop) rows from any number of overlapping or touching ones."""
     if spans is None or not len(spans):
@@ -173,18 +234,18 @@ def removal_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Null texts are empty. doc_id identifies a document; without one, or empty, nothing is removed.
     """
     source, spans = _with_spans(docs, doc_id, text, length)
-    joined = source.join(spans.hint("shuffle_hash"), "doc_id", "left")
+    joined = packed(source).join(spans.hint("shuffle_hash"), "doc_id", "left")
 
     def run(batches):
         for batch in batches:
             out = []
-            for doc, t, s in zip(batch["doc_id"], batch["text"].tolist(), batch["spans"].tolist(), strict=True):
-                data, cut = (t or "").encode(), merged(s)
+            for doc, t, s in zip(batch["doc_id"], batch["packed"].tolist(), batch["spans"].tolist(), strict=True):
+                data, cut = unpack(t), merged(s)
                 kept = without(data, cut)
                 out.append((doc, len(data), len(data) - len(kept), len(cut), hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.select("doc_id", "text", "spans").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("doc_id", "packed", "spans").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:

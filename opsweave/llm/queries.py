@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,7 @@ from .bpe import encode_digests
 from .html_text import page_texts
 from .mixing import mixed
 from .near_duplicates import near_duplicates
+from .neighbours import nearest
 from .suffix_dedup import removal_digests
 from .token_counts import context_limits, length_histogram
 from .toxicity import toxicity_scores
@@ -36,6 +38,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -60,16 +66,22 @@ def op10_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_limits(length_histogram(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_nearest": op4_nearest,
     "op5_mixing": op5_mixing,
     "op6_audio": op6_audio,
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_html_text": op9_html_text,
     "op10_token_lengths": op10_token_lengths,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE}

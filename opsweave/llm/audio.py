@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices
+from .common import in_slices, kept_id
 
 #: Format tags of WAVE files (fixed values).
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
@@ -177,5 +177,5 @@ def audio_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             out.insert(0, "doc_id", ids.reset_index(drop=True))
             yield out
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    source = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return kept_id(source.mapInPandas(run, "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"))

@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, in_slices, mix, prefix_hash, slice_hash
+from .common import U64, in_slices, kept_id, mix, prefix_hash, slice_hash
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Pre-tokens of earlier batches whose merges a Python worker keeps.
@@ -322,7 +322,8 @@ def encode_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
                 sums[i][1].update(code.decode(ids).tobytes())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": count, "ids_sha256": [a.hexdigest() for a, _ in sums], "decoded_sha256": [b.hexdigest() for _, b in sums]})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    source = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return kept_id(source.mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:

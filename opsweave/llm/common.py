@@ -38,6 +38,11 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
 
 
+def kept_id(out: DataFrame, column: str = "doc_id") -> DataFrame:
+    """out with an id that went through Python as text (null ids would make it a float there) as a number again."""
+    return out.withColumn(column, out[column].cast("long"))
+
+
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     """Finaliser of splitmix64 (public domain), on unsigned 64-bit arrays."""
     h = h + U64((seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept_id
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 INVISIBLE_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -260,5 +262,5 @@ def page_texts(pages: DataFrame, page_id: str = "page_id", markup: str = "html")
             text = [render(x) for x in batch["html"].tolist()]
             yield pd.DataFrame({"page_id": batch["page_id"], "text": text, "n_lines": [x.count("\n") + bool(x) for x in text], "text_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in text]})
 
-    source = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(markup).cast("string").alias("html"))
-    return source.mapInPandas(run, "page_id long, text string, n_lines long, text_sha256 string")
+    source = pages.select(F.col(page_id).cast("string").alias("page_id"), F.col(markup).cast("string").alias("html"))
+    return kept_id(source.mapInPandas(run, "page_id string, text string, n_lines long, text_sha256 string"), "page_id")

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialise, mix, powers, prefix_hash, slice_hash, spread
+from .common import U64, kept_id, materialise, mix, powers, prefix_hash, slice_hash, spread
 
 #: Bytes of the rolling hash; starts that share a trigger at most.
 GRAM, REACH = 16, 256
@@ -245,7 +245,8 @@ def removal_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 out.append((doc, len(data), len(data) - len(kept), len(cut), hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.select("doc_id", "packed", "spans").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = joined.select(F.col("doc_id").cast("string").alias("doc_id"), "packed", "spans")
+    return kept_id(joined.mapInPandas(run, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:

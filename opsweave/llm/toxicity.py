@@ -12,8 +12,6 @@ labels of unknown documents are left out.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -138,13 +136,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: int = 2, thres
     """doc_id, held_out, score, predicted: a row for each row of docs; rows of fold held_out are not learnt from."""
     model = train(*training_rows(docs, labels, held_out))
 
-    def run(batches):
-        for batch in batches:
-            score = scores(batch["text"].tolist(), model)
-            held = [x is not None and zlib.crc32(str(x).encode()) % 4 == held_out for x in batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": held, "score": score, "predicted": (score >= threshold).astype(np.int32)})
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(scores(texts.tolist(), model))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    doc_id = F.col("doc_id").cast("long")
+    scored = docs.select(doc_id.alias("doc_id"), F.coalesce(fold(doc_id) == held_out, F.lit(False)).alias("held_out"), score(F.col("text").cast("string")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:

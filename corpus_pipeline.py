@@ -26,8 +26,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of each group linked by five-word shingles at a similarity of 0.8: that of the smallest doc_id."""
-    kept = near_duplicates(docs, size=5).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == F.col("kept_id"), "left_semi")
+    kept = near_duplicates(docs, size=5).where("kept").select(F.col("doc_id").alias("__kept"))
+    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("__kept"), "left_semi")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 1. Each text becomes a set of word shingles, a fingerprint of that set and a MinHash signature. Documents
    with equal sets form one class; only the smallest doc_id of a class goes on.
-2. Classes that share a band of the signature meet in a bucket. A bucket pairs its members with a leader;
-   what stays unlinked goes through more leaders, and at last through every pair of members whose components
+2. Classes that share a band of the signature meet in a bucket. A bucket pairs its members with a leader, the one that
+   meets most others in all its buckets (the original of a group of copies, if it is there); what stays unlinked goes through more leaders, and at last through every pair of members whose components
    still differ. Large buckets are then divided by a second band, so that no bucket's pairs grow with the
    square of a common passage. No bucket is capped and no pair that could still join components is left out.
-3. Pairs are compared one batch of signature values after another. A pair goes as soon as the posterior
-   probability that its similarity reaches the threshold is below miss (BayesLSH; uniform prior).
+3. Pairs are compared one batch of signature values after another, the first batch (one bit of each of 128 values) while
+   buckets are joined. A pair goes as soon as the posterior probability that its similarity reaches the threshold is
+   below miss (BayesLSH; uniform prior).
 4. Survivors are confirmed on the full shingle sets; components of the links give the groups.
 
 Texts: A-Z are lower-cased, words are runs of [^\\x20\\x09-\\x0D]. Null and empty texts have the empty set and are
@@ -20,7 +21,7 @@ import functools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, materialise, mix, word_hashes
@@ -28,6 +29,8 @@ from .components import connected_components
 
 #: Signature values compared at a time by the Bayesian test.
 BATCH = 16
+#: Values of which the first test compares one bit each.
+BITS = 128
 #: Leaders that a bucket compares its members with before all remaining pairs are looked at.
 LEADERS = 8
 #: Buckets with more members than this are divided by a second band before all their pairs are looked at.
@@ -70,15 +73,15 @@ def signature(shingles: np.ndarray, count: int, step: int = 4096) -> np.ndarray:
 
 
 @functools.cache
-def least_matches(threshold: float, count: int, miss: float) -> np.ndarray:
+def least_matches(threshold: float, count: int, miss: float, batch: int = BATCH, values: int = 256) -> np.ndarray:
     """For each number n of compared values, the fewest matches at which P(similarity >= threshold) >= miss.
 
-    Signature values are compared by their low byte, so different ones agree once in 256.
+    Signature values are compared by a hash of them to `values` values, so different ones agree once in so many.
     """
     s = (np.arange(4000) + 0.5) / 4000
-    agree = s + (1 - s) / 256
+    agree = s + (1 - s) / values
     out = np.zeros(count + 1, np.int64)
-    for n in range(BATCH, count + 1, BATCH):
+    for n in range(batch, count + 1, batch):
         for m in range(n + 1):
             logs = m * np.log(agree) + (n - m) * np.log1p(-agree)
             weight = np.exp(logs - logs.max())
@@ -110,7 +113,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (fingerprint of the set), sig (low bytes of the signature), keys (of the bands)."""
+    """doc_id, n_shingles, f1, f2 (fingerprint of the set), sig (low bytes of the signature), b1, b2 (a bit of each value), keys (of the bands)."""
 
     def run(batches):
         for batch in batches:
@@ -118,70 +121,87 @@ def sketches(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, row
             for doc, t in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
                 s = shingle_set(t or "", size)
                 if not len(s):
-                    out.append((doc, 0, 0, 0, b"", []))
+                    out.append((doc, 0, 0, 0, b"", 0, 0, []))
                     continue
                 sig = signature(s, bands * rows)
                 h = np.arange(bands, dtype=U64)
                 for column in sig.reshape(bands, rows).T:
                     h = mix(h * U64(0x9E3779B97F4A7C15) + column)
                 f1, f2 = (int(np.add.reduce(mix(s, k)).view(np.int64)) for k in (5, 6))
-                out.append((doc, len(s), f1, f2, sig.astype(np.uint8).tobytes(), h.view(np.int64)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "f1", "f2", "sig", "keys"])
+                b1, b2 = np.packbits((sig[:BITS] >> np.uint32(8)).astype(np.uint8) & 1).view(np.int64).tolist()
+                out.append((doc, len(s), f1, f2, sig.astype(np.uint8).tobytes(), b1, b2, h.view(np.int64)))
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "f1", "f2", "sig", "b1", "b2", "keys"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    return source.mapInPandas(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary, keys array<long>")
+    return source.mapInPandas(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary, b1 long, b2 long, keys array<long>")
+
+
+def _able(percent: int, miss: float) -> Column:
+    """Whether two members (id, n_shingles, b1, b2, component; o_ for the other) can be similar: sizes, and the first batch of the test."""
+    differ = BITS - int(least_matches(percent / 100, BITS, miss, BITS, 2)[BITS])
+    sizes = 100 * F.least("n_shingles", "o_n_shingles") >= percent * F.greatest("n_shingles", "o_n_shingles")
+    bits = F.bit_count(F.col("b1").bitwiseXOR(F.col("o_b1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("o_b2")))
+    return (F.col("component") != F.col("o_component")) & sizes & (bits <= differ)
+
+
+_MEMBER = ("id", "component", "n_shingles", "b1", "b2")
+
+
+def _pairs(members: DataFrame, others: DataFrame, able: Column) -> DataFrame:
+    """Distinct pairs (a < b) of what meets in a bucket and can be similar."""
+    other = others.select("key", *[F.col(c).alias(f"o_{c}") for c in _MEMBER])
+    return members.join(other, "key").where(able).select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
 
 
-def _star(members: DataFrame, leaders: int) -> DataFrame:
-    """Pairs of each bucket's first members (by a fixed random order of ids) with its other members."""
-    order = F.struct(F.xxhash64("id").alias("o"), F.col("id"), F.col("component"))
-    heads = members.groupBy("key").agg(F.min(order).alias("h")).select("key", "h.id", "h.component") if leaders == 1 else None
-    if heads is None:
-        # The leaders are the least of as many classes of ids: grouped minima, without sorting a bucket.
-        heads = members.groupBy("key", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(leaders)).alias("class")).agg(F.min(order).alias("h")).select("key", "h.id", "h.component")
-    heads = heads.select("key", F.col("id").alias("lead"), F.col("component").alias("lead_component"))
-    return members.join(heads, "key").where("component != lead_component").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+def _star(members: DataFrame, leaders: int, able: Column) -> DataFrame:
+    """Pairs of the leaders of each bucket with its members: of as many classes of ids, the member that meets most others."""
+    first = F.max(F.struct("weight", F.xxhash64("id").alias("o"), *_MEMBER)).alias("h")
+    heads = members.groupBy("key", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(leaders)).alias("class")).agg(first).select("key", "h.*")
+    return _pairs(members, heads, able)
 
 
 def _open(members: DataFrame, components: DataFrame) -> DataFrame:
     """Members of buckets whose members lie in more than one component, with their components."""
-    m = members.drop("component").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    m = members.drop("component", "n").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
     still = m.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x != y").select("key", "n")
     return m.join(still, "key")
 
 
-def _all_pairs(members: DataFrame, reps: DataFrame) -> DataFrame:
+def _all_pairs(members: DataFrame, reps: DataFrame, able: Column) -> DataFrame:
     """Every pair of members of a bucket with different components; large buckets are first divided by another band."""
-    small = members.where(F.col("n") <= DIVIDE).select("key", "id", "component")
+    small = members.where(F.col("n") <= DIVIDE).select("key", *_MEMBER)
     large = members.where(F.col("n") > DIVIDE)
     other = large.join(reps.select("id", F.explode("keys").alias("second")), "id").where("second != key")
-    divided = other.select(F.xxhash64("key", "second").alias("key"), "id", "component")
+    divided = other.select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), *_MEMBER).distinct()
     m = small.unionByName(divided)
-    sizes = m.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    m = m.join(sizes, "key")
-    n = m.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-    return m.join(n, "key").where("id < b and component != other").select(F.col("id").alias("a"), "b").distinct()
+    mixed = m.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
+    m = m.join(mixed, "key")
+    return _pairs(m, m, able & (F.col("id") < F.col("o_id")))
 
 
 def links(docs: DataFrame, sketch: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
     """id, component for the classes of sketch that are linked with others."""
     classes = sketch.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"))
     reps = sketch.join(classes.select("id"), sketch["doc_id"] == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
-    reps = materialise(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sig", "keys"), "reps")
+    reps = materialise(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sig", "b1", "b2", "keys"), "reps")
     every = reps.select(F.explode("keys").alias("key"), "id")
-    met = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = materialise(every.join(met, "key").withColumn("component", F.col("id")), "members")
+    met = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    meeting = materialise(every.join(met, "key"), "meeting")
+    weight = meeting.groupBy("id").agg(F.sum("n").alias("weight"))
+    members = meeting.join(weight.join(reps.select("id", "n_shingles", "b1", "b2"), "id"), "id").withColumn("component", F.col("id"))
+    members = materialise(members, "members")
+    able = _able(percent, miss)
 
     # What can be in a pair at all: signatures and texts of these are fetched once.
     near = materialise(members.select("id").distinct(), "near")
-    signatures = materialise(reps.join(near, "id", "left_semi").select("id", "n_shingles", "sig"), "signatures")
+    signatures = materialise(reps.join(near, "id", "left_semi").select("id", "sig"), "signatures")
     own = docs.join(near.hint("shuffle_hash"), docs["doc_id"] == near["id"]).select("id", "text").dropDuplicates(["id"])
     texts = materialise(own, "texts")
 
     def pruned(pairs: DataFrame) -> DataFrame:
-        a = signatures.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
-        b = signatures.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
-        able = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        a = signatures.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
+        b = signatures.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
+        both = pairs.join(a, "a").join(b, "b")
 
         def run(batches):
             for p in batches:
@@ -190,7 +210,7 @@ def links(docs: DataFrame, sketch: DataFrame, size: int, percent: int, miss: flo
                     keep = surviving(sa, sb, percent / 100, miss)
                     yield p.iloc[keep][["a", "b"]]
 
-        return able.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
+        return both.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs whose full sets are similar enough."""
@@ -211,13 +231,13 @@ def links(docs: DataFrame, sketch: DataFrame, size: int, percent: int, miss: flo
 
         return y.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
-    edges = materialise(confirmed(_star(members, 1)), "links")
+    edges = materialise(confirmed(_star(members, 1, able)), "links")
     components = connected_components(edges)
     for leaders in (LEADERS, 0):
         rest = materialise(_open(members, components), "open")
         if rest.isEmpty():
             break
-        pairs = _star(rest, leaders) if leaders else _all_pairs(rest, reps)
+        pairs = _star(rest, leaders, able) if leaders else _all_pairs(rest, reps, able)
         more = materialise(confirmed(pairs), "links")
         if more.isEmpty():
             continue
@@ -226,11 +246,11 @@ def links(docs: DataFrame, sketch: DataFrame, size: int, percent: int, miss: flo
     return components
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, miss: float = 1e-7) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = 44, rows: int = 6, miss: float = 1e-7) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs with a doc_id.
 
     size: words in a shingle; percent: least similarity of a link; bands * rows: signature length. The chance
-    that bands miss a pair at the threshold is (1 - t**rows)**bands: 3e-6 at 80 percent by default.
+    that bands miss a pair at the threshold is (1 - t**rows)**bands: 2e-6 at 80 percent by default. bands * rows is BITS at least.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
     sketch = materialise(sketches(source, "doc_id", "text", size, bands, rows), "sketches")

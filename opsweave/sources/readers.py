@@ -89,7 +89,7 @@ def with_clock(lines: DataFrame, default_offset_s: int = 0) -> DataFrame:
     logger = get(r"(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d{3})")
     fill = Window.partitionBy("source").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     d = lines.withColumn("offset_s", F.coalesce(F.last(iso_offset_s(own), ignorenulls=True).over(fill), F.lit(default_offset_s)))
-    naive = F.coalesce(iso_us(access), iso_us(logger)) - F.col("offset_s") * SECOND
+    naive = F.coalesce(iso_us(access), iso_us(logger)) - F.col("offset_s").cast("long") * SECOND
     return d.withColumn("clock_us", F.coalesce(iso_us(own), naive))
 
 

@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from .common import U64, kept_id, materialise, mix, powers, prefix_hash, slice_hash, spread
 
 #: Bytes of the rolling hash; starts that share a trigger at most.
-GRAM, REACH = 16, 256
+GRAM, REACH = 16, 128
 _LOCAL = 20
 #: Dictionary entries with one parse suffix that are compared in one place; more are dealt out, and what stays single meets again.
-TOGETHER = 2048
+TOGETHER = 4096
 
 
 def _chunks(n: int, length: int, step: int = 1 << 19):

@@ -121,7 +121,7 @@ def brute_removal(rows, length):
     return out
 
 
-@pytest.mark.parametrize("together", [2048, 2])
+@pytest.mark.parametrize("together", [4096, 2])
 def test_repeated_strings(spark, rows, monkeypatch, together):
     monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
     got = suffix_dedup.removal_digests(table(spark, rows)).collect()

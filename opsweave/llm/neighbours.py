@@ -3,7 +3,7 @@
 Equal vectors are one node. Nodes start with neighbours from a few random partitions; then each round joins every node's
 neighbours, in both directions, with each other (neighbours of neighbours meet at the node between them), and
 each node keeps the nearest. Nodes with many neighbours are dealt out, so no group is unbounded, and none is cut.
-The graph is built on vectors of 8-bit numbers; the search compares the vectors themselves, in double precision.
+Graph and search use vectors of 8-bit numbers; the best that a search finds are compared by the vectors themselves, in double precision.
 
 Vectors that are null or zero, that hold null or non-finite components, or whose length is not the most common one take no part.
 """
@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from .common import U64, materialise, mix, spread
 
-#: Neighbours of a node; members of a starting partition; neighbours that meet in one place.
-DEGREE, LEAF, MEET = 16, 96, 48
+#: Neighbours of a node; members of a starting partition; neighbours that meet in one place, and what each learns there at most.
+DEGREE, LEAF, MEET, LEARN = 28, 1024, 96, 16
 #: Starting partitions of all nodes; rounds of neighbours of neighbours.
-TABLES, ROUNDS = 4, 3
-#: Nodes that a search keeps for a query, and follows in a round; starting nodes; rounds at most.
-WIDTH, FOLLOW, ENTRIES, DEEPEST = 40, 12, 48, 24
+TABLES, ROUNDS = 8, 4
+#: Nodes that a search keeps for a query, and follows in a round; starting nodes; nodes whose vectors are compared at the end.
+WIDTH, FOLLOW, ENTRIES, RESCORED = 160, 40, 48, 48
 
 
 def _matrix(vectors, dtype) -> np.ndarray:
@@ -109,7 +109,7 @@ def _round(graph: DataFrame, small: DataFrame) -> DataFrame:
             for members in batch["members"]:
                 ids = np.array([m["node"] for m in members], np.int64)
                 if len(ids) > 1:
-                    found.append(_near(ids, _matrix([m["q"] for m in members], np.int8), np.array([m["least"] for m in members]), 4))
+                    found.append(_near(ids, _matrix([m["q"] for m in members], np.int8), np.array([m["least"] for m in members]), LEARN))
             if found:
                 a, b, s = (np.concatenate(c) for c in zip(*found, strict=True))
                 yield pd.DataFrame({"a": a, "b": b, "s": s.astype(float)})
@@ -117,78 +117,89 @@ def _round(graph: DataFrame, small: DataFrame) -> DataFrame:
     return _best(graph.unionByName(met.select("members").mapInPandas(compare, "a long, b long, s double")), DEGREE)
 
 
-def neighbour_graph(nodes: DataFrame) -> DataFrame:
-    """a, b, s: for each node the nodes found nearest, with the similarity of their 8-bit vectors. nodes: node, vector."""
+def rounded_vectors(nodes: DataFrame) -> DataFrame:
+    """node, q: vectors in 8-bit numbers. nodes: node, vector."""
 
     @F.pandas_udf("binary")
     def rounded(vectors: pd.Series) -> pd.Series:
         def one(v):
             x = np.frombuffer(v, np.float64)
-            top = np.abs(x).max()
-            return np.rint(x / top * 127).astype(np.int8).tobytes()
+            return np.rint(x / np.abs(x).max() * 127).astype(np.int8).tobytes()
 
         return vectors.map(one)
 
-    small = materialise(nodes.select("node", rounded(F.col("vector")).alias("q")), "small")
+    return nodes.select("node", rounded(F.col("vector")).alias("q"))
+
+
+def neighbour_graph(small: DataFrame) -> DataFrame:
+    """a, b, s: for each node (node, q) those found nearest, with the similarity of their 8-bit vectors."""
     graph = materialise(_start(small), "graph")
     for _ in range(ROUNDS):
         graph = materialise(_round(graph, small), "graph")
     return graph
 
 
-def _scored(pairs: DataFrame) -> DataFrame:
-    """query, node, score: cosines in double precision of qv and vector (float64 bytes)."""
+def _scored(pairs: DataFrame, kind: str) -> DataFrame:
+    """query, node, score: cosines, computed in double precision, of the columns x and y (bytes of vectors of a kind)."""
 
     def run(batches):
         for batch in batches:
             if len(batch):
-                a, b = _matrix(batch["qv"], np.float64), _matrix(batch["vector"], np.float64)
+                a, b = (_matrix(batch[c], kind).astype(np.float64) for c in ("x", "y"))
                 score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
                 yield pd.DataFrame({"query": batch["query"], "node": batch["node"], "score": score})
 
-    return pairs.select("query", "node", "qv", "vector").mapInPandas(run, "query long, node long, score double")
+    return pairs.select("query", "node", "x", "y").mapInPandas(run, "query long, node long, score double")
 
 
-def greedy_search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame:
-    """query, node, score: the nodes that a search from common and own entry points finds nearest to each query.
+def greedy_search(queries: DataFrame, graph: DataFrame, small: DataFrame, width: int = WIDTH) -> DataFrame:
+    """query, node, score: the width nodes that a search from common entry points, and a query's own node, finds nearest by 8-bit vectors.
 
-    queries: query, qv (float64 bytes), own (node of an equal vector in the graph, or null). Each round follows the links of a query's best
-    nodes not yet followed; a query ends when its best `width` nodes have all been followed.
+    queries: query, q, own (node of an equal vector in the graph, or null). Each round follows the links of a query's best nodes not
+    yet followed, and never looks at a node twice; it ends when the best width nodes of every query have been followed.
     """
     edges = graph.select("a", "b").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = materialise(edges, "edges")
-    # A fixed number of nodes.
-    entries = F.broadcast(nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES))
-    begin = queries.select("query", "qv").crossJoin(entries).select("query", "node").unionByName(queries.where("own is not null").select("query", F.col("own").alias("node"))).distinct()
+    entries = F.broadcast(small.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES))  # a fixed number of nodes
+    begin = queries.select("query").crossJoin(entries).unionByName(queries.where("own is not null").select("query", F.col("own").alias("node"))).distinct()
 
     def score(pairs):
-        return _scored(pairs.join(queries.select("query", "qv"), "query").join(nodes, "node"))
-
-    state = materialise(score(begin).withColumn("followed", F.lit(False)), "search")
-    for _ in range(DEEPEST):
-        best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-        top = state.withColumn("k", F.row_number().over(best)).withColumn("go", (F.col("k") <= width) & ~F.col("followed"))
-        top = top.withColumn("turn", F.sum(F.col("go").cast("int")).over(best.rowsBetween(Window.unboundedPreceding, 0)))
-        now = top.withColumn("now", F.col("go") & (F.col("turn") <= FOLLOW))
-        now = materialise(now.select("query", "node", "score", (F.col("followed") | F.col("now")).alias("followed"), "now"), "search")
-        follow = now.where("now").select("query", F.col("node").alias("a"))
+        x = pairs.join(queries.select("query", F.col("q").alias("x")), "query").join(small.withColumnRenamed("q", "y"), "node")
+        return materialise(_scored(x, "int8"), "scored")
+
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
+
+    def kept(rows):
+        top = rows.withColumn("k", F.row_number().over(best)).where(F.col("k") <= width)
+        turn = F.sum((~F.col("followed")).cast("int")).over(best.rowsBetween(Window.unboundedPreceding, 0))
+        top = top.withColumn("now", ~F.col("followed") & (turn <= FOLLOW))
+        return materialise(top.select("query", "node", "score", (F.col("followed") | F.col("now")).alias("followed"), "now"), "search")
+
+    new = score(begin)
+    seen = new.select("query", "node")
+    top = kept(new.withColumn("followed", F.lit(False)))
+    while True:
+        follow = top.where("now").select("query", F.col("node").alias("a"))
         if follow.isEmpty():
-            break
-        seen = now.select("query", "node")
-        new = follow.join(edges, "a").select("query", F.col("b").alias("node")).distinct().join(seen, ["query", "node"], "left_anti")
-        state = now.drop("now").unionByName(score(new).withColumn("followed", F.lit(False)))
-        state = materialise(state, "search")
-    return state.select("query", "node", "score")
+            return top.select("query", "node", "score")
+        ahead = follow.join(edges, "a").select("query", F.col("b").alias("node")).distinct()
+        new = score(ahead.join(seen, ["query", "node"], "left_anti"))
+        seen = seen.unionByName(new.select("query", "node"))
+        top = kept(top.drop("now").unionByName(new.withColumn("followed", F.lit(False))))
 
 
 def nearest(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by every, its k nearest other rows; ties to the smaller id."""
     members = materialise(nodes_of(vectors, vec_id, embedding), "nodes")
     nodes = spread(members.where("vec_id = node"), "node").dropDuplicates(["node"]).select("node", "vector")
-    graph = neighbour_graph(nodes)
-    queries = members.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query"), F.col("vector").alias("qv"), F.col("node").alias("own"))
-    found = greedy_search(materialise(queries, "queries"), graph, nodes)
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node"))).where(F.col("r") <= k + 1)
+    small = materialise(rounded_vectors(nodes), "small")
+    graph = neighbour_graph(small)
+    asked = members.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query"), F.col("vector").alias("x"), F.col("node").alias("own"))
+    asked = materialise(asked.join(small.select(F.col("node").alias("own"), "q"), "own"), "queries")
+    found = greedy_search(asked.select("query", "q", "own"), graph, small)
+    first = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node"))).where(F.col("r") <= max(RESCORED, 4 * k))
+    exact = _scored(first.select("query", "node").join(asked.select("query", "x"), "query").join(nodes.withColumnRenamed("vector", "y"), "node"), "float64")
+    best = exact.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node"))).where(F.col("r") <= k + 1)
     # Of a node's members, the first k + 1 can be in an answer. Large nodes are ranked in parts first.
     part = members.select("node", "vec_id").distinct().withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     part = part.withColumn("r", F.row_number().over(Window.partitionBy("node", "part").orderBy("vec_id"))).where(F.col("r") <= k + 1)

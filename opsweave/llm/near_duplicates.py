@@ -3,9 +3,10 @@
 1. Each text becomes a set of word shingles, a fingerprint of that set and a MinHash signature. Documents
    with equal sets form one class; only the smallest doc_id of a class goes on.
 2. Classes that share a band of the signature meet in a bucket. A bucket pairs its members with a leader, the one that
-   meets most others in all its buckets (the original of a group of copies, if it is there); what stays unlinked goes through more leaders, and at last through every pair of members whose components
-   still differ. Large buckets are then divided by a second band, so that no bucket's pairs grow with the
-   square of a common passage. No bucket is capped and no pair that could still join components is left out.
+   meets most others in all its buckets (the original of a group of copies, if it is there), and what stays unlinked with
+   more leaders. Members of buckets that still hold several components meet once more, by rare shingles: of sets as similar
+   as the threshold, those parts of the sets share a shingle that are too large to differ (prefix filter), whatever the order of
+   shingles; with rare ones first, a common passage brings nothing together. No bucket is capped, and all of its links are found.
 3. Pairs are compared one batch of signature values after another, the first batch (one bit of each of 128 values) while
    buckets are joined. A pair goes as soon as the posterior probability that its similarity reaches the threshold is
    below miss (BayesLSH; uniform prior).
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialise, mix, word_hashes
+from .common import U64, materialise, mix, spread, word_hashes
 from .components import connected_components
 
 #: Signature values compared at a time by the Bayesian test.
@@ -33,8 +34,8 @@ BATCH = 16
 BITS = 128
 #: Leaders that a bucket compares its members with before all remaining pairs are looked at.
 LEADERS = 8
-#: Buckets with more members than this are divided by a second band before all their pairs are looked at.
-DIVIDE = 32
+#: Slots of the counts that order shingles, as a power of 2: a fixed size, whatever the corpus.
+SLOTS = 18
 
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
@@ -167,15 +168,42 @@ def _open(members: DataFrame, components: DataFrame) -> DataFrame:
     return m.join(still, "key")
 
 
-def _all_pairs(members: DataFrame, reps: DataFrame, able: Column) -> DataFrame:
-    """Every pair of members of a bucket with different components; large buckets are first divided by another band."""
-    small = members.where(F.col("n") <= DIVIDE).select("key", *_MEMBER)
-    large = members.where(F.col("n") > DIVIDE)
-    other = large.join(reps.select("id", F.explode("keys").alias("second")), "id").where("second != key")
-    divided = other.select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), *_MEMBER).distinct()
-    m = small.unionByName(divided)
+def _rare_pairs(members: DataFrame, texts: DataFrame, size: int, percent: int, able: Column) -> DataFrame:
+    """Pairs of members with different components that share one of their rarest shingles, of those that similar sets must share."""
+    docs = members.select(*_MEMBER).distinct().join(texts, "id")
+    docs = materialise(spread(docs, "id"), "rest")
+    slot = U64(64 - SLOTS)
+
+    def count(batches):
+        seen = np.zeros(1 << SLOTS, np.int64)
+        for batch in batches:
+            for t in batch["text"].tolist():
+                np.add.at(seen, (shingle_set(t, size) >> slot).astype(np.int64), 1)
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"slot": at, "n": seen[at]})
+
+    counts = docs.select("text").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(1 << SLOTS, np.int64)
+    often[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    often = docs.sparkSession.sparkContext.broadcast(often)
+
+    def rarest(batches):
+        n_in = often.value
+        for batch in batches:
+            keys, rows = [], []
+            for i, t in enumerate(batch["text"].tolist()):
+                s = shingle_set(t, size)
+                first = len(s) - -(-percent * len(s) // 100) + 1
+                keys.append(s[np.lexsort((s, n_in[(s >> slot).astype(np.int64)]))[:first]].view(np.int64))
+                rows.append(np.full(len(keys[-1]), i))
+            if rows:
+                out = batch[list(_MEMBER)].iloc[np.concatenate(rows)]
+                yield out.assign(key=np.concatenate(keys))
+
+    m = docs.mapInPandas(rarest, "id long, component long, n_shingles long, b1 long, b2 long, key long")
+    m = materialise(m, "rare")
     mixed = m.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    m = m.join(mixed, "key")
+    m = m.join(mixed, "key", "left_semi")
     return _pairs(m, m, able & (F.col("id") < F.col("o_id")))
 
 
@@ -237,7 +265,7 @@ def links(docs: DataFrame, sketch: DataFrame, size: int, percent: int, miss: flo
         rest = materialise(_open(members, components), "open")
         if rest.isEmpty():
             break
-        pairs = _star(rest, leaders, able) if leaders else _all_pairs(rest, reps, able)
+        pairs = _star(rest, leaders, able) if leaders else _rare_pairs(rest, texts, size, percent, able)
         more = materialise(confirmed(pairs), "links")
         if more.isEmpty():
             continue

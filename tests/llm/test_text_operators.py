@@ -162,7 +162,7 @@ def brute_components(rows, size):
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_duplicates(spark, rows, monkeypatch, size):
     if size == 2:
-        monkeypatch.setattr(near_duplicates, "DIVIDE", 2)
+        monkeypatch.setattr(near_duplicates, "SLOTS", 4)
     got = near_duplicates.near_duplicates(table(spark, rows), size=size).collect()
     assert {r.doc_id: tuple(r)[1:] for r in got} == brute_components(rows, size)
     if size == 2:

@@ -96,8 +96,8 @@ def host_devices(samples: DataFrame, owned: list[int], start: int, end: int, ste
 def image_series(generations: DataFrame, samples: DataFrame, start: int, end: int, step_s: int) -> DataFrame:
     """Generations and errors per hour, exact durations; queue length and free memory, summed over backends at each time, then averaged."""
     g = in_window(generations, start, end).withColumn("bucket", bucket_us(F.col("ts_us"), step_s))
-    rate = 3600 / step_s
-    a = g.groupBy("bucket").agg((F.count_if(F.col("status") != "running") * rate).alias("per_hour"), (F.count_if(F.col("status") == "error") * rate).alias("errors_per_hour"))
+    hours = step_s / 3600
+    a = g.groupBy("bucket").agg((F.count_if(F.col("status") != "running") / hours).alias("per_hour"), (F.count_if(F.col("status") == "error") / hours).alias("errors_per_hour"))
     p = exact_percentiles(g, ["bucket"], "total_ms", {"ms_p50": 0.5, "ms_p90": 0.9}).drop("n")
     q = in_window(samples, start, end).where("backend != ''").groupBy("ts_us").agg(F.sum("queue_pending").alias("queue"), F.sum("vram_free").alias("vram_free"))
     q = q.groupBy(bucket_us(F.col("ts_us"), step_s).alias("bucket")).agg(F.avg("queue").alias("queue"), F.avg("vram_free").alias("vram_free"))

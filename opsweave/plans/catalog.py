@@ -61,7 +61,7 @@ def rank_sql(values: str, keys: str, qs: dict[str, float], rule: str = "near") -
 
 def p_hist_sql(counts: str, q: float) -> str:
     """Percentile of the fixed histogram in a list of counts."""
-    bounds = "[" + ", ".join(f"{float(b)}" for b in HIST_BOUNDS_MS) + "]"
+    bounds = "cast([" + ", ".join(f"{float(b)}" for b in HIST_BOUNDS_MS) + "] as double[])"
     return f"case when list_sum({counts}) > 0 then {bounds}[least({len(HIST_BOUNDS_MS)}, 1 + len(list_filter(range(1, {BUCKETS + 1}), lambda i: list_sum({counts}[1:i]) < {q} * list_sum({counts}))))] end"
 
 
@@ -137,7 +137,7 @@ query("a5_cache_summary", f"select round(avg(gauge),9) as mean, max(gauge) as ma
 query("a6_d10_d11_gauge_statistics", "select source, round(avg(gauge),9) as mean, cast(min(gauge) as double) as min, cast(max(gauge) as double) as max, cast(max_by(gauge, ts_us) as double) as last, count(gauge) as n from {scrapes} group by 1")(
     lambda t: summary.gauge_statistics(t("scrapes").withColumn("gauge", F.col("gauge").cast("double")), "gauge", ["source"]).withColumn("mean", F.round("mean", 9))
 )
-query("a7_j8_latest_per_source", "select source, n, run, counter from {scrapes} qualify row_number() over (partition by source order by ts_us desc) = 1")(lambda t: tables.latest(t("scrapes"), ("source",), "ts_us").select("source", "n", "run", "counter"))
+query("a7_j8_latest_per_source", "select source, n, cast(run as bigint) as run, cast(counter as bigint) as counter from {scrapes} qualify row_number() over (partition by source order by ts_us desc) = 1")(lambda t: tables.latest(t("scrapes"), ("source",), "ts_us").select("source", "n", "run", "counter"))
 query("a10_source_activity", "select source, max(ts_us) as last_us, count(*) as samples from {conn_samples} group by 1")(lambda t: t("conn_samples").groupBy("source").agg(F.max("ts_us").alias("last_us"), F.count("*").alias("samples")))
 query("a11_coverage", f"select min(ts_us) as oldest, coalesce(min(ts_us) <= {W0}, false) as complete from {{requests}}")(lambda t: summary.coverage(t("requests"), W0))
 query("a12_a13_table_statistics", "\nunion all\n".join(f"select '{n}' as \"table\", {s} as by_source, count(*) as rows, min(ts_us) as first, max(ts_us) as last from {{{n}}} where {w}" for n, s, w in (("requests", "true", "source = 's1'"), ("conn_samples", "true", "source = 's1'"), ("gpu_samples", "false", "true"))))(
@@ -268,7 +268,7 @@ query("d7_minute_histograms", f"select source, bucket, concat_ws(',', sum(counts
 RANGE = f"""with h as ({HISTS.replace('coalesce(counter < pc, false) or ', '')}), r as (select * from h where counts is not null and ts_us >= {W0} and ts_us < {W1}),
  c as (select source, count(*) filter (where n % 17 = 0) as rows_skipped, cast(sum(list_sum(counts)) filter (where n % 17 <> 0) as bigint) as observations,
   [sum(counts[1]) filter (where n % 17 <> 0), sum(counts[2]) filter (where n % 17 <> 0), sum(counts[3]) filter (where n % 17 <> 0), sum(counts[4]) filter (where n % 17 <> 0)] as k from r group by 1)
-select source, rows_skipped, observations, {', '.join(f"case when list_sum(k) > 0 then [60.0,120.0,240.0][least(3, 1 + len(list_filter(range(1,5), lambda i: list_sum(k[1:i]) < {q} * list_sum(k))))] end as {n}" for n, q in QS3.items())} from c"""
+select source, rows_skipped, observations, {', '.join(f"case when list_sum(k) > 0 then cast([60.0,120.0,240.0] as double[])[least(3, 1 + len(list_filter(range(1,5), lambda i: list_sum(k[1:i]) < {q} * list_sum(k))))] end as {n}" for n, q in QS3.items())} from c"""
 
 
 def _own_bounds(t: Callable) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import breakdown, correlate, parse, series, summary
 from ..streaming import streams
-from .catalog import QUERIES, W0, W1, _round, grid, query, rank_sql
+from .catalog import QUERIES, _round, grid, query, rank_sql, windowed
 from .fixtures import view
 
 SUBMITTED = ("endpoint", "messages", "max_tokens", "tools")
@@ -49,18 +51,20 @@ def finished(t) -> DataFrame:
     return engine_rows(t).withColumn("finish", F.coalesce("finish", F.when(F.col("kind") == "error", "error"))).withColumn("model", F.when(F.col("req_id") % 7 != 0, F.concat(F.lit("m"), (F.col("req_id") % 3).cast("string"))))
 
 
-FIN = PAIRS + f", r as (select * exclude (finish), f as finish, case when req_id % 7 <> 0 then concat('m', cast(req_id % 3 as varchar)) end as model from pairs where ts_us >= {W0} and ts_us < {W1})"
-query("a2_engine_summary", FIN + f""", tt as ({rank_sql("select ttft_ms as v from r", "", {"ttft_p50": 0.5, "ttft_p90": 0.9}, "linear")})
+@windowed
+def _engine(query: Callable, A: int, B: int, W0: int, W1: int, SHIP0: int, SHIP1: int) -> None:
+    FIN = PAIRS + f", r as (select * exclude (finish), f as finish, case when req_id % 7 <> 0 then concat('m', cast(req_id % 3 as varchar)) end as model from pairs where ts_us >= {W0} and ts_us < {W1})"
+    query("a2_engine_summary", FIN + f""", tt as ({rank_sql("select ttft_ms as v from r", "", {"ttft_p50": 0.5, "ttft_p90": 0.9}, "linear")})
 select count(*) as requests, count(*) filter (where finish = 'error') as errors, count(*) filter (where not paired) as unpaired, cast(coalesce(sum(output_tokens),0) as bigint) as output_tokens, cast(coalesce(sum(prompt_tokens),0) as bigint) as prompt_tokens,
  coalesce(sum(cached_tokens)/sum(prompt_tokens+cached_tokens),0) as cache_hit_rate, round(avg(decode_tps),6) as decode_tps_mean, round(avg(prefill_tps),6) as prefill_tps_mean, any_value(tt.ttft_p50) as ttft_p50, any_value(tt.ttft_p90) as ttft_p90 from r, tt""")(
-    lambda t: _round(summary.engine_summary(finished(t), W0, W1), 6, "decode_tps_mean", "prefill_tps_mean")
-)
-query("w6_engine_series", FIN + f"""select g.bucket, count(r.seq) as requests, count(r.seq) filter (where finish = 'error') as errors, coalesce(sum(output_tokens),0)/3600 as out_tok_per_s, round(avg(decode_tps),6) as decode_tps, round(avg(ttft_ms),4) as ttft_mean
+        lambda t: _round(summary.engine_summary(finished(t), W0, W1), 6, "decode_tps_mean", "prefill_tps_mean")
+    )
+    query("w6_engine_series", FIN + f"""select g.bucket, count(r.seq) as requests, count(r.seq) filter (where finish = 'error') as errors, coalesce(sum(output_tokens),0)/3600 as out_tok_per_s, round(avg(decode_tps),6) as decode_tps, round(avg(ttft_ms),4) as ttft_mean
 from {grid(W0, W1, 3600, True)} g left join r on cast(floor(r.ts_us/3600000000) as bigint)*3600000000 = g.bucket group by 1""")(lambda t: _round(_round(series.engine_series(finished(t), W0, W1, 3600), 6, "decode_tps"), 4, "ttft_mean"))
-query("b2_engine_by_model", FIN + "select coalesce(model,'unknown') as model, count(*) as requests, round(avg(ttft_ms),4) as ttft_ms, round(avg(decode_tps),6) as decode_tps, cast(coalesce(sum(output_tokens),0) as bigint) as output_tokens, max(ts_us) as last_us from r group by 1")(
-    lambda t: _round(_round(breakdown.engine_by_model(finished(t), W0, W1), 4, "ttft_ms"), 6, "decode_tps")
-)
-query("b9_finish_reasons", FIN + "select coalesce(finish,'unknown') as finish, count(*) as n from r group by 1")(lambda t: breakdown.counts_by(finished(t), W0, W1, "finish"))
+    query("b2_engine_by_model", FIN + "select coalesce(model,'unknown') as model, count(*) as requests, round(avg(ttft_ms),4) as ttft_ms, round(avg(decode_tps),6) as decode_tps, cast(coalesce(sum(output_tokens),0) as bigint) as output_tokens, max(ts_us) as last_us from r group by 1")(
+        lambda t: _round(_round(breakdown.engine_by_model(finished(t), W0, W1), 4, "ttft_ms"), 6, "decode_tps")
+    )
+    query("b9_finish_reasons", FIN + "select coalesce(finish,'unknown') as finish, count(*) as n from r group by 1")(lambda t: breakdown.counts_by(finished(t), W0, W1, "finish"))
 
 
 def _ordered(t) -> DataFrame:
@@ -73,6 +77,8 @@ FIFO = """with o as (select source, ts_us, class, k, row_number() over (partitio
  g as (select *, case when d > 0 then sum(case when d > 0 then 1 else 0 end) over (partition by source order by seq) else sum(case when d < 0 and not lost then 1 else 0 end) over (partition by source order by seq) end as n from f)
 select a.source, a.seq, w.seq as w_seq, case when a.lost then 'none' when a.rest > 0 then 'ambiguous' else 'exact' end as "match" from g a left join g w on w.d > 0 and w.source = a.source and w.n = a.n and not a.lost where a.d < 0"""
 query("j2_fifo_join", FIFO)(lambda t: correlate.fifo_join(_ordered(t).where("class = 'health'").select("source", "seq"), _ordered(t).where("class != 'health' and k % 3 != 0").select("source", "seq")).select("source", "seq", "w_seq", "match"))
+query("j2_fifo_join_whole", FIFO.replace(" or k % 3 <> 0", " or true"))(lambda t: correlate.fifo_join(_ordered(t).where("class = 'health'").select("source", "seq"), _ordered(t).where("class != 'health'").select("source", "seq")).select("source", "seq", "w_seq", "match"))
+query("j2_fifo_with_expiry_whole")(lambda t: correlate.fifo_with_expiry(_ordered(t).withColumn("arrives", F.col("class") == "health").withColumn("ts_us", (F.col("ts_us") / 1000).cast("long"))))
 query("j2_fifo_with_expiry")(lambda t: correlate.fifo_with_expiry(_ordered(t).where("class = 'health' or k % 3 != 0").withColumn("arrives", F.col("class") == "health").withColumn("ts_us", (F.col("ts_us") / 1000).cast("long"))))
 query("t4_forward_clock", """select source, seq, max(case when k % 4 <> 0 then ts_us end) over (partition by source order by seq) as ts_us from (select source, ts_us, k, row_number() over (partition by source order by ts_us, id) as seq from {requests}) o""")(
     lambda t: correlate.forward_clock(_ordered(t).select("source", "seq", F.when(F.col("k") % 4 != 0, F.col("ts_us")).alias("clock_us"))).select("source", "seq", "ts_us")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bucket_us, label_key, mask_secrets
 from ..operators import breakdown, correlate, deltas, intervals, parse, polls, rollups, series, summary, tables
 from ..sources import readers
-from .catalog import ALL, FELL, HISTS, LAGS, QS3, W0, W1, A, B, _counts, grid, query
+from .catalog import ALL, FELL, HISTS, LAGS, QS3, A, B, _counts, grid, query, windowed
 
 LINE = "source, id as seq, ts_us"
 
@@ -63,30 +65,34 @@ def scraped(t) -> DataFrame:
 query("p8_p9_scrape_samples", "select source, n as scrape, 'x_total' as metric, 'counter' as kind, concat('n=', n % 3, ',source=', source) as labels, cast(null as double) as bound, cast(counter as double) as value from {scrapes} union all select source, n, 'h', 'bucket', '', 60.0, cast(le60 as double) from {scrapes} union all select source, n, 'h', 'bucket', '', null, cast(le_inf as double) from {scrapes}")(
     lambda t: scraped(t).select("source", "scrape", "metric", "kind", label_key(F.col("labels")).alias("labels"), "bound", "value")
 )
-query("w8_metric_series", f"""with d as (select *, cast(floor(ts_us/3600000000) as bigint)*3600000000 as bucket from (select *, {FELL} as restart from (select *, counter, gauge, ts_us, source, {LAGS}) a) b where ts_us >= {W0} and ts_us < {W1}),
+
+
+@windowed
+def _metrics(query: Callable, A: int, B: int, W0: int, W1: int, SHIP0: int, SHIP1: int) -> None:
+    query("w8_metric_series", f"""with d as (select *, cast(floor(ts_us/3600000000) as bigint)*3600000000 as bucket from (select *, {FELL} as restart from (select *, counter, gauge, ts_us, source, {LAGS}) a) b where ts_us >= {W0} and ts_us < {W1}),
  s as (select bucket, cast(coalesce(sum(case when not restart then counter - pc end),0) as bigint)/3600 as rate, cast(max_by(gauge, ts_us) as double) as gauge from d group by 1) select g.bucket, rate, gauge from {grid(W0, W1, 3600)} g left join s on s.bucket = g.bucket""".replace("select *, counter, gauge, ts_us, source, lag", "select *, lag"))(
-    lambda t: series.filled(
-        summary.in_window(deltas.counter_deltas(t("scrapes"), ALL), W0, W1).groupBy(bucket_us(F.col("ts_us"), 3600).alias("bucket")).agg((F.coalesce(F.sum("d_counter"), F.lit(0)).cast("long") / 3600).alias("rate"), F.max_by(F.col("gauge").cast("double"), "ts_us").alias("gauge")),
-        W0, W1, 3600,
-    )
-)
-METRICS = f"""with h as ({HISTS.replace('coalesce(counter < pc, false) or ', '')}), r as (select * from h where counts is not null and ts_us >= {W0} and ts_us < {W1}),
+        lambda t: series.filled(
+            summary.in_window(deltas.counter_deltas(t("scrapes"), ALL), W0, W1).groupBy(bucket_us(F.col("ts_us"), 3600).alias("bucket")).agg((F.coalesce(F.sum("d_counter"), F.lit(0)).cast("long") / 3600).alias("rate"), F.max_by(F.col("gauge").cast("double"), "ts_us").alias("gauge")),
+            W0, W1, 3600,
+        )
+    )
+    METRICS = f"""with h as ({HISTS.replace('coalesce(counter < pc, false) or ', '')}), r as (select * from h where counts is not null and ts_us >= {W0} and ts_us < {W1}),
  c as (select [sum(counts[1]), sum(counts[2]), sum(counts[3]), sum(counts[4])] as k, cast(sum(list_sum(counts)) as bigint) as observations from r),
  t as (select cast(coalesce(sum(counter - pc),0) as bigint) as total from (select *, {FELL} as restart from (select *, {LAGS}) a) b where not restart and ts_us >= {W0} and ts_us < {W1}),
  g as (select round(avg(gauge),9) as gauge_mean, cast(max(gauge) as double) as gauge_max from {{scrapes}} where ts_us >= {W0} and ts_us < {W1})
 select total, total/{(W1 - W0) / 1e6} as per_s, observations, {', '.join(f"case when list_sum(k) > 0 then cast([60.0,120.0,240.0] as double[])[least(3, 1 + len(list_filter(range(1,5), lambda i: list_sum(k[1:i]) < {q} * list_sum(k))))] end as {n}" for n, q in QS3.items())}, gauge_mean, gauge_max from c, t, g"""
 
+    def metric_summary(t) -> DataFrame:
+        d = summary.in_window(deltas.counter_deltas(t("scrapes"), ALL), W0, W1)
+        total = d.agg(F.coalesce(F.sum("d_counter"), F.lit(0)).cast("long").alias("total"), F.round(F.avg(F.col("gauge").cast("double")), 9).alias("gauge_mean"), F.max(F.col("gauge").cast("double")).alias("gauge_max"))
+        bounds = F.array(F.lit(60.0), F.lit(120.0), F.lit(240.0), F.lit(None).cast("double"))
+        h = _counts(t).where("counts is not null").select("ts_us", bounds.alias("bounds"), "counts", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("observations"), F.lit(0.0).alias("sum_value"))
+        r = deltas.histogram_range(h, W0, W1).select("observations", *QS3)
+        return total.join(r, F.lit(True)).select("total", (F.col("total") / ((W1 - W0) / 1e6)).alias("per_s"), "observations", *QS3, "gauge_mean", "gauge_max")
 
-def metric_summary(t) -> DataFrame:
-    d = summary.in_window(deltas.counter_deltas(t("scrapes"), ALL), W0, W1)
-    total = d.agg(F.coalesce(F.sum("d_counter"), F.lit(0)).cast("long").alias("total"), F.round(F.avg(F.col("gauge").cast("double")), 9).alias("gauge_mean"), F.max(F.col("gauge").cast("double")).alias("gauge_max"))
-    bounds = F.array(F.lit(60.0), F.lit(120.0), F.lit(240.0), F.lit(None).cast("double"))
-    h = _counts(t).where("counts is not null").select("ts_us", bounds.alias("bounds"), "counts", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("observations"), F.lit(0.0).alias("sum_value"))
-    r = deltas.histogram_range(h, W0, W1).select("observations", *QS3)
-    return total.join(r, F.lit(True)).select("total", (F.col("total") / ((W1 - W0) / 1e6)).alias("per_s"), "observations", *QS3, "gauge_mean", "gauge_max")
+    query("a3_metric_summary", METRICS)(metric_summary)
 
 
-query("a3_metric_summary", METRICS)(metric_summary)
 query("r13_first_with_data", "select case when count(*) > 0 then 'b' end as metric from {scrapes} having count(*) > 0")(
     lambda t: deltas.first_with_data(t("scrapes").select(F.explode(F.array(F.struct(F.lit("a").alias("metric"), F.lit(0).alias("observations")), F.struct(F.lit("c").alias("metric"), F.lit(5).alias("observations")), F.struct(F.lit("b").alias("metric"), F.lit(7).alias("observations")))).alias("x")).select("x.*"), {"a": 0, "b": 1, "c": 2})
 )
@@ -138,6 +144,15 @@ query("e8_backend_state", "select source, backend, queue_pending, queue_running
 query("j6_model_names", "select source, id as seq, concat('n', k % 7) as model from {requests} where k % 7 < 5")(
     lambda t: correlate.with_model_names(t("requests").where("k % 7 < 5").selectExpr("source", "id as seq", "concat('/m/sha256-', k % 7) as blob"), t("requests").where("false").selectExpr("source", "id as seq", "model as blob", "model"), t("requests").selectExpr("concat('sha256:', k % 7) as digest", "concat('n', k % 7) as model").distinct()).select("source", "seq", "model")
 )
+# A name is learned just before each row whose k is divisible by 11, and holds from there on; digests 5 and 6 have no manifest, so before that they have none.
+query("j6_model_names_whole", """with o as (select source, 2*id + 1 as seq, k % 7 as b, case when k % 11 = 0 then concat('learned', id % 3) end as name from {requests})
+select source, seq, coalesce(last_value(name ignore nulls) over (partition by source, b order by seq), case when b < 5 then concat('n', b) end) as model from o""")(
+    lambda t: correlate.with_model_names(
+        t("requests").selectExpr("source", "2*id + 1 as seq", "concat('/m/sha256-', k % 7) as blob"),
+        t("requests").where("k % 11 = 0").selectExpr("source", "2*id as seq", "concat('/m/sha256-', k % 7) as blob", "concat('learned', id % 3) as model"),
+        t("requests").where("k % 7 < 5").selectExpr("concat('sha256:', k % 7) as digest", "concat('n', k % 7) as model").distinct(),
+    ).select("source", "seq", "model")
+)
 query("x6_widened", "select count(*) as n, count(extra) as extra from (select id, cast(null as bigint) as extra from {requests} union all select id, k from {requests})")(lambda t: tables.widened(t("requests").select("id"), t("requests").select("id", F.col("k").alias("extra"))).agg(F.count("*").alias("n"), F.count("extra").alias("extra")))
 query("x8_masked", "select id, '***' as token, client_ip as url, concat('$', chr(123), 'PW', chr(125)) as password from {requests}")(
     lambda t: t("requests").select("id", F.from_json(mask_secrets(F.to_json(F.struct(F.col("model").alias("x"), F.col("endpoint").alias("token"), F.col("client_ip").alias("url"), F.lit("${PW}").alias("password")))), "token string, url string, password string").alias("c")).select("id", "c.*")
@@ -158,6 +173,8 @@ def report(t, start: int = A, end: int = B) -> dict[str, DataFrame]:
     }
 
 
-query("a15_report_rows", f"select 'requests' as part, count(*) as n from {{requests}} where class in ('inference','embed') and ts_us >= {A} and ts_us < {B} union all select 'buckets', cast({(B - A) // 900_000_000 + 1} as bigint)")(
-    lambda t: report(t)["summary"].select(F.lit("requests").alias("part"), F.col("requests").alias("n")).unionByName(report(t)["series"].agg(F.count("*").alias("n")).select(F.lit("buckets").alias("part"), "n"))
-)
+@windowed
+def _reports(query: Callable, A: int, B: int, W0: int, W1: int, SHIP0: int, SHIP1: int) -> None:
+    query("a15_report_rows", f"select 'requests' as part, count(*) as n from {{requests}} where class in ('inference','embed') and ts_us >= {A} and ts_us < {B} union all select 'buckets', cast({(B - A) // 900_000_000 + 1} as bigint)")(
+        lambda t: report(t, A, B)["summary"].select(F.lit("requests").alias("part"), F.col("requests").alias("n")).unionByName(report(t, A, B)["series"].agg(F.count("*").alias("n")).select(F.lit("buckets").alias("part"), "n"))
+    )

@@ -2,7 +2,8 @@
 
 A small tree builder closes tags as the HTML standard implies (paragraphs, list items, table parts, options) and drops
 what is not shown (head, scripts, styles, hidden elements, comments). What is left is emitted whole: blocks on lines of their own,
-paragraphs and headings between blank lines, lists with bullets or numbers, table cells in aligned columns.
+paragraphs and headings between blank lines, lists with bullets or numbers, table cells in aligned columns, options, text areas and
+labels of drawings as lines, formulas inline.
 
 Null and empty pages give empty text. Broken markup never fails: unknown end tags are ignored, open tags end with the page.
 """
@@ -27,7 +28,12 @@ BLANKS = re.compile(r"[ \t\n\f\r]+")
 # Element classes of the HTML standard (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math select datalist title textarea".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title annotation annotation-xml mphantom".split())
+#: Parts of drawings that aren't shown where they stand; parts of formulas that stand apart.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask marker pattern".split())
+APART = frozenset("mfrac mtr munder mover munderover".split())
+#: Elements that take lines of their own though they aren't blocks.
+LINES = frozenset("tr td th select option optgroup textarea text mtr".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset".split())
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li main menu nav section summary caption".split())
 #: A start tag of the key closes open elements of the values, up to a boundary.
@@ -99,6 +105,8 @@ class Renderer:
     def start(self, tag: str, attributes: str) -> None:
         if tag in BLOCK and tag not in ("body", "html") and self.counted.get("p"):
             self.close_up_to({"p"}, {"table", "td", "th", "button", "caption"})
+        if tag in BLOCK or tag in ("tr", "td", "th", "br", "hr"):
+            self.close_up_to({"svg", "math"}, {"foreignobject", "annotation-xml"})
         if tag in IMPLIED:
             self.close_up_to(IMPLIED[tag], BOUNDARY.get(tag, {"table"}))
         elif self.counted.get("head") and tag not in ("meta", "link", "base", "html", "head", "noscript", "template") and tag not in RAW:
@@ -114,12 +122,19 @@ class Renderer:
         if self.unseen:
             self.unseen += 1
             return
-        if tag in UNSEEN or attributes and self.hidden(attributes):
+        if tag in UNSEEN or tag in UNDRAWN and self.counted.get("svg") or attributes and self.hidden(attributes):
             self.unseen = 1
             return
         flow = self.flows[-1]
-        if tag in BLOCK or tag in ("tr", "td", "th"):
+        if len(self.open) > 1 and self.open[-2] in APART:
+            flow.space = bool(flow.now)
+        if tag in BLOCK or self.on_lines(tag):
             flow.end_line(1 if tag in SPACED and not (tag in ("ul", "ol") and self.lists) else 0)
+        if tag == "optgroup":
+            for name, a, b, c in ATTRIBUTE.findall(attributes):
+                if name.lower() == "label":
+                    flow.text(html.unescape(a or b or c))
+                    flow.end_line()
         if tag == "ol":
             found = re.search(r"\bstart\s*=\s*[\"']?(-?\d{1,9})", attributes)
             self.lists.append(int(found[1]) if found else 1)
@@ -143,9 +158,12 @@ class Renderer:
             if not self.tables[-1]:
                 self.tables[-1].append([])
             self.flows.append(Flow(tag))
-        elif tag == "pre":
+        elif tag in ("pre", "textarea"):
             self.pre += 1
 
+    def on_lines(self, tag: str) -> bool:
+        return tag in LINES and (tag != "text" or bool(self.counted.get("svg")))
+
     @staticmethod
     def hidden(attributes: str) -> bool:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
@@ -209,10 +227,15 @@ class Renderer:
         elif tag in BLOCK:
             flow.end_line(1 if tag in SPACED else 0)
             self.pre -= tag == "pre"
+        elif self.on_lines(tag):
+            flow.end_line()
+            self.pre -= tag == "textarea"
 
     def text(self, s: str) -> None:
         if self.unseen or not s:
             return
+        if self.counted.get("svg") and not self.counted.get("text") and not self.counted.get("foreignobject"):
+            return
         if "&" in s:
             s = html.unescape(s)
         if self.counted.get("head") and s.strip():
@@ -243,11 +266,15 @@ def render(page: str | None) -> str:
             r.end(tag)
             continue
         r.start(tag, found[3])
-        if tag in RAW:
-            stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
-            at = stop.start() if stop else len(page)
-        elif found[3].endswith("/") and tag in ("svg", "math"):
+        foreign = r.counted.get("svg") or r.counted.get("math")
+        if foreign and found[3].endswith("/"):
             r.end(tag)
+        elif tag in RAW:
+            stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            end = stop.start() if stop else len(page)
+            if tag == "textarea":
+                r.text(re.sub(r"^\r?\n", "", page[at:end]))
+            at = end
     while r.open:
         r.pop()
     r.flows[0].end_line()

@@ -317,3 +317,19 @@ def test_warc_derivatives(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(b"".join(bytes(r.record) for r in made))
     back = warc.read_warc(spark, str(tmp_path)).collect()
     assert sorted((r.warc_type, r.record_id, r.refers_to, r.payload) for r in back) == sorted((r.warc_type, r.record_id, r.refers_to, r.block) for r in made)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds", "So x=2 holds"),
+        ("<math><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>tex</annotation></math>", "1 2"),
+        ("<p>Pick <select><optgroup label='Fruit &amp; nuts'><option>Pear<option selected>Fig</select> now", "Pick\nFruit & nuts\nPear\nFig\nnow"),
+        ("<p>Say<textarea>\na <b>&lt; c\n  d</textarea>end", "Say\na <b>< c\n  d\nend"),
+        ("a<svg><title>t</title><defs><text>no</text></defs>stray<path d=''/><text x=1>Label <tspan>one</tspan></text><text>Two</text></svg>b", "a\nLabel one\nTwo\nb"),
+        ("<svg/>a<svg><text>In</text><p>After", "a\nIn\n\nAfter"),
+        ("<svg><foreignObject><p>Shown</p></foreignObject></svg>", "Shown"),
+    ],
+)
+def test_formulas_forms_and_drawings_are_shown(page, text):
+    assert html_text.render(page) == text

@@ -111,14 +111,27 @@ def append_first_wins(new: DataFrame, path: str, keys: tuple[str, ...], order: s
 
 
 def upsert_last_wins(new: DataFrame, path: str, keys: tuple[str, ...], order: str) -> None:
-    """Rewrite the day partitions that new rows touch, the newest row of a key winning."""
+    """Rewrite the day partitions that new rows touch or that hold their keys, the newest row of a key winning, on whatever day it is."""
     spark, n = new.sparkSession, with_day(new, "ts_us")
     target = table_at(spark, path)
+    days, left = set(), set()
     if target is not None:
-        days = [r[0] for r in n.select("dt").distinct().collect()]
-        n = last_wins(target.where(F.col("dt").isin(days)), n, keys, order)
+        known = n.select(*keys).distinct()
+        held = target.select(*keys, "dt").join(known, same(target, known, keys), "left_semi")
+        days = {r[0] for r in n.select("dt").union(held.select("dt")).distinct().collect()}
+        inside = F.col("dt").isin([d for d in days if d is not None])
+        n = last_wins(target.where(inside | F.col("dt").isNull() if None in days else inside), n, keys, order)
         n = _detached(n, path)
+        left = {r[0] for r in n.select("dt").distinct().collect()}
     n.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
+    # A day that has lost its last row isn't written; a run that stops before this is made good by the next upsert of the key.
+    for day in days - left:
+        _drop_partition(spark, f"{path.rstrip('/')}/dt={'__HIVE_DEFAULT_PARTITION__' if day is None else day}")
+
+
+def _drop_partition(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _detached(df: DataFrame, path: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """WARC derivatives: from response records, a metadata record and a plain-text conversion record each.
 
 Derivatives name their source in WARC-Refers-To, carry its target URI, date and HTTP headers, and its payload digest; their
-blocks have digests of their own. Records are rows, and only Spark's own functions work on them; read_warc() and
+blocks have digests of their own. Records are rows, and only Spark's own functions and one that decodes entities work on them; read_warc() and
 serialised() translate from and to the file format.
 
 A null payload is an empty one, null URIs and headers are empty strings in the records. Ids follow from the contents,
@@ -10,17 +10,22 @@ so that reruns agree; equal responses at one URI and date have equal ids.
 
 from __future__ import annotations
 
-import gzip
-import io
+import codecs
+import html
+import re
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 EOL = "\r\n"
 UNSHOWN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
 BREAKS = r"(?i)</?(?:p|div|h[1-6]|ul|ol|li|table|tr|br|hr|article|section|nav|header|footer|aside|main|blockquote|pre|body|html)\b[^>]*>"
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+NO_BREAK = re.compile(r"&(?:nbsp;?|#0*160;|#[xX]0*[aA]0;)")
+CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([A-Za-z0-9._:-]+)", re.I)
+MEMBER = b"\x1f\x8b\x08"
 
 
 def urn(*parts: Column) -> Column:
@@ -33,14 +38,18 @@ def digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block.cast("binary"), 256))
 
 
+@F.pandas_udf(StringType())
+def decoded(text: pd.Series) -> pd.Series:
+    """All named and numeric entities as characters, no-break ones as blanks."""
+    return text.map(lambda x: html.unescape(NO_BREAK.sub(" ", x)) if x and "&" in x else x)
+
+
 def plain_text(markup: Column) -> Column:
     """Text of a page without tags: blocks on lines of their own, blanks collapsed."""
     t = F.regexp_replace(markup, F.lit(UNSHOWN), F.lit(" "))
     t = F.regexp_replace(F.regexp_replace(t, F.lit(r"[\t\n\x0B\f\r ]+"), F.lit(" ")), F.lit(BREAKS), F.lit("\n"))
     t = F.regexp_replace(t, F.lit(r"<[^>]*>"), F.lit(""))
-    for name, character in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(character))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, F.lit(" *\n[ \n]*"), F.lit("\n")), F.lit("^\n+|\n+$"), F.lit("")))
+    return F.trim(F.regexp_replace(F.regexp_replace(decoded(t), F.lit(" *\n[ \n]*"), F.lit("\n")), F.lit("^\n+|\n+$"), F.lit("")))
 
 
 def responses_from_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -61,21 +70,28 @@ def derivatives(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Two rows for each response (record_id, target_uri, warc_date, http_headers, payload), with the columns in keep:
 
     warc_type, record_id, refers_to, target_uri, warc_date, content_type, content_length, block_digest, source_digest, block.
+    Where responses have body (the payload's bytes), length and source_digest are taken of it; digests that the source states
+    (payload_digest, warc_block_digest) stand in the metadata.
     """
+    own = [c for c in ("body", "payload_digest", "warc_block_digest") if c in responses.columns]
+    responses = responses.select("*", *[F.col(c).alias(f"__{c}") for c in own])
     text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("record_id", "target_uri", "warc_date", "http_headers", "payload")}
-    r = responses.select(*keep, *[v.alias(c) for c, v in text.items()])
-    r = r.withColumn("source_digest", digest(F.col("payload"))).withColumn("text", plain_text(F.col("payload")))
+    r = responses.select(*keep, *[v.alias(c) for c, v in text.items()], *[f"__{c}" for c in own])
+    body = F.coalesce("__body", F.col("payload").cast("binary")) if "body" in own else F.col("payload")
+    stated = [F.col(f"__{c}").alias(name) for c, name in (("payload_digest", "stated_payload_digest"), ("warc_block_digest", "stated_block_digest")) if c in own]
+    r = r.withColumn("source_digest", digest(body)).withColumn("text", plain_text(F.col("payload")))
     title = F.trim(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1))
     found = F.to_json(
         F.struct(
             F.col("record_id").alias("refers_to"),
             F.col("target_uri"),
             F.col("source_digest").alias("payload_digest"),
-            F.octet_length("payload").alias("payload_length"),
+            F.octet_length(body).alias("payload_length"),
             F.col("http_headers"),
             title.alias("title"),
             F.regexp_count("payload", F.lit(r"(?i)<a\s[^>]*href")).alias("links"),
             F.octet_length("text").alias("text_length"),
+            *stated,
         )
     )
     both = F.array(
@@ -115,41 +131,85 @@ def serialised(records: DataFrame) -> DataFrame:
     return records.withColumn("record", F.concat(F.concat_ws(EOL, *lines), F.lit(EOL * 2), "block", F.lit(EOL * 2)).cast("binary"))
 
 
+def inflated(data: bytes) -> bytes:
+    """The bytes of a WARC file, compressed or not; after a damaged member of a compressed one, the next member that can be read."""
+    if data[:2] != MEMBER[:2]:
+        return data
+    out, at = [], 0
+    while at >= 0:
+        d, to = zlib.decompressobj(31), at
+        try:
+            while to < len(data) and not d.eof:
+                out.append(d.decompress(data[to : to + (1 << 16)]))
+                to = min(to + (1 << 16), len(data))
+        except zlib.error:
+            pass
+        if not d.eof:
+            out.append(b"\r\nWARC/damaged\r\n\r\n")
+        at = data.find(MEMBER, to - len(d.unused_data) if d.eof else at + 1)
+    return b"".join(out)
+
+
 def records_of(data: bytes):
-    """(headers, block) of each record in a WARC file, compressed or not; stops at a damaged record."""
-    stream = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
-            continue
+    """(headers, block, damage) of each record in a WARC file, compressed or not; damage is null for a sound record.
+
+    A damaged record (no length, or a length that doesn't end before another record or the end) has all bytes up to the next WARC/ line.
+    """
+    data = inflated(data)
+    start = 0 if data.startswith(b"WARC/") else data.find(b"\nWARC/") + 1 or len(data)
+    if data[:start].strip():
+        yield {}, data[:start], "no record"
+    while start < len(data):
+        after = data.find(b"\nWARC/", start) + 1 or len(data)
+        ends = re.compile(rb"\r?\n\r?\n").search(data, start)
         headers: dict[str, str] = {}
-        while (line := stream.readline()).strip():
+        at = ends.end() if ends else len(data)
+        for line in data[start:at].splitlines()[1:]:
             name, _, value = line.decode("utf-8", "replace").partition(":")
             headers[name.strip().lower()] = value.strip()
         size = headers.get("content-length", "")
-        if not size.isdigit():
-            return
-        yield headers, stream.read(int(size))
+        end = at + int(size) if size.isascii() and size.isdigit() else -1
+        following = re.compile(rb"[\r\n]*").match(data, end).end() if 0 <= end <= len(data) else -1
+        if following >= 0 and (following == len(data) or data.startswith(b"WARC/", following)):
+            yield headers, data[at:end], None
+            start = following
+        else:
+            yield headers, data[min(at, after) : after], "length" if end >= 0 else "no length"
+            start = after
+
+
+def text_of(body: bytes, declared: str) -> str:
+    """A payload by its declared charset (HTTP header, else the page's start), else UTF-8; replacement characters where it doesn't hold."""
+    found = CHARSET.search(declared.encode("utf-8", "replace")) or CHARSET.search(body[:1024])
+    try:
+        name = codecs.lookup(found[1].decode() if found else "utf-8").name
+        return body.decode({"iso8859-1": "cp1252", "ascii": "cp1252"}.get(name, name), "replace")  # as browsers read these labels
+    except (LookupError, ValueError):
+        return body.decode("utf-8", "replace")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """warc_type, record_id, refers_to, target_uri, warc_date, http_headers, payload of every record in the files, a task for each file.
+    """warc_type, record_id, refers_to, target_uri, warc_date, http_headers, payload of every record in the files, a task for each file;
 
-    Payloads are decoded as UTF-8, with replacement characters where they are not.
+    body (the payload's bytes), payload_digest and warc_block_digest (as the record states them), damage (null for a sound record).
     """
+    names = ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date")
 
     def run(batches):
         for batch in batches:
             rows = []
             for content in batch["content"]:
-                for h, block in records_of(content):
+                for h, block, damage in records_of(content):
                     head, cut, body = block.partition(b"\r\n\r\n")
                     if not h.get("content-type", "").startswith("application/http") or not cut:
                         head, body = b"", block
-                    rows.append((h.get("warc-type"), h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), head.decode("utf-8", "replace"), body.decode("utf-8", "replace")))
-            yield pd.DataFrame(rows, columns=["warc_type", "record_id", "refers_to", "target_uri", "warc_date", "http_headers", "payload"])
+                    http = head.decode("utf-8", "replace")
+                    stated = re.search(r"(?im)^content-type:.*$", http)
+                    rows.append((*[h.get(n) for n in names], http, text_of(body, stated[0] if stated else h.get("content-type", "")), body, h.get("warc-payload-digest"), h.get("warc-block-digest"), damage))
+            yield pd.DataFrame(rows, columns=["warc_type", "record_id", "refers_to", "target_uri", "warc_date", "http_headers", "payload", "body", "payload_digest", "warc_block_digest", "damage"])
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, http_headers string, payload string")
+    return files.mapInPandas(run, "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, http_headers string, payload string, body binary, payload_digest string, warc_block_digest string, damage string")
 
 
 #: What op2_warc returns, for DuckDB.

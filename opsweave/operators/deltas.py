@@ -12,23 +12,27 @@ from pyspark.sql import functions as F
 from ..functions.exprs import SECOND, bucket_us, hist_percentile
 
 
-def counter_deltas(scrapes: DataFrame, counters: list[str]) -> DataFrame:
+def counter_deltas(scrapes: DataFrame, counters: list[str], started: str | None = None) -> DataFrame:
     """Wide scrapes (source, ts_us, n, ...) with d_<counter> and seconds since the scrape before; null at restarts and at the first.
 
-    A restart of any counter clears the differences of all.
+    A restart of any counter clears the differences of all; so does another value in started, a column of start times or run numbers,
+    than the last one known.
     """
     w = Window.partitionBy("source").orderBy("n")
     before = {c: F.lag(c).over(w) for c in counters}
     fell = F.lit(False)
     for c in counters:
         fell = fell | F.coalesce(F.col(c) < before[c], F.lit(False))
+    if started is not None:
+        known = F.last(started, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        fell = fell | F.coalesce(F.col(started) != known, F.lit(False))
     d = scrapes.withColumn("restart", fell).withColumn("seconds", (F.col("ts_us") - F.lag("ts_us").over(w)) / SECOND)
     return d.select("*", *[F.when(~F.col("restart"), F.col(c) - before[c]).alias(f"d_{c}") for c in counters])
 
 
-def histogram_deltas(scrapes: DataFrame, cumulative: list[str]) -> DataFrame:
+def histogram_deltas(scrapes: DataFrame, cumulative: list[str], started: str | None = None) -> DataFrame:
     """Wide scrapes with counts: what each bucket gained since the scrape before, from cumulative buckets; null at restarts."""
-    d = counter_deltas(scrapes, cumulative)
+    d = counter_deltas(scrapes, cumulative, started)
     gained = [F.col(f"d_{c}") for c in cumulative]
     own = F.array(*[g - (gained[i - 1] if i else F.lit(0)) for i, g in enumerate(gained)])
     return d.withColumn("counts", F.when(gained[0].isNotNull() & ~F.exists(own, lambda x: x < 0), own))

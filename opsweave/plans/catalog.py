@@ -320,6 +320,9 @@ select g.bucket, round(mean, 9) as mean, peak from {grid(A, B, 900)} g left join
     )
 
 
+query("d1_d2_d4_counter_deltas_started", f"select source, n, restart, case when not restart then cast(counter - pc as bigint) end as d_counter from (select *, ({FELL}) or coalesce(run <> pr, false) as restart from (select *, lag(run) over w as pr, {LAGS}) a) b")(
+    lambda t: deltas.counter_deltas(t("scrapes"), ALL, "run").select("source", "n", "restart", "d_counter")
+)
 query("a14_device_ownership_whole", "select source, coalesce(array_to_string(list_sort(list_distinct(list(k % 4))), ','), '') as held, count(*) as samples from {requests} group by 1")(
     lambda t: t("requests").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set(F.col("k") % 4)), ",").alias("held"), F.count("*").alias("samples"))
 )

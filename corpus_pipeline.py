@@ -25,9 +25,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group linked by five-word shingles at a similarity of 0.8: that of the smallest doc_id."""
-    kept = near_duplicates(docs, size=5).where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("__kept"), "left_semi")
+    """One document stays of each group linked by five-word shingles at a similarity of 0.8: that of the smallest doc_id.
+
+    Rows without a doc_id stay; rows that repeat a doc_id are one document and stay or go together.
+    """
+    kept = near_duplicates(docs, size=5).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    named = docs.join(kept, docs["doc_id"].cast("long") == F.col("__kept"), "left_semi")
+    return named.unionByName(docs.where(docs["doc_id"].cast("long").isNull()))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -89,6 +90,21 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def slice_digests(data: np.ndarray, start: np.ndarray, stop: np.ndarray, long: int = 256) -> np.ndarray:
+    """A 64-bit hash for each non-empty slice, eight bytes mixed after eight; slices over long bytes by xxh3."""
+    size = stop - start
+    eights = np.ndarray((len(data),), "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+    h = mix(size.astype(U64), 41)
+    short = np.flatnonzero(size <= long)
+    for at in range(0, int(size[short].max(initial=0)), 8):
+        short = short[size[short] > at]
+        rest = np.minimum(size[short] - at, 8).astype(U64)
+        h[short] = mix(h[short] ^ (eights[start[short] + at] << (U64(64) - U64(8) * rest)))
+    for i in np.flatnonzero(size > long).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : stop[i]].tobytes())
+    return h
+
+
 def word_hashes(text: bytes, step: int = 1 << 20) -> np.ndarray:
     """A 64-bit hash for each word, in order; long texts go in slices that end between words."""
     out, at = [], 0
@@ -104,7 +120,7 @@ def word_hashes(text: bytes, step: int = 1 << 20) -> np.ndarray:
         part = data[at:end]
         start, stop = word_spans(part)
         if len(start):
-            out.append(mix(slice_hash(prefix_hash(part), start, stop) + (stop - start).astype(U64)))
+            out.append(slice_digests(part, start, stop))
         at = end
     return np.concatenate(out) if out else np.empty(0, U64)
 

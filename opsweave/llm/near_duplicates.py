@@ -2,18 +2,18 @@
 
 1. Each text becomes a set of word shingles, a fingerprint of that set and a MinHash signature. Documents
    with equal sets form one class; only the smallest doc_id of a class goes on.
-2. Classes that share a band of the signature meet in a bucket. A bucket pairs its members with a leader, the one that
-   meets most others in all its buckets (the original of a group of copies, if it is there), and what stays unlinked with
-   more leaders. Members of buckets that still hold several components meet once more, by rare shingles: of sets as similar
-   as the threshold, those parts of the sets share a shingle that are too large to differ (prefix filter), whatever the order of
-   shingles; with rare ones first, a common passage brings nothing together. No bucket is capped, and all of its links are found.
-3. Pairs are compared one batch of signature values after another, the first batch (one bit of each of 128 values) while
-   buckets are joined. A pair goes as soon as the posterior probability that its similarity reaches the threshold is
-   below miss (BayesLSH; uniform prior).
-4. Survivors are confirmed on the full shingle sets; components of the links give the groups.
+2. Classes that share a band of the signature meet in a bucket. First a bucket pairs its members with one leader, the one
+   that meets most others in all its buckets (the original of a group of copies, if it is there).
+3. Pairs are compared one batch of signature values after another. A pair goes as soon as the posterior probability that
+   its similarity reaches the threshold is below miss (BayesLSH; uniform prior). Survivors are confirmed on the full sets.
+4. Buckets whose members still lie in several components are dealt out in blocks, and two blocks at a time meet in a group:
+   first to test signatures, then, for members with a surviving partner, to confirm on full sets. A group skips pairs that
+   lie in one component and returns only links that join two: fewer than it has members. No bucket is capped, and no task
+   holds more than two blocks of one.
 
 Texts: A-Z are lower-cased, words are runs of [^\\x20\\x09-\\x0D]. Null and empty texts have the empty set and are
-linked with nothing. Rows that repeat a doc_id count as copies of one document if their texts agree.
+linked with nothing. Rows that repeat a doc_id are one document: what any of them is linked with, that document is.
+A row without a doc_id has its set counted, is linked with nothing (component_id null) and is kept.
 """
 
 from __future__ import annotations
@@ -22,20 +22,21 @@ import functools
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialise, mix, spread, word_hashes
+from .common import U64, kept_id, materialise, mix, spread, word_hashes
 from .components import connected_components
 
 #: Signature values compared at a time by the Bayesian test.
 BATCH = 16
 #: Values of which the first test compares one bit each.
 BITS = 128
-#: Leaders that a bucket compares its members with before all remaining pairs are looked at.
-LEADERS = 8
-#: Slots of the counts that order shingles, as a power of 2: a fixed size, whatever the corpus.
-SLOTS = 18
+#: Members of a block, and shingles in it: what is over goes to more blocks.
+BLOCK, SHINGLES = 512, 1 << 20
+#: Columns of a table of members and shingles that are multiplied at a time.
+COLUMNS = 2048
 
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
@@ -113,13 +114,13 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def sketches(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
+def sketches(source: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, f1, f2 (fingerprint of the set), sig (low bytes of the signature), b1, b2 (a bit of each value), keys (of the bands)."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for doc, t in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
+            for doc, t in zip(batch["doc"].tolist(), batch["text"].tolist(), strict=True):
                 s = shingle_set(t or "", size)
                 if not len(s):
                     out.append((doc, 0, 0, 0, b"", 0, 0, []))
@@ -128,13 +129,13 @@ def sketches(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, row
                 h = np.arange(bands, dtype=U64)
                 for column in sig.reshape(bands, rows).T:
                     h = mix(h * U64(0x9E3779B97F4A7C15) + column)
-                f1, f2 = (int(np.add.reduce(mix(s, k)).view(np.int64)) for k in (5, 6))
+                f1, f2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
                 b1, b2 = np.packbits((sig[:BITS] >> np.uint32(8)).astype(np.uint8) & 1).view(np.int64).tolist()
                 out.append((doc, len(s), f1, f2, sig.astype(np.uint8).tobytes(), b1, b2, h.view(np.int64)))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "f1", "f2", "sig", "b1", "b2", "keys"])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    return source.mapInPandas(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary, b1 long, b2 long, keys array<long>")
+    texts = source.select(F.col("doc_id").cast("string").alias("doc"), "text")
+    return kept_id(texts.mapInPandas(run, "doc_id string, n_shingles long, f1 long, f2 long, sig binary, b1 long, b2 long, keys array<long>"))
 
 
 def _able(percent: int, miss: float) -> Column:
@@ -145,146 +146,243 @@ def _able(percent: int, miss: float) -> Column:
     return (F.col("component") != F.col("o_component")) & sizes & (bits <= differ)
 
 
-_MEMBER = ("id", "component", "n_shingles", "b1", "b2")
+def _star(members: DataFrame, able: Column) -> DataFrame:
+    """Distinct pairs (a leader, b member) of each bucket's leader, the member that meets most others, with the members that can be similar."""
+    mine = ("id", "component", "n_shingles", "b1", "b2")
+    heads = members.groupBy("key").agg(F.max(F.struct("weight", F.xxhash64("id").alias("o"), *mine)).alias("h"))
+    heads = heads.select("key", *[F.col(f"h.{c}").alias(f"o_{c}") for c in mine])
+    return members.join(heads, "key").where(able).select(F.col("o_id").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def _pairs(members: DataFrame, others: DataFrame, able: Column) -> DataFrame:
-    """Distinct pairs (a < b) of what meets in a bucket and can be similar."""
-    other = others.select("key", *[F.col(c).alias(f"o_{c}") for c in _MEMBER])
-    return members.join(other, "key").where(able).select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+def _groups(df: DataFrame, key: list[str], order: list[str], each, schema: str) -> DataFrame:
+    """each(frame) for the rows of each key, sorted; a task holds one group and one batch at a time."""
 
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            k = batch[key].to_numpy()
+            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist()]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                yield from each(batch.iloc[x:y])
+            held = batch.iloc[cuts[-1] :]
+        if held is not None:
+            yield from each(held)
+
+    return spread(df, *key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
+
+
+def _as_set(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, U64)
+
+
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+
+
+def _pruned(pairs: DataFrame, signatures: DataFrame, percent: int, miss: float) -> DataFrame:
+    """The pairs that the sequential test keeps."""
+    a = signatures.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
+    b = signatures.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
+
+    def run(batches):
+        for p in batches:
+            if len(p):
+                yield p.iloc[surviving(_signatures(p["sa"]), _signatures(p["sb"]), percent / 100, miss)][["a", "b"]]
+
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
 
-def _star(members: DataFrame, leaders: int, able: Column) -> DataFrame:
-    """Pairs of the leaders of each bucket with its members: of as many classes of ids, the member that meets most others."""
-    first = F.max(F.struct("weight", F.xxhash64("id").alias("o"), *_MEMBER)).alias("h")
-    heads = members.groupBy("key", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(leaders)).alias("class")).agg(first).select("key", "h.*")
-    return _pairs(members, heads, able)
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets are similar enough. A leader's set goes once to each part of its members, and members pass one after another."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    pairs = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+    of = sets.select(F.col("id").alias("b"), "shingles")
+    members = pairs.select("a", "part", "b").join(of, "b").select("a", "part", F.lit(1).alias("second"), "b", "shingles")
+    leaders = pairs.select("a", "part", F.col("a").alias("b")).distinct().join(of, "b").select("a", "part", F.lit(0).alias("second"), "b", "shingles")
 
-def _open(members: DataFrame, components: DataFrame) -> DataFrame:
-    """Members of buckets whose members lie in more than one component, with their components."""
-    m = members.drop("component", "n").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    still = m.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x != y").select("key", "n")
+    def run(batches):
+        at, lead = None, []
+        for p in batches:
+            keep = []
+            for k, second, s in zip(zip(p["a"].tolist(), p["part"].tolist(), strict=True), p["second"].tolist(), p["shingles"].tolist(), strict=True):
+                if k != at:
+                    at, lead = k, []
+                if not second:
+                    lead.append(_as_set(s))
+                keep.append(bool(second) and any(similar(x, _as_set(s), percent) for x in lead))
+            yield p.loc[np.array(keep, bool), ["a", "b"]]
+
+    rows = spread(members.unionByName(leaders), "a", "part").sortWithinPartitions("a", "part", "second")
+    return rows.mapInPandas(run, "a long, b long")
+
+
+def _open(meeting: DataFrame, components: DataFrame) -> DataFrame:
+    """key, id, component of the members of buckets whose members lie in more than one component."""
+    m = meeting.select("key", "id").join(components, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    still = m.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
     return m.join(still, "key")
 
 
-def _rare_pairs(members: DataFrame, texts: DataFrame, size: int, percent: int, able: Column) -> DataFrame:
-    """Pairs of members with different components that share one of their rarest shingles, of those that similar sets must share."""
-    docs = members.select(*_MEMBER).distinct().join(texts, "id")
-    docs = materialise(spread(docs, "id"), "rest")
-    slot = U64(64 - SLOTS)
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """members (key, id, n_shingles, ...) with block and the two blocks (i <= j) of each group that they go to."""
+    need = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / SHINGLES))
+    blocks = members.groupBy("key").agg(need.alias("blocks"))
+    m = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")))
+    m = m.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return m.withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o")).drop("o", "blocks")
+
+
+def _candidates(group: pd.DataFrame, percent: int, miss: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a group that the sequential test keeps: in different components, of its two blocks."""
+    n, component, block = (group[c].to_numpy(np.int64) for c in ("n_shingles", "component", "block"))
+    able = 100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)
+    able &= component[:, None] != component
+    if group["i"].iat[0] != group["j"].iat[0]:
+        able &= block[:, None] != block
+    x, y = np.nonzero(np.triu(able, 1))
+    sig, kept = _signatures(group["sig"]), []
+    for at in range(0, len(x), 1 << 17):
+        p, q = x[at : at + (1 << 17)], y[at : at + (1 << 17)]
+        kept.append(at + surviving(sig[p], sig[q], percent / 100, miss))
+    kept = np.concatenate(kept) if kept else np.empty(0, np.int64)
+    return x[kept], y[kept]
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of tables of members and shingles."""
+    every, place = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(place, minlength=len(every)) > 1  # a shingle of one member is in no intersection
+    column = np.cumsum(often) - 1
+    member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    use = often[place]
+    member, column = member[use], column[place[use]]
+    order = np.argsort(column, kind="stable")
+    member, column = member[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for at in range(0, int(often.sum()), COLUMNS):
+        x, y = np.searchsorted(column, (at, at + COLUMNS))
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[member[x:y], column[x:y] - at] = 1
+        out += (held @ held.T).astype(np.int64)
+    return out
 
-    def count(batches):
-        seen = np.zeros(1 << SLOTS, np.int64)
-        for batch in batches:
-            for t in batch["text"].tolist():
-                np.add.at(seen, (shingle_set(t, size) >> slot).astype(np.int64), 1)
-        at = np.flatnonzero(seen)
-        yield pd.DataFrame({"slot": at, "n": seen[at]})
-
-    counts = docs.select("text").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    often = np.zeros(1 << SLOTS, np.int64)
-    often[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    often = docs.sparkSession.sparkContext.broadcast(often)
-
-    def rarest(batches):
-        n_in = often.value
-        for batch in batches:
-            keys, rows = [], []
-            for i, t in enumerate(batch["text"].tolist()):
-                s = shingle_set(t, size)
-                first = len(s) - -(-percent * len(s) // 100) + 1
-                keys.append(s[np.lexsort((s, n_in[(s >> slot).astype(np.int64)]))[:first]].view(np.int64))
-                rows.append(np.full(len(keys[-1]), i))
-            if rows:
-                out = batch[list(_MEMBER)].iloc[np.concatenate(rows)]
-                yield out.assign(key=np.concatenate(keys))
-
-    m = docs.mapInPandas(rarest, "id long, component long, n_shingles long, b1 long, b2 long, key long")
-    m = materialise(m, "rare")
-    mixed = m.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    m = m.join(mixed, "key", "left_semi")
-    return _pairs(m, m, able & (F.col("id") < F.col("o_id")))
-
-
-def links(docs: DataFrame, sketch: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
-    """id, component for the classes of sketch that are linked with others."""
-    classes = sketch.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"))
-    reps = sketch.join(classes.select("id"), sketch["doc_id"] == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+
+def joining_links(group: pd.DataFrame, percent: int, miss: float) -> list[tuple[int, int]]:
+    """Pairs of components that a link of the group joins; each joins two that no earlier one has joined."""
+    x, y = _candidates(group, percent, miss)
+    if not len(x):
+        return []
+    used = np.unique(np.concatenate([x, y]))
+    sets = [_as_set(s) for s in group["shingles"].iloc[used]]
+    p, q = np.searchsorted(used, x), np.searchsorted(used, y)
+    n = np.array([len(s) for s in sets])
+    if len(p) > 8 * len(used):
+        both = shared_counts(sets)[p, q]
+        ok = 100 * both >= percent * (n[p] + n[q] - both)
+    else:
+        ok = np.array([similar(sets[a], sets[b], percent) for a, b in zip(p.tolist(), q.tolist(), strict=True)])
+    component = group["component"].to_numpy(np.int64)[used].tolist()
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while c in root:
+            c = root[c]
+        return c
+
+    out = []
+    for a, b in zip(p[ok].tolist(), q[ok].tolist(), strict=True):
+        ca, cb = find(component[a]), find(component[b])
+        if ca != cb:
+            root[max(ca, cb)] = min(ca, cb)
+            out.append((ca, cb))
+    return out
+
+
+def _block_links(members: DataFrame, about: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
+    """a, b: components that a link between members (key, id, component) of one bucket joins. about: id, n_shingles, sig."""
+    known = materialise(_in_blocks(members.join(about, "id")), "blocks")
+
+    def partners(group: pd.DataFrame):
+        x, y = _candidates(group, percent, miss)
+        yield group.iloc[np.unique(np.concatenate([x, y]))][["key", "id", "component"]]
+
+    columns = ["key", "i", "j", "id", "component", "n_shingles", "block", "sig"]
+    left = _groups(known.select(*columns), ["key", "i", "j"], [], partners, "key long, id long, component long").distinct()
+    left = materialise(left, "partners")
+    # Of buckets with the same members, one.
+    buckets = left.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(5))).alias("y"))
+    left = left.join(buckets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+    def joined(group: pd.DataFrame):
+        yield pd.DataFrame(joining_links(group, percent, miss), columns=["a", "b"], dtype=np.int64)
+
+    dealt = _in_blocks(left.join(about, "id")).join(sets, "id")
+    return _groups(dealt.select(*columns, "shingles"), ["key", "i", "j"], [], joined, "a long, b long").distinct()
+
+
+def _classes(sketch: DataFrame) -> DataFrame:
+    """f1, f2, n_shingles, rep: the classes of documents with equal sets, by their smallest doc_id."""
+    return sketch.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+
+
+def links(source: DataFrame, sketch: DataFrame, classes: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
+    """id, component for the classes that are linked with others."""
+    reps = sketch.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
     reps = materialise(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sig", "b1", "b2", "keys"), "reps")
     every = reps.select(F.explode("keys").alias("key"), "id")
     met = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     meeting = materialise(every.join(met, "key"), "meeting")
     weight = meeting.groupBy("id").agg(F.sum("n").alias("weight"))
-    members = meeting.join(weight.join(reps.select("id", "n_shingles", "b1", "b2"), "id"), "id").withColumn("component", F.col("id"))
-    members = materialise(members, "members")
-    able = _able(percent, miss)
-
-    # What can be in a pair at all: signatures and texts of these are fetched once.
-    near = materialise(members.select("id").distinct(), "near")
-    signatures = materialise(reps.join(near, "id", "left_semi").select("id", "sig"), "signatures")
-    own = docs.join(near.hint("shuffle_hash"), docs["doc_id"] == near["id"]).select("id", "text").dropDuplicates(["id"])
-    texts = materialise(own, "texts")
-
-    def pruned(pairs: DataFrame) -> DataFrame:
-        a = signatures.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
-        b = signatures.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-        both = pairs.join(a, "a").join(b, "b")
-
-        def run(batches):
-            for p in batches:
-                if len(p):
-                    sa, sb = (np.frombuffer(b"".join(p[c]), np.uint8).reshape(len(p), -1) for c in ("sa", "sb"))
-                    keep = surviving(sa, sb, percent / 100, miss)
-                    yield p.iloc[keep][["a", "b"]]
-
-        return both.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Pairs whose full sets are similar enough."""
-        pairs = materialise(pruned(pairs), "pairs")
-        # The member's text travels with the pair; the leader's is met where the pairs of that leader are.
-        x = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        y = x.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-
-        def run(batches):
-            last: tuple[int | None, np.ndarray] = (None, np.empty(0, U64))
-            for p in batches:
-                keep = []
-                for a, ta, tb in zip(p["a"].tolist(), p["ta"].tolist(), p["tb"].tolist(), strict=True):
-                    if last[0] != a:
-                        last = (a, shingle_set(ta, size))
-                    keep.append(similar(last[1], shingle_set(tb, size), percent))
-                yield p.loc[np.array(keep, bool), ["a", "b"]]
-
-        return y.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
-
-    edges = materialise(confirmed(_star(members, 1, able)), "links")
-    components = connected_components(edges)
-    for leaders in (LEADERS, 0):
-        rest = materialise(_open(members, components), "open")
-        if rest.isEmpty():
-            break
-        pairs = _star(rest, leaders, able) if leaders else _rare_pairs(rest, texts, size, percent, able)
-        more = materialise(confirmed(pairs), "links")
-        if more.isEmpty():
-            continue
-        edges = edges.unionByName(more)
-        components = connected_components(edges)
-    return components
+
+    # What can be in a pair at all: signatures and sets of these are fetched once.
+    about = materialise(reps.join(weight, "id").select("id", "n_shingles", "sig", "b1", "b2", "weight"), "about")
+    near = source.join(about.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+
+    def as_sets(batches):
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["doc_id"], "shingles": [shingle_set(t or "", size).tobytes() for t in batch["text"].tolist()]})
+
+    sets = materialise(near.mapInPandas(as_sets, "id long, shingles binary"), "sets")
+    members = meeting.select("key", "id").join(about.drop("sig"), "id").withColumn("component", F.col("id"))
+    about = about.select("id", "n_shingles", "sig")
+
+    pairs = materialise(_pruned(_star(members, _able(percent, miss)), about, percent, miss), "pairs")
+    components = connected_components(materialise(_confirmed(pairs, sets, percent), "links"))
+    open_ = materialise(_open(meeting, components), "open")
+    if open_.isEmpty():
+        return components
+    more = connected_components(materialise(_block_links(open_, about, sets, percent, miss), "joining"))
+    return _relabelled(components, more)
+
+
+def _relabelled(components: DataFrame, more: DataFrame) -> DataFrame:
+    """components (id, component) after components were joined as more (id, component of a component) says."""
+    above = more.select(F.col("id").alias("component"), F.col("component").alias("joined"))
+    below = components.join(above, "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
+    return below.unionByName(more.join(components, "id", "left_anti").select("id", "component"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = 44, rows: int = 6, miss: float = 1e-7) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs with a doc_id.
+    """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
     size: words in a shingle; percent: least similarity of a link; bands * rows: signature length. The chance
     that bands miss a pair at the threshold is (1 - t**rows)**bands: 2e-6 at 80 percent by default. bands * rows is BITS at least.
     """
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    sketch = materialise(sketches(source, "doc_id", "text", size, bands, rows), "sketches")
-    found = links(source, sketch, size, percent, miss)
-    classes = sketch.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    of_class = classes.join(found, F.col("rep") == F.col("id"), "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    own = sketch.select("doc_id", "n_shingles", "f1", "f2").join(of_class, ["f1", "f2", "n_shingles"], "left")
-    component = F.coalesce("component", "doc_id")
-    return own.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    sketch = materialise(sketches(source, size, bands, rows), "sketches")
+    classes = materialise(_classes(sketch), "classes")
+    found = links(source, sketch, classes, size, percent, miss)
+    own = sketch.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2", "n_shingles"], "left").drop("f1", "f2")
+    own = own.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component"))
+    own = materialise(own, "own")
+    own = own.withColumn("component", F.when(F.col("doc_id").isNotNull(), F.col("component")))
+    # Rows of one document that came into several components join them.
+    several = own.groupBy("doc_id").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b")
+    if not several.isEmpty():
+        edges = own.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("component").alias("b"))
+        more = connected_components(edges).select(F.col("id").alias("component"), F.col("component").alias("joined"))
+        own = own.join(more, "component", "left").select("doc_id", "n_shingles", F.coalesce("joined", "component").alias("component"))
+    return own.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))

@@ -162,13 +162,51 @@ def brute_components(rows, size):
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_duplicates(spark, rows, monkeypatch, size):
     if size == 2:
-        monkeypatch.setattr(near_duplicates, "SLOTS", 4)
+        monkeypatch.setattr(near_duplicates, "BLOCK", 3)
     got = near_duplicates.near_duplicates(table(spark, rows), size=size).collect()
     assert {r.doc_id: tuple(r)[1:] for r in got} == brute_components(rows, size)
     if size == 2:
         assert near_duplicates.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_near_duplicates_around_one_text(spark, monkeypatch):
+    """Two thousand different texts at similarities from 0.4 to 1 to one, in blocks of 100."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base), None)]
+    for i in range(1, 2000):
+        w = list(base)
+        for _ in range(r.randint(0, 45) if i % 2 else r.randint(9, 17)):
+            w[r.randrange(150)] = r.choice([f"v{r.randrange(30)}", f"u{i}x{r.randrange(9)}"])
+        rows.append((i, " ".join(w), None))
+    monkeypatch.setattr(near_duplicates, "BLOCK", 100)
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(table(spark, rows), size=2).collect()}
+    sets = [set(zip(t.split(), t.split()[1:], strict=False)) for _, t, _ in rows]
+    names = {s: k for k, s in enumerate(set().union(*sets))}
+    held = np.zeros((len(rows), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [names[x] for x in s]] = 1
+    both = (held @ held.T).astype(int)
+    n = np.array([len(s) for s in sets])
+    linked = 100 * both >= 80 * (n[:, None] + n - both)
+    label = np.arange(len(rows))
+    while (low := np.where(linked, label, len(rows)).min(axis=1)).tolist() != label.tolist():
+        label = low
+    assert 100 < len(set(label.tolist())) < 1900
+    assert [got[i] for i in range(len(rows))] == label.tolist()
+
+
+def test_near_duplicates_ids_and_words(spark):
+    """Rows without an id stay, rows of one id are one document, and words of equal polynomial hashes differ."""
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    text = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(None, text, None), (None, None, None), (3, text, None), (5, text + " more", None), (5, other, None), (7, other, None), (7, other, None), (8, "", None), (9, thue, None), (10, thue.translate({97: 98, 98: 97}), None)]
+    got = near_duplicates.near_duplicates(table(spark, rows), size=2).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id) == [(3, 39, 3, True), (5, 39, 3, False), (5, 40, 3, False), (7, 39, 3, False), (7, 39, 3, False), (8, 0, 8, True), (9, 1, 9, True), (10, 1, 10, True)]
+    assert sorted((r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is None) == [(0, None, True), (39, None, True)]
+
+
 def test_bayesian_test_keeps_similar_pairs():
     r = np.random.default_rng(1)
     a = r.integers(0, 256, (4000, 160)).astype(np.uint8)

@@ -1,6 +1,7 @@
 """The stages of the pipeline, each on its own input, and the whole of it."""
 
 import hashlib
+from collections import Counter
 
 import corpus_pipeline
 import pytest
@@ -23,10 +24,16 @@ def test_near_duplicates_keep_one_of_each_group(spark, docs):
 
 
 def test_repeats_go_and_lengths_follow(spark, docs):
+    """Word by word against all windows of 50 words."""
     out = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
-    before = {r.doc_id: r for r in docs.collect()}
-    assert out[20].text == "" and out[20].n_chars == 0
-    assert out[25].text == before[3].text + " " and out[3].text == before[3].text
+    before = {r.doc_id: r.text for r in docs.collect()}
+    words = {i: (t or "").split() for i, t in before.items()}
+    often = Counter(tuple(w[k : k + 50]) for w in words.values() for k in range(len(w) - 49))
+    for i, w in words.items():
+        gone = {j for k in range(len(w) - 49) if often[tuple(w[k : k + 50])] > 1 for j in range(k, k + 50)}
+        assert (out[i].text or "").split() == [x for j, x in enumerate(w) if j not in gone]
+    assert out[20].text == "" and out[20].n_chars == 0 and out[3].text == "" and out[5].text == before[5]
+    assert out[25].text == " w" and out[22].text == " more"
     assert out[23].text is None and out[24].text == ""
 
 

@@ -121,15 +121,39 @@ def brute_removal(rows, length):
     return out
 
 
+def brute_passages(rows, length):
+    seen: dict[tuple, int] = {}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t, _ in rows}
+    for w in words.values():
+        for k in range(len(w) - length + 1):
+            seen[tuple(w[k : k + length])] = seen.get(tuple(w[k : k + length]), 0) + 1
+    out = {}
+    for i, w in words.items():
+        gone = np.zeros(len(w), bool)
+        for k in range(len(w) - length + 1):
+            if seen[tuple(w[k : k + length])] > 1:
+                gone[k : k + length] = True
+        out[i] = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+    return out
+
+
 @pytest.mark.parametrize("together", [4096, 2])
 def test_repeated_strings(spark, rows, monkeypatch, together):
     monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
     got = suffix_dedup.removal_digests(table(spark, rows)).collect()
-    assert {r.doc_id: tuple(r)[1:] for r in got} == brute_removal(rows, 400)
+    assert {r.doc_id: tuple(r)[1:5] for r in got} == brute_removal(rows, 400)
+    assert {r.doc_id: r.n_passages for r in got} == brute_passages(rows, 50)
     if together > 2:
         assert suffix_dedup.removal_digests(table(spark, [])).count() == 0
 
 
+def test_repeats_of_rows_without_or_with_repeated_ids(spark, words):
+    rows = [(1, words[0], "a"), (1, "short", "a"), (None, words[0][50:900] + "x", "a"), (None, None, "a"), (2, words[1] + words[0][:700], None), (3, words[3], None), (3, words[3], None)]
+    want = brute_removal([(k, t, s) for k, (_, t, s) in enumerate(rows)], 400)
+    got = suffix_dedup.removal_digests(table(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, *r[1:5]) for r in got) == sorted((rows[k][0] or 0, *v) for k, v in want.items())
+
+
 def test_repeats_leave_the_texts_at_whole_characters(spark, rows):
     out = suffix_dedup.remove_repeats(table(spark, rows))
     assert out.columns == table(spark, []).columns

@@ -3,13 +3,15 @@
 1. Each text becomes a set of word shingles, a fingerprint of that set and a MinHash signature. Documents
    with equal sets form one class; only the smallest doc_id of a class goes on.
 2. Classes that share a band of the signature meet in a bucket. First a bucket pairs its members with one leader, the one
-   that meets most others in all its buckets (the original of a group of copies, if it is there).
+   that meets most others in all its buckets (the original of a group of copies, if it is there). Of its leaders, a member
+   is compared with the most similar and the most met one.
 3. Pairs are compared one batch of signature values after another. A pair goes as soon as the posterior probability that
    its similarity reaches the threshold is below miss (BayesLSH; uniform prior). Survivors are confirmed on the full sets.
-4. Buckets whose members still lie in several components are dealt out in blocks, and two blocks at a time meet in a group:
-   first to test signatures, then, for members with a surviving partner, to confirm on full sets. A group skips pairs that
-   lie in one component and returns only links that join two: fewer than it has members. No bucket is capped, and no task
-   holds more than two blocks of one.
+4. Buckets whose members still lie in several components are compared wholly. Open buckets that hang together are one
+   group if that makes fewer pairs than one bucket after another. Groups are dealt out in blocks, and two blocks at a time meet,
+   first to test signatures, then, for members with a surviving partner, to confirm on full sets. Pairs of one component
+   are skipped, and only links that join two components are returned: fewer than there are members. No bucket is capped, and no
+   task holds more than two blocks.
 
 Texts: A-Z are lower-cased, words are runs of [^\\x20\\x09-\\x0D]. Null and empty texts have the empty set and are
 linked with nothing. Rows that repeat a doc_id are one document: what any of them is linked with, that document is.
@@ -34,7 +36,7 @@ BATCH = 16
 #: Values of which the first test compares one bit each.
 BITS = 128
 #: Members of a block, and shingles in it: what is over goes to more blocks.
-BLOCK, SHINGLES = 512, 1 << 20
+BLOCK, SHINGLES = 1024, 1 << 20
 #: Columns of a table of members and shingles that are multiplied at a time.
 COLUMNS = 2048
 
@@ -183,25 +185,29 @@ def _signatures(column) -> np.ndarray:
 
 
 def _pruned(pairs: DataFrame, signatures: DataFrame, percent: int, miss: float) -> DataFrame:
-    """The pairs that the sequential test keeps."""
-    a = signatures.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
+    """Of the pairs that the sequential test keeps, those of each member with its most similar leader and with its heaviest."""
+    a = signatures.select(F.col("id").alias("a"), F.col("sig").alias("sa"), "weight")
     b = signatures.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
 
     def run(batches):
         for p in batches:
             if len(p):
-                yield p.iloc[surviving(_signatures(p["sa"]), _signatures(p["sb"]), percent / 100, miss)][["a", "b"]]
+                sa, sb = _signatures(p["sa"]), _signatures(p["sb"])
+                keep = surviving(sa, sb, percent / 100, miss)
+                yield p.iloc[keep][["a", "b", "weight"]].assign(matches=(sa[keep] == sb[keep]).sum(axis=1))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
+    kept = pairs.join(a, "a").join(b, "b").select("a", "b", "weight", "sa", "sb").mapInPandas(run, "a long, b long, weight long, matches long")
+    best = kept.groupBy("b").agg(F.max(F.struct("matches", "weight", "a")).alias("x"), F.max(F.struct("weight", "matches", "a")).alias("y"))
+    return best.select(F.explode(F.array_distinct(F.array("x.a", "y.a"))).alias("a"), "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets are similar enough. A leader's set goes once to each part of its members, and members pass one after another."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     pairs = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
-    of = sets.select(F.col("id").alias("b"), "shingles")
-    members = pairs.select("a", "part", "b").join(of, "b").select("a", "part", F.lit(1).alias("second"), "b", "shingles")
-    leaders = pairs.select("a", "part", F.col("a").alias("b")).distinct().join(of, "b").select("a", "part", F.lit(0).alias("second"), "b", "shingles")
+    members = pairs.select("a", "part", F.lit(1).alias("second"), F.col("b").alias("id"))
+    leaders = pairs.select("a", "part", F.lit(0).alias("second"), F.col("a").alias("id")).distinct()
+    rows = members.unionByName(leaders).join(sets, "id").select("a", "part", "second", F.col("id").alias("b"), "shingles")
 
     def run(batches):
         at, lead = None, []
@@ -215,8 +221,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(bool(second) and any(similar(x, _as_set(s), percent) for x in lead))
             yield p.loc[np.array(keep, bool), ["a", "b"]]
 
-    rows = spread(members.unionByName(leaders), "a", "part").sortWithinPartitions("a", "part", "second")
-    return rows.mapInPandas(run, "a long, b long")
+    return spread(rows, "a", "part").sortWithinPartitions("a", "part", "second").mapInPandas(run, "a long, b long")
 
 
 def _open(meeting: DataFrame, components: DataFrame) -> DataFrame:
@@ -226,6 +231,19 @@ def _open(meeting: DataFrame, components: DataFrame) -> DataFrame:
     return m.join(still, "key")
 
 
+def _groups_of(members: DataFrame) -> DataFrame:
+    """key, id, component: the members of open buckets, by bucket or by all buckets that hang together, whichever makes fewer pairs."""
+    first = members.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n"))
+    edges = members.join(first, "key").select("a", F.col("id").alias("b"))
+    whole = connected_components(edges).withColumnRenamed("component", "whole")
+    m = materialise(members.join(whole, "id"), "grouped")
+    of_buckets = m.groupBy("whole", "key").agg(F.count("*").alias("n")).groupBy("whole").agg(F.sum(F.col("n") * F.col("n")).alias("bucketwise"))
+    of_wholes = m.select("whole", "id").distinct().groupBy("whole").agg(F.count("*").alias("n"))
+    fewer = of_buckets.join(of_wholes, "whole").select("whole", (F.col("n") * F.col("n") <= F.col("bucketwise")).alias("together"))
+    key = F.when(F.col("together"), F.xxhash64("whole", F.lit("whole"))).otherwise(F.xxhash64("key", F.lit("bucket")))
+    return m.join(fewer, "whole").select(key.alias("key"), "id", "component").distinct()
+
+
 def _in_blocks(members: DataFrame) -> DataFrame:
     """members (key, id, n_shingles, ...) with block and the two blocks (i <= j) of each group that they go to."""
     need = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / SHINGLES))
@@ -302,8 +320,8 @@ def joining_links(group: pd.DataFrame, percent: int, miss: float) -> list[tuple[
 
 
 def _block_links(members: DataFrame, about: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
-    """a, b: components that a link between members (key, id, component) of one bucket joins. about: id, n_shingles, sig."""
-    known = materialise(_in_blocks(members.join(about, "id")), "blocks")
+    """a, b: components that a link between members (key, id, component) of one group joins. about: id, n_shingles, sig."""
+    known = _in_blocks(members.join(about, "id"))
 
     def partners(group: pd.DataFrame):
         x, y = _candidates(group, percent, miss)
@@ -347,14 +365,14 @@ def links(source: DataFrame, sketch: DataFrame, classes: DataFrame, size: int, p
 
     sets = materialise(near.mapInPandas(as_sets, "id long, shingles binary"), "sets")
     members = meeting.select("key", "id").join(about.drop("sig"), "id").withColumn("component", F.col("id"))
-    about = about.select("id", "n_shingles", "sig")
+    about = about.select("id", "n_shingles", "sig", "weight")
 
     pairs = materialise(_pruned(_star(members, _able(percent, miss)), about, percent, miss), "pairs")
     components = connected_components(materialise(_confirmed(pairs, sets, percent), "links"))
     open_ = materialise(_open(meeting, components), "open")
     if open_.isEmpty():
         return components
-    more = connected_components(materialise(_block_links(open_, about, sets, percent, miss), "joining"))
+    more = connected_components(materialise(_block_links(materialise(_groups_of(open_), "groups"), about.drop("weight"), sets, percent, miss), "joining"))
     return _relabelled(components, more)
 
 

@@ -7,8 +7,11 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Odd multiplier of the polynomial hash and its inverse modulo 2**64.
@@ -39,6 +42,21 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
 
 
+def packed(text: Column) -> Column:
+    """Texts as compressed UTF-8, as they travel between executors; null ones are empty."""
+
+    @F.pandas_udf("binary")
+    def pack(texts: pd.Series) -> pd.Series:
+        c = zstandard.ZstdCompressor(level=1)
+        return texts.map(lambda t: c.compress((t or "").encode()))
+
+    return pack(text.cast("string"))
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def kept_id(out: DataFrame, column: str = "doc_id") -> DataFrame:
     """out with an id that went through Python as text (null ids would make it a float there) as a number again."""
     return out.withColumn(column, out[column].cast("long"))

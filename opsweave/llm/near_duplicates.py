@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, kept_id, materialise, mix, spread, word_hashes
+from .common import U64, kept_id, materialise, mix, packed, spread, unpacked, word_hashes
 from .components import connected_components
 
 #: Signature values compared at a time by the Bayesian test.
@@ -239,7 +239,7 @@ def _groups_of(members: DataFrame) -> DataFrame:
     m = materialise(members.join(whole, "id"), "grouped")
     of_buckets = m.groupBy("whole", "key").agg(F.count("*").alias("n")).groupBy("whole").agg(F.sum(F.col("n") * F.col("n")).alias("bucketwise"))
     of_wholes = m.select("whole", "id").distinct().groupBy("whole").agg(F.count("*").alias("n"))
-    fewer = of_buckets.join(of_wholes, "whole").select("whole", (F.col("n") * F.col("n") <= F.col("bucketwise")).alias("together"))
+    fewer = materialise(of_buckets.join(of_wholes, "whole").select("whole", (F.col("n") * F.col("n") <= F.col("bucketwise")).alias("together")), "fewer")
     key = F.when(F.col("together"), F.xxhash64("whole", F.lit("whole"))).otherwise(F.xxhash64("key", F.lit("bucket")))
     return m.join(fewer, "whole").select(key.alias("key"), "id", "component").distinct()
 
@@ -357,11 +357,12 @@ def links(source: DataFrame, sketch: DataFrame, classes: DataFrame, size: int, p
 
     # What can be in a pair at all: signatures and sets of these are fetched once.
     about = materialise(reps.join(weight, "id").select("id", "n_shingles", "sig", "b1", "b2", "weight"), "about")
-    near = source.join(about.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    near = source.where("doc_id is not null").select("doc_id", packed(F.col("text")).alias("packed"))
+    near = near.join(about.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "packed"])
 
     def as_sets(batches):
         for batch in batches:
-            yield pd.DataFrame({"id": batch["doc_id"], "shingles": [shingle_set(t or "", size).tobytes() for t in batch["text"].tolist()]})
+            yield pd.DataFrame({"id": batch["doc_id"], "shingles": [shingle_set(unpacked(t).decode(), size).tobytes() for t in batch["packed"].tolist()]})
 
     sets = materialise(near.mapInPandas(as_sets, "id long, shingles binary"), "sets")
     members = meeting.select("key", "id").join(about.drop("sig"), "id").withColumn("component", F.col("id"))

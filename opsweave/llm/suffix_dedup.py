@@ -27,11 +27,10 @@ import hashlib
 import numpy as np
 import pandas as pd
 import xxhash
-import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, kept_id, materialise, mix, powers, prefix_hash, slice_digests, slice_hash, spread, word_spans
+from .common import U64, kept_id, materialise, mix, packed, powers, prefix_hash, slice_digests, slice_hash, spread, unpacked, word_spans
 
 _LOCAL = 20
 #: Dictionary entries of one core that are sorted in one place; more are dealt out.
@@ -92,7 +91,7 @@ def parse(texts: DataFrame, length: int, unit: str) -> DataFrame:
         for batch in batches:
             ids, places, hashes = [], [], []
             for row, text in zip(batch["row"].tolist(), batch["packed"].tolist(), strict=True):
-                x = symbols(unpack(text), unit)
+                x = symbols(unpacked(text), unit)
                 if len(x) < length:
                     continue
                 w, raw = x.itemsize, x.tobytes()
@@ -211,7 +210,7 @@ def repeated_spans(texts: DataFrame, length: int, unit: str = "bytes") -> DataFr
         for batch in batches:
             rows = []
             for row, text, parts in zip(batch["row"].tolist(), batch["packed"].tolist(), batch["parts"].tolist(), strict=True):
-                x = symbols(unpack(text), unit)
+                x = symbols(unpacked(text), unit)
                 for p in parts:
                     at = p["start"] + p["ahead"]
                     core = xxhash.xxh3_128_digest(x[at : at + covers].tobytes())
@@ -244,21 +243,6 @@ def repeated_spans(texts: DataFrame, length: int, unit: str = "bytes") -> DataFr
     return spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
-def unpack(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
-
-
-def _packed(text: Column) -> Column:
-    """Texts as compressed UTF-8, as they travel between executors."""
-
-    @F.pandas_udf("binary")
-    def pack(texts: pd.Series) -> pd.Series:
-        c = zstandard.ZstdCompressor(level=1)
-        return texts.map(lambda t: c.compress((t or "").encode()))
-
-    return pack(text.cast("string"))
-
-
 def merged(spans) -> np.ndarray:
     """Sorted, disjoint (start, stop) rows from any number of overlapping or touching ones."""
     if spans is None or not len(spans):
@@ -283,7 +267,7 @@ def removal_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     without removing anything, the passages of words or more that also stand elsewhere, word by word.
     Null texts are empty. Rows are searched one by one: without a doc_id, or with one that repeats, they count like others.
     """
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("string").alias("doc_id"), _packed(F.col(text)).alias("packed"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("string").alias("doc_id"), packed(F.col(text)).alias("packed"))
     texts = materialise(texts, "texts")
     found = repeated_spans(texts, length).withColumnRenamed("spans", "cut")
     passages = repeated_spans(texts, words, "words").withColumnRenamed("spans", "passages")
@@ -293,7 +277,7 @@ def removal_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for batch in batches:
             out = []
             for doc, t, s, p in zip(batch["doc_id"], batch["packed"].tolist(), batch["cut"].tolist(), batch["passages"].tolist(), strict=True):
-                data, cut = unpack(t), merged(s)
+                data, cut = unpacked(t), merged(s)
                 kept = without(data, cut)
                 out.append((doc, len(data), len(data) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), len(merged(p))))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages"])
@@ -323,8 +307,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, unit:
     or more that also stand elsewhere go, from their first word to their last. Null texts stay null.
     """
     known = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    packed = known.select(F.col("__row").alias("row"), _packed(F.col(text)).alias("packed"))
-    spans = repeated_spans(packed, length, unit).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
+    texts = known.select(F.col("__row").alias("row"), packed(F.col(text)).alias("packed"))
+    spans = repeated_spans(texts, length, unit).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:

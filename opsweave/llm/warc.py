@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 EOL = "\r\n"
-UNSHOWN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
+UNSHOWN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<title\b.*?</title\s*>|<template\b.*?</template\s*>"
 BREAKS = r"(?i)</?(?:p|div|h[1-6]|ul|ol|li|table|tr|br|hr|article|section|nav|header|footer|aside|main|blockquote|pre|body|html)\b[^>]*>"
 NO_BREAK = re.compile(r"&(?:nbsp;?|#0*160;|#[xX]0*[aA]0;)")
 CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([A-Za-z0-9._:-]+)", re.I)
@@ -220,7 +220,7 @@ with r as (
   select *, concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: text/html; charset=utf-8', chr(13), chr(10), 'Content-Length: ', strlen(payload)) as http_headers,
     md5(concat_ws(chr(10), 'response', target_uri, warc_date, payload)) as m, concat('sha256:', sha256(payload)) as source_digest,
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(payload,
-      '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>', ' ', 'gis'),
+      '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<title\b.*?</title\s*>|<template\b.*?</template\s*>', ' ', 'gis'),
       '[\t\n\x0B\f\r ]+', ' ', 'g'),
       '</?(?:p|div|h[1-6]|ul|ol|li|table|tr|br|hr|article|section|nav|header|footer|aside|main|blockquote|pre|body|html)\b[^>]*>', chr(10), 'gi'),
       '<[^>]*>', '', 'g') as t0

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -375,7 +376,7 @@ def test_warc_derivatives(spark, tmp_path):
     for r in made:
         assert r.content_length == len(r.block.encode()) and r.block_digest == "sha256:" + hashlib.sha256(r.block.encode()).hexdigest()
     text = {r.page_id: r.block for r in made if r.warc_type == "conversion"}
-    assert text == {1: "THi & you", 2: "", 3: "é" * 50}
+    assert text == {1: "Hi & you", 2: "", 3: "é" * 50}
     (tmp_path / "x.warc").write_bytes(b"".join(bytes(r.record) for r in made))
     back = warc.read_warc(spark, str(tmp_path)).collect()
     assert sorted((r.warc_type, r.record_id, r.refers_to, r.payload) for r in back) == sorted((r.warc_type, r.record_id, r.refers_to, r.block) for r in made)
@@ -395,3 +396,43 @@ def test_warc_derivatives(spark, tmp_path):
 )
 def test_formulas_forms_and_drawings_are_shown(page, text):
     assert html_text.render(page) == text
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("a<noscript>b</noscript> <object data=x>c</object>", "ab c"),
+        ("<table><tr><td>one<td>two<td>three<tr><td colspan=2>wide cell here<td>x<tr><td>1<td>2<td>3</table>", "one  two  three\nwide cell here  x\n1    2    3"),
+        ("<table><tr><td rowspan=2>tall<td>a<tr><td>b<tr><td>c<td>d</table>", "tall  a\n      b\nc     d"),
+        ("<a title='x>y'>z</a>", "z"),
+        ('<p>seen<a title="x>lost</a>', "seen"),
+        ("a < b and <3 </ 4>", "a < b and <3"),
+        ("x<b", "x"),
+        ("<ul><li>a<ul><li>b<p>c</ul><li>d</ul>", "- a\n  - b\n\n    c\n- d"),
+        ("<blockquote>q<blockquote>r</blockquote></blockquote>", "> q\n>\n> > r"),
+    ],
+)
+def test_markup_as_browsers_read_it(page, text):
+    assert html_text.render(page) == text
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<ul><li>x", "<a <", "<!", "<table><tr><td>x", "<p><table><td><div>", "<blockquote>q", "<a x='", "<", "<p><span>", "<tr><td colspan=99 rowspan=99>x"])
+def test_bad_markup_takes_linear_time(piece):
+    took = []
+    for size in (1 << 15, 1 << 18):
+        began = time.process_time()
+        html_text.render(piece * (size // len(piece)))
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.02)
+
+
+def test_every_word_of_random_markup_is_shown_in_order():
+    r = random.Random(11)
+    tags = "p div ul ol li blockquote span b table tr td th h1 pre dl dt dd section a select option".split()
+    for _ in range(300):
+        parts = []
+        for k in range(r.randint(1, 60)):
+            parts.append(r.choice([f"w{k} ", f"<{r.choice(tags)}>", f"</{r.choice(tags)}>", f"<{r.choice(tags)} class='x' title=\"a>b\">" if r.random() < 0.2 else f"w{k}a"]))
+        page = "".join(parts)
+        want = re.findall(r"w[0-9]+a?", re.sub(r"<[a-z0-9]+ class='x' title=\"a>b\">", " ", re.sub(r"</?[a-z0-9]+>", " ", page)))
+        assert sorted(re.findall(r"w[0-9]+a?", html_text.render(page))) == sorted(re.findall(r"w[0-9]+a?", " ".join(want)))

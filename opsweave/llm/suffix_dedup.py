@@ -15,7 +15,8 @@ are sorted twice, by the symbols before the trigger, read backwards (dictionary
 (parse suffixes), with the common prefixes of neighbours. A start l symbols before its trigger is
 repeated if another entry agrees with it in l symbols of the first order and in the rest of the string in the second.
 
-Phrases and cores are the same if 128-bit hashes of their symbols are (xxh3); what is sorted is compared symbol by symbol.
+Phrases are the same if two hashes are, of their symbols and of their core's (xxh3, 64 bits each); cores whose entries are sorted, by
+128 bits more. What is sorted is compared symbol by symbol.
 Rows are phrases, not bytes. No group is gathered in one place: counts are partial sums, and the entries of a core are
 dealt out by the thousand, where what stays single meets again by its string.
 """
@@ -39,7 +40,7 @@ TOGETHER = 4096
 
 def reach_of(length: int) -> tuple[int, int]:
     """Starts that share a trigger at most, and symbols of the rolling hash."""
-    return max(1, length // 2), max(1, min(16, length // 25))
+    return max(1, length * 7 // 10), max(1, min(16, length // 25))
 
 
 def symbols(data: bytes, unit: str) -> np.ndarray:
@@ -84,7 +85,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def parse(texts: DataFrame, length: int, unit: str) -> DataFrame:
-    """row, start, n, ahead (from the first start to the trigger), core, c1, c2: a row for each phrase of each text."""
+    """row, start, n, ahead (from the first start to the trigger), core, whole (their hashes): a row for each phrase of each text."""
     covers = length - reach_of(length)[0] + 1
 
     def run(batches):
@@ -99,22 +100,21 @@ def parse(texts: DataFrame, length: int, unit: str) -> DataFrame:
                     ids.append(np.full(len(start), row, np.int64))
                     places.append(np.column_stack([start, n, at - start]).astype(np.int32))
                     cores = [xxhash.xxh3_64_intdigest(raw[a : a + w * covers]) for a in (at * w).tolist()]
-                    whole = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip((start * w).tolist(), ((start + n - 1 + length) * w).tolist(), strict=True)])
+                    whole = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip((start * w).tolist(), ((start + n - 1 + length) * w).tolist(), strict=True)]
                     # Equal phrases have their trigger at the same place, too.
-                    found = np.frombuffer(whole, U64).reshape(-1, 2)
-                    hashes.append(np.column_stack([np.array(cores, U64), found[:, 0] ^ mix((at - start).astype(U64), 7), found[:, 1]]))
+                    hashes.append(np.column_stack([np.array(cores, U64), np.array(whole, U64) ^ mix((at - start).astype(U64), 7)]))
                 if sum(map(len, ids)) > 1 << 18:
                     yield _phrase_frame(ids, places, hashes)
                     ids, places, hashes = [], [], []
             if ids:
                 yield _phrase_frame(ids, places, hashes)
 
-    return texts.mapInPandas(run, "row long, start int, n int, ahead int, core long, c1 long, c2 long")
+    return texts.mapInPandas(run, "row long, start int, n int, ahead int, core long, whole long")
 
 
 def _phrase_frame(ids: list, places: list, hashes: list) -> pd.DataFrame:
     p, h = np.concatenate(places), np.concatenate(hashes).view(np.int64)
-    return pd.DataFrame({"row": np.concatenate(ids), "start": p[:, 0], "n": p[:, 1], "ahead": p[:, 2], "core": h[:, 0], "c1": h[:, 1], "c2": h[:, 2]})
+    return pd.DataFrame({"row": np.concatenate(ids), "start": p[:, 0], "n": p[:, 1], "ahead": p[:, 2], "core": h[:, 0], "whole": h[:, 1]})
 
 
 def _order(keys: np.ndarray, parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,15 +194,15 @@ def repeated_spans(texts: DataFrame, length: int, unit: str = "bytes") -> DataFr
     parsed = materialise(parsed.join(shared, "core", "left_semi"), "shared")
 
     # The dictionary: an entry for each distinct phrase.
-    entry = parsed.groupBy("core", "c1", "c2").agg(F.count("*").alias("times"), F.min(F.struct("row", "start", "n", "ahead")).alias("at"))
+    entry = parsed.groupBy("core", "whole").agg(F.count("*").alias("times"), F.min(F.struct("row", "start", "n", "ahead")).alias("at"))
     entry = materialise(entry, "dictionary")
     some = entry.groupBy("core").agg(F.count("*").alias("entries"), F.min("times").alias("rarest"))
     some = materialise(some.where("entries > 1 and rarest = 1").select("core", F.ceil(F.col("entries") / TOGETHER).alias("chunks")), "contested")
-    whole = parsed.join(entry.where("times > 1").select("core", "c1", "c2"), ["core", "c1", "c2"], "left_semi")
+    whole = parsed.join(entry.where("times > 1").select("core", "whole"), ["core", "whole"], "left_semi")
     spans = whole.select("row", "start", (F.col("start") + F.col("n") - 1 + length).cast("long").alias("stop"))
 
     # Cores of several entries, of which one occurs once: suffix by suffix.
-    chunk = F.pmod(F.xxhash64("c1", "c2"), F.col("chunks"))
+    chunk = F.pmod(F.xxhash64("whole"), F.col("chunks"))
     apart = entry.join(some, "core").select("at.row", F.struct("at.start", "at.n", "at.ahead", (F.col("times") == 1).alias("alone"), "core", chunk.alias("chunk"), (F.col("chunks") > 1).alias("many")).alias("part"))
     listed = apart.groupBy("row").agg(F.collect_list("part").alias("parts"))
 

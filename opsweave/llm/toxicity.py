@@ -1,10 +1,10 @@
 """Toxicity by non-negative positive-unlabelled learning (Kiryo et al., 2017).
 
-Confirmed toxic texts are the positives; a sample of all texts is the unlabelled set, toxic ones included. A linear
+Confirmed toxic texts are the positives; labelled texts whose labels are not looked at are the unlabelled set, toxic ones included. A linear
 model on the presence of words minimises
     prior * E_P[loss(g)] + max(0, E_U[loss(-g)] - prior * E_P[loss(-g)]),
 with the logistic loss, so that the score is a probability. When the part in max() turns negative, steps go against
-its gradient. Samples are bounded by parameters and drawn by a hash of doc_id; every document is scored, by its whole text.
+its gradient. The samples are bounded by parameters and drawn by a hash of doc_id; every document is scored, by its whole text.
 
 Null texts are empty texts: their score is that of no word. Without toxic rows to learn from, all scores are 0. Null labels and
 labels of unknown documents are left out.
@@ -35,7 +35,7 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
-def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], width: int, prior: float, steps: int = 800, rate: float = 0.1, decay: float = 2e-4) -> tuple[np.ndarray, float]:
+def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], width: int, prior: float, steps: int = 800, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and intercept of the linear model; rows are lists of present features."""
 
     def table(rows):
@@ -67,10 +67,11 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], width: int, p
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, most_positive: int = 8000, most_unlabelled: int = 16000, most_words: int = 500, least_ratio: float = 25.0) -> tuple[np.ndarray, np.ndarray, float] | None:
+def train(docs: DataFrame, labels: DataFrame, most_positive: int = 8000, most_unlabelled: int = 16000, least_ratio: float = 12.0) -> tuple[np.ndarray, np.ndarray, float] | None:
     """(sorted word hashes, weights, intercept), or None without positives. labels: doc_id, toxic.
 
-    most_positive and most_unlabelled bound the samples, most_words the model, which takes words with a ratio of least_ratio or more; the prior is the share of toxic rows among all given labels.
+    most_positive and most_unlabelled bound the samples of labelled rows; the model takes every word of them with a ratio of least_ratio or more,
+    and the prior is the share of toxic rows among all given labels.
     """
     labels = labels.where("doc_id is not null and toxic is not null")
     total, toxic = labels.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
@@ -79,7 +80,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 8000, most_un
     prior = min(max(toxic / total, 1e-3), 0.9)
     order = F.xxhash64("doc_id", F.lit(5))
     drawn = labels.where("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(most_positive).withColumn("positive", F.lit(True))
-    drawn = drawn.unionByName(docs.select("doc_id").where("doc_id is not null").distinct().orderBy(order, "doc_id").limit(most_unlabelled).withColumn("positive", F.lit(False)))
+    drawn = drawn.unionByName(labels.select("doc_id").distinct().orderBy(order, "doc_id").limit(most_unlabelled).withColumn("positive", F.lit(False)))
     # At most most_positive + most_unlabelled ids: a proven bound.
     drawn = F.broadcast(materialise(drawn, "drawn"))
 
@@ -97,7 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 8000, most_un
     both = (p + u) / (np_ + nu + 2)
     part = lambda k, n: k * F.log(k / (n * both)) + (n - k) * F.log((n - k) / (n * (1 - both)))
     ratio = 2 * (part(p, np_ + 1) + part(u, nu + 1))
-    chosen = used.withColumn("ratio", ratio).where(F.col("ratio") >= least_ratio).orderBy(F.desc("ratio"), "word").limit(most_words).select("word").toPandas()["word"].to_numpy(np.int64)
+    chosen = used.withColumn("ratio", ratio).where(F.col("ratio") >= least_ratio).select("word").toPandas()["word"].to_numpy(np.int64)
     vocabulary = np.sort(chosen.view(np.uint64))
 
     def present(batches):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,10 +21,15 @@ INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
+_scopes: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only in local mode where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="opsweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,8 +39,36 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/opsweave-{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are materialised inside are deleted at the end, but for those given to keep(), which the result still reads.
+
+    with scratch(spark) as keep: ...; return keep(materialise(result, "name"))
+    """
+    kept: list[str] = []
+
+    def keep(*tables: DataFrame):
+        kept.extend(t._written for t in tables)
+        return tables[0] if len(tables) == 1 else tables
+
+    _scopes.append([])
+    try:
+        yield keep
+    finally:
+        written = _scopes.pop()
+        for path in set(written) - set(kept):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if _scopes:
+            _scopes[-1].extend(kept)
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:

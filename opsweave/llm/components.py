@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, scratch
 
 
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -15,6 +15,14 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     grouped minimum and a join, so a node with very many edges is summed before it is shuffled. The number
     of rounds grows with the logarithm of the longest chain; most bounds it, and passing it is an error.
     """
+    with scratch(edges.sparkSession) as keep:
+        e = keep(_settled(edges, most))
+    roots = e.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("component"))
+    return e.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(roots)
+
+
+def _settled(edges: DataFrame, most: int) -> DataFrame:
+    """a, b: each node b below the smallest one of its component."""
     e = edges.where("a is not null and b is not null and a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     e = materialise(e, "edges")
     for _ in range(most):
@@ -38,5 +46,4 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
-    roots = e.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return e.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(roots)
+    return e

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Parts into which a cell's documents are dealt to choose those with an extra copy: no cell is sorted in one task.
@@ -95,40 +95,42 @@ def _rounded(cells: DataFrame, most: int) -> DataFrame:
     return c.select("s", "size", "n", F.col("base").cast("long").alias("base"), F.col("extra").cast("long").alias("extra"))
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: a row for each row of docs.
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken, and the columns in keep: a row for each row of docs.
 
-    size counts words; targets share all sizes among the sources by weights; taken is copies * size.
+    size counts words; targets share all sizes among the sources by weights; taken is copies * size. Rows are decided on one by
+    one: those that repeat a doc_id, or have none, count like others.
     """
     d = docs.select(
+        *keep,
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(source).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.col(text).cast("string")).alias("t"),
     )
-    d = materialise(d.withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(11))).withColumn("part", F.pmod("h", F.lit(PARTS))), "sizes")
-    sums = d.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size"))
-    targets = materialise(source_targets(sums, weights, most), "targets")
-    d = d.join(targets.select(F.col("source").alias("of"), "s"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    parts = materialise(d.groupBy("s", "size", "part").agg(F.count("*").alias("k")), "parts")
-    cells = parts.groupBy("s", "size").agg(F.sum("k").alias("n")).join(targets.select("s", (F.col("source_size") / F.col("docs")).alias("scale")), "s")
-    cells = materialise(cells.select("s", "size", "n", F.when(F.col("scale") > 0, F.col("size") / F.col("scale")).otherwise(0.0).alias("u")), "cells")
-    lam = multipliers(cells, targets, most)
-    rounded = _rounded(cells.join(targets.select("s", "source_size", "target"), "s").join(lam, "s"), most)
-
-    before = F.coalesce(F.sum("k").over(Window.partitionBy("s", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    quota = parts.withColumn("before", before).join(rounded, ["s", "size"]).select("s", "size", "part", "base", (F.col("extra") - F.col("before")).alias("quota"))
-    quota = materialise(quota, "quota")
-    rank = F.row_number().over(Window.partitionBy("s", "size", "part").orderBy("h", "doc_id"))
+    # Rows without an id differ by their texts.
+    d = d.withColumn("h", F.xxhash64(F.coalesce("doc_id", "t"), F.lit(11)))
+    with scratch(docs.sparkSession) as kept:
+        d = kept(materialise(d.withColumn("part", F.pmod("h", F.lit(PARTS))), "sizes"))
+        sums = d.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size"))
+        targets = kept(materialise(source_targets(sums, weights, most), "targets"))
+        d = d.join(targets.select(F.col("source").alias("of"), "s"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+        parts = materialise(d.groupBy("s", "size", "part").agg(F.count("*").alias("k")), "parts")
+        cells = parts.groupBy("s", "size").agg(F.sum("k").alias("n")).join(targets.select("s", (F.col("source_size") / F.col("docs")).alias("scale")), "s")
+        cells = materialise(cells.select("s", "size", "n", F.when(F.col("scale") > 0, F.col("size") / F.col("scale")).otherwise(0.0).alias("u")), "cells")
+        lam = multipliers(cells, targets, most)
+        rounded = _rounded(cells.join(targets.select("s", "source_size", "target"), "s").join(lam, "s"), most)
+        before = F.coalesce(F.sum("k").over(Window.partitionBy("s", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        quota = parts.withColumn("before", before).join(rounded, ["s", "size"]).select("s", "size", "part", "base", (F.col("extra") - F.col("before")).alias("quota"))
+        quota = kept(materialise(quota, "quota"))
+    rank = F.row_number().over(Window.partitionBy("s", "size", "part").orderBy("h", "doc_id", "t"))
     out = d.join(quota, ["s", "size", "part"]).withColumn("copies", F.col("base") + F.when(rank <= F.col("quota"), 1).otherwise(0))
     shown = targets.select("s", "source_size", "target")
-    return out.join(shown, "s").select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.join(shown, "s").select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """docs with each document repeated as often as the mix takes it (left out at 0 copies), in the same columns.
-
-    doc_id identifies a document: rows that repeat one share a decision.
-    """
-    copies = mixed(docs, weights=weights, most=most).groupBy(F.col("doc_id").alias("__doc")).agg(F.max("copies").cast("int").alias("__copies"))
-    joined = docs.join(copies.where("__copies > 0").hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """docs with each row repeated as often as the mix takes it (left out at 0 copies), in the same columns."""
+    known = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    copies = mixed(known, weights=weights, most=most, keep=("__row",)).where("copies > 0").select("__row", F.col("copies").cast("int").alias("__copies"))
+    return known.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

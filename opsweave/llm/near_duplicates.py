@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, kept_id, materialise, mix, packed, spread, unpacked, word_hashes
+from .common import U64, kept_id, materialise, mix, packed, scratch, spread, unpacked, word_hashes
 from .components import connected_components
 
 #: Signature values compared at a time by the Bayesian test.
@@ -391,12 +391,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     that bands miss a pair at the threshold is (1 - t**rows)**bands: 2e-6 at 80 percent by default. bands * rows is BITS at least.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sketch = materialise(sketches(source, size, bands, rows), "sketches")
-    classes = materialise(_classes(sketch), "classes")
-    found = links(source, sketch, classes, size, percent, miss)
-    own = sketch.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2", "n_shingles"], "left").drop("f1", "f2")
-    own = own.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component"))
-    own = materialise(own, "own")
+    with scratch(docs.sparkSession) as keep:
+        sketch = materialise(sketches(source, size, bands, rows), "sketches")
+        classes = materialise(_classes(sketch), "classes")
+        found = links(source, sketch, classes, size, percent, miss)
+        own = sketch.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2", "n_shingles"], "left").drop("f1", "f2")
+        own = own.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component"))
+        own = keep(materialise(own, "own"))
     own = own.withColumn("component", F.when(F.col("doc_id").isNotNull(), F.col("component")))
     # Rows of one document that came into several components join them.
     several = own.groupBy("doc_id").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, materialise, mix, spread
+from .common import U64, materialise, mix, scratch, spread
 
 #: Neighbours of a node; members of a starting partition; neighbours that meet in one place, and what each learns there at most.
 DEGREE, LEAF, MEET, LEARN = 28, 256, 96, 16
@@ -207,6 +207,11 @@ def greedy_search(queries: DataFrame, graph: DataFrame, small: DataFrame, width:
 
 def nearest(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by every, its k nearest other rows; ties to the smaller id."""
+    with scratch(vectors.sparkSession) as keep:
+        return keep(materialise(_nearest(vectors, vec_id, embedding, every, k), "nearest"))
+
+
+def _nearest(vectors: DataFrame, vec_id: str, embedding: str, every: int, k: int) -> DataFrame:
     members = materialise(nodes_of(vectors, vec_id, embedding), "nodes")
     nodes = spread(members.where("vec_id = node"), "node").dropDuplicates(["node"]).select("node", "vector")
     small = materialise(rounded_vectors(nodes), "small")

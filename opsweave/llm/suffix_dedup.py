@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, kept_id, materialise, mix, packed, powers, prefix_hash, slice_digests, slice_hash, spread, unpacked, word_spans
+from .common import U64, kept_id, materialise, mix, packed, powers, prefix_hash, scratch, slice_digests, slice_hash, spread, unpacked, word_spans
 
 _LOCAL = 20
 #: Dictionary entries of one core that are sorted in one place; more are dealt out.
@@ -189,53 +189,54 @@ def repeated_spans(texts: DataFrame, length: int, unit: str = "bytes") -> DataFr
     """row, spans: array of (start, stop) ranges of symbols that repeated strings cover, a row for each row of texts (row, packed) that has any."""
     reach, width = reach_of(length)[0], 1 if unit == "bytes" else 8
     covers = length - reach + 1
-    parsed = materialise(parse(texts, length, unit), "phrases")
-    shared = materialise(parsed.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"), "cores")
-    parsed = materialise(parsed.join(shared, "core", "left_semi"), "shared")
-
-    # The dictionary: an entry for each distinct phrase.
-    entry = parsed.groupBy("core", "whole").agg(F.count("*").alias("times"), F.min(F.struct("row", "start", "n", "ahead")).alias("at"))
-    entry = materialise(entry, "dictionary")
-    some = entry.groupBy("core").agg(F.count("*").alias("entries"), F.min("times").alias("rarest"))
-    some = materialise(some.where("entries > 1 and rarest = 1").select("core", F.ceil(F.col("entries") / TOGETHER).alias("chunks")), "contested")
+    with scratch(texts.sparkSession) as keep:
+        parsed = materialise(parse(texts, length, unit), "phrases")
+        shared = materialise(parsed.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"), "cores")
+        parsed = keep(materialise(parsed.join(shared, "core", "left_semi"), "shared"))
+
+        # The dictionary: an entry for each distinct phrase.
+        entry = parsed.groupBy("core", "whole").agg(F.count("*").alias("times"), F.min(F.struct("row", "start", "n", "ahead")).alias("at"))
+        entry = keep(materialise(entry, "dictionary"))
+        some = entry.groupBy("core").agg(F.count("*").alias("entries"), F.min("times").alias("rarest"))
+        some = materialise(some.where("entries > 1 and rarest = 1").select("core", F.ceil(F.col("entries") / TOGETHER).alias("chunks")), "contested")
+        # Cores of several entries, of which one occurs once: suffix by suffix.
+        chunk = F.pmod(F.xxhash64("whole"), F.col("chunks"))
+        apart = entry.join(some, "core").select("at.row", F.struct("at.start", "at.n", "at.ahead", (F.col("times") == 1).alias("alone"), "core", chunk.alias("chunk"), (F.col("chunks") > 1).alias("many")).alias("part"))
+        listed = apart.groupBy("row").agg(F.collect_list("part").alias("parts"))
+
+        def contexts(batches):
+            for batch in batches:
+                rows = []
+                for row, text, parts in zip(batch["row"].tolist(), batch["packed"].tolist(), batch["parts"].tolist(), strict=True):
+                    x = symbols(unpacked(text), unit)
+                    for p in parts:
+                        at = p["start"] + p["ahead"]
+                        core = xxhash.xxh3_128_digest(x[at : at + covers].tobytes())
+                        # After the core come as many symbols as the last start's string has there.
+                        after = x[at + covers : p["start"] + p["n"] - 1 + length]
+                        rows.append((row, p["start"], p["n"], p["ahead"], p["alone"], p["many"], p["core"], p["chunk"], int.from_bytes(core[:8], "little", signed=True), int.from_bytes(core[8:], "little", signed=True), x[p["start"] : at][::-1].tobytes(), after.tobytes()))
+                yield pd.DataFrame(rows, columns=["row", "start", "n", "ahead", "alone", "many", "core", "chunk", "k1", "k2", "before", "after"])
+
+        def ordered(batches):
+            held = None
+            for batch in batches:
+                if held is not None:
+                    batch = pd.concat([held, batch], ignore_index=True)
+                key = batch[["core", "chunk"]].to_numpy()
+                cut = int(np.flatnonzero((key != key[-1]).any(axis=1)).max(initial=-1)) + 1 if len(batch) else 0
+                held = batch.iloc[cut:]
+                if cut:
+                    yield _combined(batch.iloc[:cut], length, width)
+            if held is not None and len(held):
+                yield _combined(held, length, width)
+
+        schema = "row long, start long, n long, ahead long, alone boolean, many boolean, core long, chunk long, k1 long, k2 long, before binary, after binary"
+        dictionary = texts.join(listed, "row").select("row", "packed", "parts").mapInPandas(contexts, schema)
+        dealt = spread(dictionary, "core", "chunk").sortWithinPartitions("core", "chunk")
+        ranked = keep(materialise(dealt.mapInPandas(ordered, "row long, start long, stop long, alone boolean, r1 long, r2 long"), "suffixes"))
+
     whole = parsed.join(entry.where("times > 1").select("core", "whole"), ["core", "whole"], "left_semi")
     spans = whole.select("row", "start", (F.col("start") + F.col("n") - 1 + length).cast("long").alias("stop"))
-
-    # Cores of several entries, of which one occurs once: suffix by suffix.
-    chunk = F.pmod(F.xxhash64("whole"), F.col("chunks"))
-    apart = entry.join(some, "core").select("at.row", F.struct("at.start", "at.n", "at.ahead", (F.col("times") == 1).alias("alone"), "core", chunk.alias("chunk"), (F.col("chunks") > 1).alias("many")).alias("part"))
-    listed = apart.groupBy("row").agg(F.collect_list("part").alias("parts"))
-
-    def contexts(batches):
-        for batch in batches:
-            rows = []
-            for row, text, parts in zip(batch["row"].tolist(), batch["packed"].tolist(), batch["parts"].tolist(), strict=True):
-                x = symbols(unpacked(text), unit)
-                for p in parts:
-                    at = p["start"] + p["ahead"]
-                    core = xxhash.xxh3_128_digest(x[at : at + covers].tobytes())
-                    # After the core come as many symbols as the last start's string has there.
-                    after = x[at + covers : p["start"] + p["n"] - 1 + length]
-                    rows.append((row, p["start"], p["n"], p["ahead"], p["alone"], p["many"], p["core"], p["chunk"], int.from_bytes(core[:8], "little", signed=True), int.from_bytes(core[8:], "little", signed=True), x[p["start"] : at][::-1].tobytes(), after.tobytes()))
-            yield pd.DataFrame(rows, columns=["row", "start", "n", "ahead", "alone", "many", "core", "chunk", "k1", "k2", "before", "after"])
-
-    def ordered(batches):
-        held = None
-        for batch in batches:
-            if held is not None:
-                batch = pd.concat([held, batch], ignore_index=True)
-            key = batch[["core", "chunk"]].to_numpy()
-            cut = int(np.flatnonzero((key != key[-1]).any(axis=1)).max(initial=-1)) + 1 if len(batch) else 0
-            held = batch.iloc[cut:]
-            if cut:
-                yield _combined(batch.iloc[:cut], length, width)
-        if held is not None and len(held):
-            yield _combined(held, length, width)
-
-    schema = "row long, start long, n long, ahead long, alone boolean, many boolean, core long, chunk long, k1 long, k2 long, before binary, after binary"
-    dictionary = texts.join(listed, "row").select("row", "packed", "parts").mapInPandas(contexts, schema)
-    dealt = spread(dictionary, "core", "chunk").sortWithinPartitions("core", "chunk")
-    ranked = materialise(dealt.mapInPandas(ordered, "row long, start long, stop long, alone boolean, r1 long, r2 long"), "suffixes")
     open_ = ranked.where("r1 is not null")
     twice = open_.groupBy("r1", "r2").agg(F.count("*").alias("c")).where("c > 1").select("r1", "r2")
     single = open_.where("alone").join(twice, ["r1", "r2"], "left_semi")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialise, word_hashes
+from .common import U64, materialise, scratch, word_hashes
 
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 THRESHOLD = 0.3
@@ -135,7 +135,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out: int) -> tuple[Da
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted: a row for each row of docs; rows of fold held_out are not learnt from."""
-    model = train(*training_rows(docs, labels, held_out))
+    with scratch(docs.sparkSession):
+        model = train(*training_rows(docs, labels, held_out))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
@@ -148,7 +149,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: int = 2, thres
 
 def without_toxic(docs: DataFrame, labels: DataFrame, held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those whose score reaches the threshold, in the same columns."""
-    model = train(*training_rows(docs, labels, held_out))
+    with scratch(docs.sparkSession):
+        model = train(*training_rows(docs, labels, held_out))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

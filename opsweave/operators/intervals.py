@@ -59,6 +59,28 @@ def concurrency(requests: DataFrame, start: int, end: int, slots: int | None = N
     )
 
 
+def capacity(samples: DataFrame, start: int, end: int) -> DataFrame:
+    """slots, sampled_peak: the newest number of slots that a sample in the window tells, and its most requests in flight; one row."""
+    s = samples.where((F.col("ts_us") >= start) & (F.col("ts_us") < end))
+    return s.agg(F.max_by("slots", F.when(F.col("slots").isNotNull(), F.col("ts_us"))).alias("slots"), F.max("inflight").alias("sampled_peak"))
+
+
+def concurrency_of_capacity(requests: DataFrame, samples: DataFrame, start: int, end: int) -> DataFrame:
+    """As concurrency(), with the slots that samples (ts_us, slots, inflight) tell, and their peak."""
+    span = (end - start) / SECOND
+    known = capacity(samples, start, end)
+    seconds = seconds_at_level(requests, start, end).join(F.broadcast(known.select("slots")), F.lit(True))  # one row
+    row = seconds.agg(
+        F.coalesce(F.max("level"), F.lit(0)).alias("peak"),
+        (F.coalesce(F.sum(F.col("seconds") * F.col("level")), F.lit(0.0)) / span).alias("mean"),
+        F.coalesce(F.sum(F.when(F.col("level") >= F.col("slots"), F.col("seconds"))), F.lit(0.0)).alias("full_s"),
+    )
+    some = F.col("slots") > 0
+    return row.join(F.broadcast(known), F.lit(True)).select(
+        "peak", "mean", "slots", F.when(some, F.col("mean") / F.col("slots")).alias("utilisation"), F.when(some, F.col("full_s")).alias("saturated_s"), F.when(some, F.col("full_s") / span).alias("saturated"), "sampled_peak"
+    )
+
+
 def seconds_at_level(requests: DataFrame, start: int, end: int) -> DataFrame:
     """Seconds of the window at each level above 0."""
     s = overlap_segments(worked(requests, start, end), start, end)

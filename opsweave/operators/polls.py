@@ -169,3 +169,28 @@ def live_state(samples: DataFrame) -> DataFrame:
 def cache_hit(rows: DataFrame, key: str) -> DataFrame:
     """Share of prompts that the cache answered, per key."""
     return rows.groupBy(key).agg(ratio(F.sum("cached_tokens"), F.sum("prompt_tokens_total")).alias("hit"))
+
+
+def backend_samples(polls: DataFrame) -> DataFrame:
+    """Sample rows of an image server's polls (source, ts_us, status, backends): one for the orchestrator, with backend '', and one for each backend.
+
+    status is the JSON of the orchestrator's answer, null if it gave none: then it has no row. backends is an array of (backend, stats, queue),
+    the JSON of two answers each; a backend of which one is missing is unreachable, and its figures are null.
+    """
+    asked = "status struct<live_gens long, waiting_gens long, loading_models long>, backend_status struct<status string>"
+    stats = "devices array<struct<vram_total long, vram_free long, torch_vram_total long, torch_vram_free long>>"
+    a = F.from_json("status", asked)
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    device = ("vram_total", "vram_free", "torch_vram_total", "torch_vram_free")
+    head = polls.where("status is not null").select(
+        "source", "ts_us", F.lit("").alias("backend"), a["backend_status"]["status"].alias("status"), *[a["status"][c].alias(c) for c in ("live_gens", "waiting_gens", "loading_models")], *none("long", "queue_running", "queue_pending", *device)
+    )
+    each = polls.select("source", "ts_us", F.explode("backends").alias("b"))
+    there = F.col("b.stats").isNotNull() & F.col("b.queue").isNotNull()
+    first = F.get(F.from_json("b.stats", stats)["devices"], F.lit(0))
+    waiting = F.from_json("b.queue", "queue_running array<string>, queue_pending array<string>")
+    size = lambda c: F.when(there, F.coalesce(F.nullif(F.size(waiting[c]), F.lit(-1)), F.lit(0)).cast("long")).alias(c)
+    own = each.select(
+        "source", "ts_us", "b.backend", F.when(there, "running").otherwise("unreachable").alias("status"), *none("long", "live_gens", "waiting_gens", "loading_models"), size("queue_running"), size("queue_pending"), *[F.when(there, first[c]).alias(c) for c in device]
+    )
+    return head.unionByName(own)

@@ -129,6 +129,14 @@ def cache_summary(samples: DataFrame, start: int, end: int, pressure: float = 0.
     )
 
 
+def cache_usage(samples: DataFrame, start: int, end: int, keys: tuple[str, ...] = ("source",)) -> DataFrame:
+    """Share of a cache in use (used_tokens / max_tokens): mean, largest and number over samples that tell it; share, jobs and hit rate of the newest sample, null where it doesn't tell them."""
+    s = in_window(samples, start, end).withColumn("share", F.when(F.col("max_tokens") > 0, F.col("used_tokens") / F.col("max_tokens")))
+    newest = F.max_by(F.struct("share", "active_jobs", "pending_jobs", "hit_rate"), "ts_us").alias("l")
+    row = s.groupBy(*keys).agg(F.avg("share").alias("mean"), F.max("share").alias("max"), F.count("share").alias("n"), newest)
+    return row.select(*keys, "mean", "max", F.col("l.share").alias("last"), "l.active_jobs", "l.pending_jobs", "l.hit_rate", "n")
+
+
 def coverage(table: DataFrame, start: int, ts: str = "ts_us") -> DataFrame:
     """Oldest row, and whether the table reaches back to start; an empty one never does."""
     return table.agg(F.min(ts).alias("oldest"), F.coalesce(F.min(ts) <= start, F.lit(False)).alias("complete"))

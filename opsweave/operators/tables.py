@@ -66,6 +66,24 @@ def configured(rows: DataFrame, sources: DataFrame, key: str = "source") -> Data
     return rows.join(sources.select(key).distinct(), key, "left_semi")
 
 
+def registry_list(rows: DataFrame, sources: DataFrame, now_us: int) -> DataFrame:
+    """Registry rows (source, last_us, started_us, reachable, devices, devices_us) of configured sources as they are shown, at now_us.
+
+    stale_s is the time since the last poll, uptime_s that since the start, devices_age_s that since devices were attributed; each is null
+    where its time is. devices is a list: null if unknown, empty if the source holds none. reachable is false where no poll says so.
+    """
+    since = lambda c: (F.lit(now_us) - F.col(c)) / 1e6
+    shown = configured(rows, sources)
+    return shown.select(
+        *[c for c in shown.columns if c not in ("reachable", "devices")],
+        F.coalesce("reachable", F.lit(False)).alias("reachable"),
+        F.from_json(F.nullif(F.trim("devices"), F.lit("")), "array<int>").alias("devices"),
+        since("last_us").alias("stale_s"),
+        since("started_us").alias("uptime_s"),
+        since("devices_us").alias("devices_age_s"),
+    )
+
+
 def purge(table: DataFrame, source: str) -> DataFrame:
     """The table without one source."""
     return table.where(~F.col("source").eqNullSafe(F.lit(source)))

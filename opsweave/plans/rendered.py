@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bucket_us, label_key, mask_secrets
-from ..operators import breakdown, correlate, deltas, intervals, parse, polls, rollups, series, summary, tables
+from ..operators import backfill, breakdown, correlate, deltas, intervals, parse, polls, rollups, series, summary, tables
 from ..sources import readers
+from ..streaming.streams import scratch
 from .catalog import ALL, FELL, HISTS, LAGS, QS3, A, B, _counts, grid, query, windowed
 
 LINE = "source, id as seq, ts_us"
@@ -127,6 +128,74 @@ query("s13_ring_gaps", "select source, ts_us, coalesce(started_us > (max(started
     lambda t: polls.ring_gaps(t("requests").selectExpr("source", "ts_us", "to_json(struct(transform(sequence(1, 12), i -> map('time', started_us)) as requests)) as body"))
 )
 
+SWARM = "case when o_orderkey % 7 > 0 then concat('{\"status\":{\"live_gens\":', queue_running, ',\"waiting_gens\":', queue_pending, ',\"loading_models\":0},\"backend_status\":{\"status\":\"running\"}}') end"
+STATS = "case when o_orderkey % 3 > 0 then concat('{\"system\":{},\"devices\":[{\"name\":\"d\",\"vram_total\":', vram_total, ',\"vram_free\":', vram_free, '}]}') end"
+QUEUE = "concat('{\"queue_running\":[', repeat('[1]', cast(queue_running as int)), '],\"queue_pending\":[', array_join(array_repeat('[0,\"x\"]', cast(queue_pending as int)), ','), ']}')"
+query("m7_backend_samples", """select source, o_orderkey, '' as backend, 'running' as status, queue_running as live_gens, queue_pending as waiting_gens, cast(null as bigint) as queue_running, cast(null as bigint) as queue_pending, cast(null as bigint) as vram_free from {image_samples} where o_orderkey % 7 > 0
+union all select source, o_orderkey, b, case when o_orderkey % 3 > 0 then 'running' else 'unreachable' end, null, null, case when o_orderkey % 3 > 0 then queue_running end, case when o_orderkey % 3 > 0 then queue_pending end, case when o_orderkey % 3 > 0 then vram_free end from {image_samples}, (values ('ComfyUI-0'), ('ComfyUI-1')) x(b)""")(
+    lambda t: polls.backend_samples(t("image_samples").selectExpr("source", "o_orderkey as ts_us", f"{SWARM} as status", f"transform(array('ComfyUI-0', 'ComfyUI-1'), b -> struct(b as backend, {STATS} as stats, {QUEUE} as queue)) as backends")).select(
+        "source", F.col("ts_us").alias("o_orderkey"), "backend", "status", "live_gens", "waiting_gens", "queue_running", "queue_pending", "vram_free"
+    )
+)
+query("a6_cache_usage", """with s as (select source, ts_us, id, case when n_ctx_slot > 0 then prompt_tokens / n_ctx_slot end as share, k % 3 as active_jobs, k % 5 as pending_jobs, k / 100 as hit_rate from {requests}),
+ l as (select * from s qualify row_number() over (partition by source order by ts_us desc, id desc) = 1)
+select source, round(avg(s.share), 9) as mean, max(s.share) as max, count(s.share) as n, any_value(l.share) as last, any_value(l.active_jobs) as active_jobs, any_value(l.pending_jobs) as pending_jobs, any_value(l.hit_rate) as hit_rate from s join l using (source) group by source""")(
+    lambda t: summary.cache_usage(t("requests").selectExpr("source", "ts_us", "prompt_tokens as used_tokens", "n_ctx_slot as max_tokens", "k % 3 as active_jobs", "k % 5 as pending_jobs", "k / 100 as hit_rate"), 0, 1 << 62).withColumn("mean", F.round("mean", 9))
+)
+query("a9_registry_list", """select source, last_us, started_us, k % 2 = 0 as reachable, case when k % 3 = 1 then 0 when k % 3 = 2 then 2 end as devices, (1706659200000000 - last_us)/1e6 as stale_s, (1706659200000000 - started_us)/1e6 as uptime_s, case when k % 3 > 0 then (1706659200000000 - last_us)/1e6 end as devices_age_s
+from (select source, ts_us as last_us, started_us, k from {requests} where source <> 's3' qualify row_number() over (partition by source order by id desc) = 1) x""")(
+    lambda t: tables.registry_list(
+        tables.latest(t("requests").selectExpr("source", "id", "ts_us as last_us", "started_us", "case when k % 2 = 0 then true end as reachable", "case k % 3 when 1 then '[]' when 2 then '[3,4]' end as devices", "case when k % 3 > 0 then ts_us end as devices_us"), ("source",), "id"),
+        t("requests").where("source != 's3'").select("source"),
+        1_706_659_200_000_000,
+    ).select("source", "last_us", "started_us", "reachable", F.nullif(F.size("devices"), F.lit(-1)).cast("int").alias("devices"), "stale_s", "uptime_s", "devices_age_s")
+)
+query("j9_capacity", "select (select slots from (select *, case when k % 3 > 0 then 1 + k % 4 end as slots from {requests}) where slots is not null order by ts_us desc, id desc limit 1) as slots, max(k % 9) as sampled_peak from {requests}")(
+    lambda t: intervals.capacity(t("requests").selectExpr("ts_us", "case when k % 3 > 0 then 1 + k % 4 end as slots", "k % 9 as inflight"), 0, 1 << 62)
+)
+
+# Events
+
+SAID = "concat('time=2024-01-02T03:04:05.678+02:00 level=', case when k % 3 = 2 then 'WARN' else 'INFO' end, ' source=s.go:1 msg=\"', case k % 3 when 0 then 'timer expired, expiring to unload' when 1 then 'runner with non-zero duration has gone idle, adding timer' else concat('odd ', k) end, '\" runner.name=m', k % 5, ' duration=', k, 'm')"
+query("e3_server_events", """select source, id as seq, case k % 3 when 0 then 'unload' when 1 then 'idle_timer' else 'problem' end as kind, case when k % 3 = 2 then 'WARN' else 'INFO' end as level, concat('m', k % 5) as model,
+ case k % 3 when 0 then 'timer expired, expiring to unload' when 1 then 'runner with non-zero duration has gone idle, adding timer' else concat('odd ', k) end as msg from {requests}
+union all select source, id, 'truncation', 'WARN', null, concat('context truncated at ', k, ' tokens') from {requests} where k % 3 = 1 and k % 2 = 1""")(
+    lambda t: correlate.server_events(parse.go_lines(lines(t, SAID)), parse.slot_lines(lines(t, SLOT))).select("source", "seq", "kind", "level", "model", "msg")
+)
+query("e7_engine_events", "select source, seq, case when message like 'listening%' then 'start' else 'error' end as kind, 'm1' as model, case when message like 'listening%' then 'listening on http://0.0.0.0:8011' else 'upstream exploded' end as msg from {n_log} where message like 'listening%' or message like '% error %'")(
+    lambda t: correlate.engine_events(parse.engine_n_lines(t("n_log"))).select("source", "seq", "kind", "model", "msg")
+)
+
+
+# Backfill: three lines of each request that works, in the order of requests.
+
+def whole_log(t) -> DataFrame:
+    parts = (
+        "concat('slot print_timing: id 0 | task ', id, ' | prompt eval time = ', k, '.50 ms / ', 1 + k, ' tokens ( 1.0 ms per token, 2.0 tokens per second)')",
+        "concat('slot release: id 0 | task ', id, ' | stop processing: n_tokens = ', k, ', truncated = ', k % 2)",
+        "concat('[GIN] 2024/01/02 - 03:04:05 | ', status, ' | ', k, '.5s | ', client_ip, ' | POST     \"', endpoint, '\"')",
+    )
+    each = ", ".join(f"struct(3*id + {i} as seq, {p} as message)" for i, p in enumerate(parts))
+    return t("requests").where("class in ('inference','embed')").selectExpr("source", "ts_us", f"inline(array({each}))")
+
+
+def backfilled(t) -> tuple[DataFrame, str]:
+    folder = scratch(t("requests").sparkSession)
+    return backfill.backfill(whole_log(t), folder), folder
+
+
+query("s11_backfill", """with r as (select * from {requests} where class in ('inference','embed')) select 'lines' as "table", 3*count(*) as read, cast(null as bigint) as added from r union all select 'requests', count(*), count(*) from r
+union all select 'events', count(*), count(distinct concat(ts_us, ' ', k)) from r where k % 2 = 1 union all select 'cache_samples', 0, 0""")(lambda t: backfilled(t)[0])
+
+
+def full_rollup(t) -> DataFrame:
+    spark, (_, folder) = t("requests").sparkSession, backfilled(t)
+    backfill.refresh_rollups(spark, folder)
+    return spark.read.parquet(f"{folder}/rollup_1h").select("bucket", "class", "req_count", "err_count", F.col("ttft_n").alias("timed"))
+
+
+query("s12_full_rollup", "select cast(floor(ts_us/3600000000) as bigint)*3600000000 as bucket, class, count(*) as req_count, count(*) filter (where status >= 400) as err_count, count(*) as timed from {requests} where class in ('inference','embed') group by 1, 2")(full_rollup)
+
 # Clocks, names, loads, tables
 
 query("t1_t3_clocks", "select source, seq, ts_us - 3600000000*(case when first_k is null then 0 else 1 end) as clock_us from (select source, ts_us // 1000000 * 1000000 as ts_us, row_number() over (partition by source order by ts_us, id) as seq, max(case when k % 5 = 0 then 1 end) over (partition by source order by ts_us, id) as first_k from {requests}) x")(

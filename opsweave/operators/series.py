@@ -80,14 +80,17 @@ def device_series(samples: DataFrame, start: int, end: int, step_s: int) -> Data
     return sample_series(samples, start, end, step_s, {c: F.col(c) for c in ("util_pct", "mem_used", "temp_c", "power_w")}, {}, ("gpu_index",))
 
 
-def host_devices(samples: DataFrame, owned: list[int], start: int, end: int, step_s: int) -> DataFrame:
-    """Owned devices of a host taken together: mean utilisation, sums of memory and power, the hottest latest reading; null if there is none."""
+def host_devices(samples: DataFrame, owned: list[int], start: int, end: int, step_s: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Owned devices of a host taken together: mean utilisation, sums of memory and power, the hottest latest reading; null if there is none.
+
+    ties: columns that tell which of several readings of one time is the latest.
+    """
     s = in_window(samples, start, end).where(F.col("gpu_index").isin(*owned)).withColumn("bucket", bucket_us(F.col("ts_us"), step_s))
     per = s.groupBy("bucket", "gpu_index").agg(
         F.avg("util_pct").alias("util_pct"),
         F.avg("mem_used").alias("mem_used"),
         F.avg("power_w").alias("power_w"),
-        F.max_by("temp_c", F.when(F.col("temp_c").isNotNull(), F.struct("ts_us", *[c for c in ("l_orderkey",) if c in samples.columns]))).alias("temp_c"),
+        F.max_by("temp_c", F.when(F.col("temp_c").isNotNull(), F.struct("ts_us", *ties))).alias("temp_c"),
     )
     out = per.groupBy("bucket").agg(F.avg("util_pct").alias("util_pct"), F.sum("mem_used").alias("mem_used"), F.sum("power_w").alias("power_w"), F.max("temp_c").alias("temp_c"))
     return filled(out, start, end, step_s)

@@ -21,8 +21,11 @@ def _with_percentiles(row: DataFrame, values: DataFrame, column: str, prefix: st
     return row.join(p, F.lit(True), "left")  # both sides are one row
 
 
-def request_summary(requests: DataFrame, start: int, end: int, model: str | None = None, grain: str | None = None) -> DataFrame:
-    """Requests, errors, tokens, rates and latencies of a window. Short windows read raw rows and are exact; longer ones read rollups."""
+def request_summary(requests: DataFrame, start: int, end: int, model: str | None = None, grain: str | None = None, rollup: DataFrame | None = None) -> DataFrame:
+    """Requests, errors, tokens, rates and latencies of a window. Short windows read raw rows and are exact; longer ones read rollups.
+
+    rollup: the stored rollup of that grain. Without one it is made of the rows of the buckets that start in the window.
+    """
     grain = grain or pick_grain(end - start)
     span = (end - start) / SECOND
     r = requests if model is None else requests.where(F.col("model") == model)
@@ -43,7 +46,12 @@ def request_summary(requests: DataFrame, start: int, end: int, model: str | None
         own = r.where(work)
         row = _with_percentiles(_with_percentiles(row, own, "ttft_ms", "ttft", QS), own, "latency_ms", "latency", QS)
     else:
-        roll = in_window(build_rollup(r, 60 if grain == "1m" else 3600), start, end, "bucket")
+        if rollup is None:
+            step = (60 if grain == "1m" else 3600) * SECOND
+            rollup = build_rollup(in_window(r, -(-start // step) * step, -(-end // step) * step), step // SECOND)
+        elif model is not None:
+            rollup = rollup.where(F.col("model") == model)
+        roll = in_window(rollup, start, end, "bucket")
         total = lambda c: F.coalesce(F.sum(F.when(work, F.col(c))), F.lit(0)).cast("long")
         row = roll.agg(
             total("req_count").alias("requests"),

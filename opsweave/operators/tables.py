@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -132,16 +133,19 @@ def upsert_last_wins(new: DataFrame, path: str, keys: tuple[str, ...], order: st
     """Rewrite the day partitions that new rows touch or that hold their keys, the newest row of a key winning, on whatever day it is."""
     spark, n = new.sparkSession, with_day(new, "ts_us")
     target = table_at(spark, path)
-    days, left = set(), set()
+    days, left, beside = set(), set(), None
     if target is not None:
         known = n.select(*keys).distinct()
         held = target.select(*keys, "dt").join(known, same(target, known, keys), "left_semi")
         days = {r[0] for r in n.select("dt").union(held.select("dt")).distinct().collect()}
         inside = F.col("dt").isin([d for d in days if d is not None])
         n = last_wins(target.where(inside | F.col("dt").isNull() if None in days else inside), n, keys, order)
-        n = _detached(n, path)
+        beside = f"{path.rstrip('/')}__new_{uuid.uuid4().hex}"
+        n = _detached(n, beside)
         left = {r[0] for r in n.select("dt").distinct().collect()}
     n.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
+    if beside is not None:
+        _drop_partition(spark, beside)
     # A day that has lost its last row isn't written; a run that stops before this is made good by the next upsert of the key.
     for day in days - left:
         _drop_partition(spark, f"{path.rstrip('/')}/dt={'__HIVE_DEFAULT_PARTITION__' if day is None else day}")
@@ -152,10 +156,9 @@ def _drop_partition(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _detached(df: DataFrame, path: str) -> DataFrame:
+def _detached(df: DataFrame, beside: str) -> DataFrame:
     """df written beside the table, so that the table can be overwritten from it."""
-    beside = f"{path.rstrip('/')}__new"
-    df.write.mode("overwrite").parquet(beside)
+    df.write.parquet(beside)
     return df.sparkSession.read.parquet(beside)
 
 

@@ -115,7 +115,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(size, base, U64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 1 << 22:
+        if size <= 1 << 20:
             _powers[base] = have
     return have[: n + 1]
 

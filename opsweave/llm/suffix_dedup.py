@@ -307,8 +307,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, unit:
     unit bytes: as removal_digests(), but a character of which a byte stays is kept. unit words: passages of length words
     or more that also stand elsewhere go, from their first word to their last. Null texts stay null.
     """
-    known = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    texts = known.select(F.col("__row").alias("row"), packed(F.col(text)).alias("packed"))
+    known = materialise(docs.withColumns({"__row": F.monotonically_increasing_id(), "__packed": packed(F.col(text))}), "rows")
+    texts = known.select(F.col("__row").alias("row"), F.col("__packed").alias("packed"))
     spans = repeated_spans(texts, length, unit).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
 
     @F.pandas_udf("string")
@@ -324,4 +324,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, unit:
 
         return pd.Series([one(t, s) for t, s in zip(texts.tolist(), spans.tolist(), strict=True)], dtype=object)
 
-    return known.join(spans, "__row", "left").withColumn(text, kept(F.col(text), F.col("__spans"))).select(*docs.columns)
+    return known.drop("__packed").join(spans, "__row", "left").withColumn(text, kept(F.col(text), F.col("__spans"))).select(*docs.columns)

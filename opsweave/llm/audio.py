@@ -140,12 +140,11 @@ def store_pcm(media: DataFrame, column: str = "media", out: str = "pcm", rate: i
     return media.withColumn(out, convert(F.col(column)))
 
 
-def feature(tag: int, pcm: np.ndarray, rate: int, to: int) -> str:
+def feature(tag: int, pcm: np.ndarray, resampled: bytes) -> str:
     """Codec, samples, peak, energy, sign changes of the samples, and CRC-32 of them resampled."""
     x = pcm.astype(np.int64)
     changes = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    crc = zlib.crc32(resample(pcm, rate, to).astype("<i2").tobytes())
-    return f"{NAMES[tag]};{len(x)};{int(np.abs(x).max(initial=0))};{int((x * x).sum())};{changes};{crc:08x}"
+    return f"{NAMES[tag]};{len(x)};{int(np.abs(x).max(initial=0))};{int((x * x).sum())};{changes};{zlib.crc32(resampled):08x}"
 
 
 def payload(text: str | None, multiple: int = BLOCK) -> tuple[int, bytes]:
@@ -155,10 +154,11 @@ def payload(text: str | None, multiple: int = BLOCK) -> tuple[int, bytes]:
 
 
 def audio_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pcm_bytes, pcm_sha256.
 
     Each text's bytes are stored as the samples of a telephony file, in a codec that its CRC-32 chooses (mu-law,
-    A-law, ADPCM: all store bytes as they are), read back from the file, decoded, and resampled to 16 kHz for the feature.
+    A-law, ADPCM: all store bytes as they are), read back from the file, decoded, and stored as PCM resampled to 16 kHz, as store_pcm() does.
+    A row for each row of docs; null texts are empty, equal texts have equal values, an empty table gives no rows.
     """
 
     def run(batches):
@@ -172,10 +172,12 @@ def audio_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
                 for (n, _), media, decoded in zip(raw, files, decode_many(files), strict=True):
                     tag, _, _, back = parse_wave(media)
                     rate, pcm = decoded
-                    rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(tag, pcm, rate, OUT_RATE)))
-            out = pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                    resampled = resample(pcm, rate, OUT_RATE).astype("<i2").tobytes()
+                    stored = wave(PCM, resampled, OUT_RATE)
+                    rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(tag, pcm, resampled), len(stored), hashlib.sha256(stored).hexdigest()))
+            out = pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256"])
             out.insert(0, "doc_id", ids.reset_index(drop=True))
             yield out
 
     source = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return kept_id(source.mapInPandas(run, "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"))
+    return kept_id(source.mapInPandas(run, "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"))

@@ -295,6 +295,42 @@ def test_audio_round_trip(spark, rows):
         assert (got[i].n_bytes, got[i].payload_bytes) == (len(raw), len(data))
         assert got[i].payload_sha256 == hashlib.sha256(data).hexdigest() and got[i].tail_crc32 == zlib.crc32(data[-64:])
     assert got[1].feature == got[2].feature and got[1].media_sha256 == got[2].media_sha256
+    assert audio.audio_digests(table(spark, [])).count() == 0
+
+
+def test_audio_by_samples_one_after_another(spark, rows):
+    """Files, samples, features and stored PCM against plain loops."""
+    tables = {audio.MULAW: audio.law_table(audio.MULAW).tolist(), audio.ALAW: audio.law_table(audio.ALAW).tolist()}
+    got = {r.doc_id: r for r in audio.audio_digests(table(spark, rows[:24])).collect()}
+    for i, t, _ in rows[:24]:
+        raw = (t or "").encode()
+        data = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        tag = (audio.MULAW, audio.ALAW, audio.IMA_ADPCM)[zlib.crc32(data) % 3]
+        media = audio.wave(tag, data)
+        assert (got[i].media_bytes, got[i].media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        if tag in tables:
+            pcm = [tables[tag][b] for b in data]
+        else:
+            align, pcm = struct.unpack_from("<H", media, 32)[0], []
+            for at in range(0, len(data), align):
+                value, index = struct.unpack_from("<hB", data, at)
+                index = min(index, 88)
+                pcm.append(value)
+                for k in range(2 * (align - 4)):
+                    nibble = data[at + 4 + k // 2] >> (4 * (k % 2)) & 15
+                    step = int(audio.STEPS[index])
+                    change = step // 8 + (step if nibble & 4 else 0) + (step // 2 if nibble & 2 else 0) + (step // 4 if nibble & 1 else 0)
+                    value = max(-32768, min(32767, value - change if nibble & 8 else value + change))
+                    index = max(0, min(88, index + int(audio.CHANGES[nibble])))
+                    pcm.append(value)
+        out = []
+        for k in range(2 * len(pcm)):
+            a, b = pcm[k // 2], pcm[min(k // 2 + 1, len(pcm) - 1)]
+            out.append(a if k % 2 == 0 else (a + b + 1) // 2)
+        stored = audio.wave(audio.PCM, struct.pack(f"<{len(out)}h", *out), 16000)
+        assert (got[i].pcm_bytes, got[i].pcm_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        changes = sum((x < 0) != (y < 0) for x, y in zip(pcm, pcm[1:], strict=False))
+        assert got[i].feature.split(";")[1:] == [str(len(pcm)), str(max(map(abs, pcm))), str(sum(x * x for x in pcm)), str(changes), f"{zlib.crc32(struct.pack(f'<{len(out)}h', *out)):08x}"]
 
 
 def test_laws_and_adpcm():
@@ -351,6 +387,49 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark, words):
     assert kept.columns == table(spark, []).columns and kept.count() == sum(x.predicted == 0 for x in got)
 
 
+def test_toxicity_by_dense_tables(spark, words):
+    """Scores against the same learning with dense tables and words as they stand."""
+    r = random.Random(9)
+    docs, labels = [], []
+    for i in range(260):
+        w = r.choice(words).split()
+        r.shuffle(w)
+        if i % 5 == 0:
+            w[2:2] = r.sample(["Awfulx,", "nastyx", "vilex!", "grimx"], 3)
+        docs.append((i, " ".join(w[: r.randint(10, 60)]), None))
+        labels.append((i, 0, int(i % 5 == 0)))
+    got = {x.doc_id: x.score for x in toxicity.toxicity_scores(table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    sets = {i: set(re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", lower(t))) for i, t, _ in docs}
+    learn = [i for i, _, _ in docs if zlib.crc32(str(i).encode()) % 4 != 2]
+    positive = [i for i in learn if labels[i][2]]
+    prior = len(positive) / len(learn)
+    kept = []
+    unique = lambda ids: list({frozenset(sets[i]) for i in ids})
+    p_sets, u_sets = unique(positive), unique(learn)
+    for word in sorted(set().union(*sets.values())):
+        p, u = (sum(word in s for s in x) + 0.5 for x in (p_sets, u_sets))
+        both = (p + u) / (len(positive) + len(learn) + 2)
+        part = lambda k, n: k * np.log(k / (n * both)) + (n - k) * np.log((n - k) / (n * (1 - both)))
+        if 2 * (part(p, len(positive) + 1) + part(u, len(learn) + 1)) >= 12:
+            kept.append(word)
+    xp, xu = (np.array([[w in sets[i] for w in kept] for i in ids], float) for ids in (positive, learn))
+    w, b = np.zeros(len(kept)), np.log(prior / (1 - prior))
+    m1, m2 = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+    for t in range(1, 801):
+        p, u = 1 / (1 + np.exp(-(xp @ w + b))), 1 / (1 + np.exp(-(xu @ w + b)))
+        risk = -np.log(1 - u).mean() + prior * np.log(1 - p).mean()
+        dp, du = (-prior * (1 - p) / len(p) - prior * p / len(p), u / len(u)) if risk >= 0 else (prior * p / len(p), -u / len(u))
+        grad = np.append(xp.T @ dp + xu.T @ du + 1e-5 * w, dp.sum() + du.sum())
+        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
+        step = 0.1 / (1 + t / 100) * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-4)
+        w, b = w - step[:-1], b - step[-1]
+    assert kept
+    for i, _, _ in docs:
+        want = 1 / (1 + np.exp(-(b + sum(x for x, word in zip(w, kept, strict=True) if word in sets[i]))))
+        assert abs(got[i] - want) < 1e-4
+
+
 def test_html_layout():
     page = """<head><title>x</title><style>p{}</style></head><body><p>One<p>Two <b>bold</b> text<!-- no --><ul><li>a<li>b<ol start=3><li>c<li>d</ol></ul>
     <table><tr><th>n<th>value<th>z<tr><td>wide one<td>b<td>q</table>tail<div hidden>no <p>no</div><span style="display: none">no</span>

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from opsweave.llm import neighbours
 from opsweave.llm.neighbours import nearest
 
 
@@ -38,6 +39,34 @@ def test_recall_and_order(spark):
     assert all(abs(s - 1) < 1e-9 for _, s in got[0])
 
 
+def test_recall_of_many_vectors(spark, monkeypatch):
+    """Starting partitions of 64 in 20,000 vectors: what is found is found by neighbours of neighbours."""
+    monkeypatch.setattr(neighbours, "LEAF", 64)
+    monkeypatch.setattr(neighbours, "TABLES", 2)
+    r = np.random.default_rng(3)
+    x = (r.standard_normal((200, 24))[r.integers(0, 200, 20_000)] + 0.8 * r.standard_normal((20_000, 24))).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for q in nearest(frame, every=200).collect():
+        got.setdefault(q.query_id, set()).add(q.vec_id)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 20_000, 200):
+        s = unit @ unit[q]
+        s[q] = -2
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hits >= 0.9 * 500
+
+
+def test_lengths_apart_and_ties(spark):
+    """Vectors of different lengths are never neighbours; equal scores go by id."""
+    rows = [(i, [1.0, float(i % 3)]) for i in range(30)] + [(i, [1.0, float(i % 2), 2.0]) for i in range(30, 50)] + [(50, [1.0] * 5)]
+    got = {}
+    for x in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append(x.vec_id)
+    assert got == {0: [3, 6, 9, 12, 15], 10: [1, 4, 7, 13, 16], 20: [2, 5, 8, 11, 14], 30: [32, 34, 36, 38, 40], 40: [30, 32, 34, 36, 38]}
+
+
 def test_few_and_no_vectors(spark):
     schema = "vec_id long, embedding array<double>"
     few = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 3.0])]

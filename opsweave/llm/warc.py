@@ -4,8 +4,9 @@ Derivatives name their source in WARC-Refers-To, carry its target URI, date and
 blocks have digests of their own. Records are rows, and only Spark's own functions and one that decodes entities work on them; read_warc() and
 serialised() translate from and to the file format.
 
-A null payload is an empty one, null URIs and headers are empty strings in the records. Ids follow from the contents,
-so that reruns agree; equal responses at one URI and date have equal ids.
+A null payload is an empty one, null URIs and headers are empty strings in the records; a null page_id stays null. Ids follow from the
+contents, so that reruns agree; equal responses at one URI and date have equal ids, and rows that repeat have their derivatives each.
+An empty table has none. A file is read by one task as one value, so it may have 2 GB at most.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ UNSHOWN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<hea
 BREAKS = r"(?i)</?(?:p|div|h[1-6]|ul|ol|li|table|tr|br|hr|article|section|nav|header|footer|aside|main|blockquote|pre|body|html)\b[^>]*>"
 NO_BREAK = re.compile(r"&(?:nbsp;?|#0*160;|#[xX]0*[aA]0;)")
 CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([A-Za-z0-9._:-]+)", re.I)
+MADE = ("warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length", "block_digest", "source_digest", "block")
 MEMBER = b"\x1f\x8b\x08"
 
 
@@ -70,13 +72,16 @@ def derivatives(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Two rows for each response (record_id, target_uri, warc_date, http_headers, payload), with the columns in keep:
 
     warc_type, record_id, refers_to, target_uri, warc_date, content_type, content_length, block_digest, source_digest, block.
-    Where responses have body (the payload's bytes), length and source_digest are taken of it; digests that the source states
+    keep may not name any of these. Where responses have body (the payload's bytes), length and source_digest are taken of it; digests that the source states
     (payload_digest, warc_block_digest) stand in the metadata.
     """
+    if clash := set(keep) & set(MADE):
+        raise ValueError(f"derivatives have columns of these names: {sorted(clash)}")
     own = [c for c in ("body", "payload_digest", "warc_block_digest") if c in responses.columns]
     responses = responses.select("*", *[F.col(c).alias(f"__{c}") for c in own])
     text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("record_id", "target_uri", "warc_date", "http_headers", "payload")}
-    r = responses.select(*keep, *[v.alias(c) for c, v in text.items()], *[f"__{c}" for c in own])
+    held = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None)
+    r = responses.select(held.alias("__kept"), *[v.alias(c) for c, v in text.items()], *[f"__{c}" for c in own])
     body = F.coalesce("__body", F.col("payload").cast("binary")) if "body" in own else F.col("payload")
     stated = [F.col(f"__{c}").alias(name) for c, name in (("payload_digest", "stated_payload_digest"), ("warc_block_digest", "stated_block_digest")) if c in own]
     r = r.withColumn("source_digest", digest(body)).withColumn("text", plain_text(F.col("payload")))
@@ -98,9 +103,9 @@ def derivatives(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/json").alias("content_type"), found.alias("block")),
         F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")),
     )
-    d = r.withColumn("d", F.explode(both)).select(*keep, "d.*", F.col("record_id").alias("refers_to"), "target_uri", "warc_date", "source_digest")
+    d = r.withColumn("d", F.explode(both)).select("__kept", "d.*", F.col("record_id").alias("refers_to"), "target_uri", "warc_date", "source_digest")
     return d.select(
-        *keep,
+        *[F.col("__kept")[c].alias(c) for c in keep],
         "warc_type",
         urn(F.col("warc_type"), F.col("refers_to"), F.col("block")).alias("record_id"),
         "refers_to",

@@ -4,6 +4,8 @@ import gzip
 import hashlib
 import json
 
+import pytest
+
 from opsweave.llm import warc
 
 
@@ -33,3 +35,14 @@ def test_charset_digests_and_damage(spark, tmp_path):
     assert made.source_digest == "sha256:" + hashlib.sha256(body).hexdigest()
     found = json.loads(made.block)
     assert found["stated_payload_digest"] == "sha1:P1" and found["payload_length"] == len(body)
+
+
+def test_nulls_repeats_and_clashing_names(spark):
+    rows = [(None, None, None, 1, 2), (3, "u", "<p>x", 3, 4), (3, "u", "<p>x", 3, 4)]
+    responses = warc.responses_from_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text int, d int")).selectExpr("*", "page_id + 1 as text", "'kept' as d")
+    got = sorted((str(r.page_id), r.warc_type, r.block if r.warc_type == "conversion" else "", str(r.text), r.d) for r in warc.derivatives(responses, keep=("page_id", "text", "d")).collect())
+    assert got == [("3", "conversion", "x", "4", "kept")] * 2 + [("3", "metadata", "", "4", "kept")] * 2 + [("None", "conversion", "", "None", "kept"), ("None", "metadata", "", "None", "kept")]
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.derivatives(warc.responses_from_pages(empty)).count() == 0
+    with pytest.raises(ValueError):
+        warc.derivatives(responses.withColumn("block", responses["d"]), keep=("block",))

@@ -38,7 +38,7 @@ BITS = 128
 #: Members of a block, and shingles in it: what is over goes to more blocks.
 BLOCK, SHINGLES = 1024, 1 << 20
 #: Columns of a table of members and shingles that are multiplied at a time.
-COLUMNS = 2048
+COLUMNS = 1024
 
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
@@ -95,14 +95,15 @@ def least_matches(threshold: float, count: int, miss: float, batch: int = BATCH,
     return out
 
 
-def surviving(a: np.ndarray, b: np.ndarray, threshold: float, miss: float) -> np.ndarray:
-    """Which pairs of byte signatures (rows of a and b) the sequential test keeps."""
+def surviving(a: np.ndarray, b: np.ndarray, threshold: float, miss: float, x: np.ndarray | None = None, y: np.ndarray | None = None) -> np.ndarray:
+    """Which pairs of byte signatures the sequential test keeps: of rows of a and b, or of rows x of a with rows y of b."""
     count = a.shape[1]
+    x, y = (np.arange(len(a)) if i is None else i for i in (x, y))
     least = least_matches(threshold, count, miss)
-    alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
+    alive, matches = np.arange(len(x)), np.zeros(len(x), np.int64)
     for n in range(BATCH, count + 1, BATCH):
         part = slice(n - BATCH, n)
-        matches = matches + (a[alive, part] == b[alive, part]).sum(axis=1)
+        matches = matches + (a[:, part][x[alive]] == b[:, part][y[alive]]).sum(axis=1)
         go = matches >= least[n]
         alive, matches = alive[go], matches[go]
     return alive
@@ -253,20 +254,22 @@ def _in_blocks(members: DataFrame) -> DataFrame:
     return m.withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o")).drop("o", "blocks")
 
 
-def _candidates(group: pd.DataFrame, percent: int, miss: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of a group that the sequential test keeps: in different components, of its two blocks."""
+def _candidates(group: pd.DataFrame, percent: int, miss: float, rows: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a group that the sequential test keeps: in different components, of its two blocks. A few rows at a time are held against all."""
     n, component, block = (group[c].to_numpy(np.int64) for c in ("n_shingles", "component", "block"))
-    able = 100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)
-    able &= component[:, None] != component
-    if group["i"].iat[0] != group["j"].iat[0]:
-        able &= block[:, None] != block
-    x, y = np.nonzero(np.triu(able, 1))
-    sig, kept = _signatures(group["sig"]), []
-    for at in range(0, len(x), 1 << 17):
-        p, q = x[at : at + (1 << 17)], y[at : at + (1 << 17)]
-        kept.append(at + surviving(sig[p], sig[q], percent / 100, miss))
-    kept = np.concatenate(kept) if kept else np.empty(0, np.int64)
-    return x[kept], y[kept]
+    sig, across = _signatures(group["sig"]), group["i"].iat[0] != group["j"].iat[0]
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for at in range(0, len(n), rows):
+        some = slice(at, at + rows)
+        able = 100 * np.minimum(n[some, None], n) >= percent * np.maximum(n[some, None], n)
+        able &= component[some, None] != component
+        if across:
+            able &= block[some, None] != block
+        x, y = np.nonzero(np.triu(able, at + 1))
+        keep = surviving(sig, sig, percent / 100, miss, x + at, y)
+        found.append((x[keep] + at, y[keep]))
+    x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+    return x, y
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -279,12 +282,12 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     member, column = member[use], column[place[use]]
     order = np.argsort(column, kind="stable")
     member, column = member[order], column[order]
-    out = np.zeros((len(sets), len(sets)), np.int64)
+    out = np.zeros((len(sets), len(sets)), np.int32)
     for at in range(0, int(often.sum()), COLUMNS):
         x, y = np.searchsorted(column, (at, at + COLUMNS))
         held = np.zeros((len(sets), COLUMNS), np.float32)
         held[member[x:y], column[x:y] - at] = 1
-        out += (held @ held.T).astype(np.int64)
+        np.add(out, held @ held.T, out=out, casting="unsafe")
     return out
 
 
@@ -298,7 +301,7 @@ def joining_links(group: pd.DataFrame, percent: int, miss: float) -> list[tuple[
     p, q = np.searchsorted(used, x), np.searchsorted(used, y)
     n = np.array([len(s) for s in sets])
     if len(p) > 8 * len(used):
-        both = shared_counts(sets)[p, q]
+        both = shared_counts(sets)[p, q].astype(np.int64)
         ok = 100 * both >= percent * (n[p] + n[q] - both)
     else:
         ok = np.array([similar(sets[a], sets[b], percent) for a, b in zip(p.tolist(), q.tolist(), strict=True)])

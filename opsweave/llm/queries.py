@@ -7,10 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import warc
+from . import conversations, cuckoo_index, lexical_search, warc
 from .audio import audio_digests
 from .bpe import encode_digests
+from .conversations import damage_report
+from .cuckoo_index import exact_dedup
 from .html_text import page_texts
+from .lexical_search import ranked_search
 from .mixing import mixed
 from .near_duplicates import near_duplicates
 from .neighbours import nearest
@@ -65,6 +68,18 @@ def op10_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_limits(length_histogram(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
 
 
+def op11_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damage_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it stands beside the package and imports from it
 
@@ -82,7 +97,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_html_text": op9_html_text,
     "op10_token_lengths": op10_token_lengths,
+    "op11_cuckoo_dedup": op11_cuckoo_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_ranked_search": op13_ranked_search,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_warc": warc.ORACLE,
+    "op11_cuckoo_dedup": cuckoo_index.ORACLE,
+    "op12_conversation_repair": conversations.ORACLE,
+    "op13_ranked_search": lexical_search.ORACLE,
+}

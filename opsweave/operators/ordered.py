@@ -1,25 +1,170 @@
-"""Running values along seq within a source, without one task for a source: parts of seq are scanned apart, and what came before each part is added."""
+"""State along an order within a source, without one task for a source: parts of the order are read apart, and what came before each part is added.
+
+running() adds sums, maxima and minima. scan() carries a state whose steps are functions that compose: each part's function is found without
+knowing the state it starts from, the functions are put together part after part, and each part is read again from its own start.
+"""
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Span of seq that is scanned in one place.
 PART = 1 << 16
 _MERGE = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": lambda a, b: F.greatest(a, b), "min": lambda a, b: F.least(a, b)}
+_FAR = 1 << 62
+
 
+def running(df: DataFrame, columns: dict[str, tuple[str, Column, bool]], key: str = "source", order: str = "seq", part: int | None = None, levels: int = 1) -> DataFrame:
+    """df with running values by key: name -> (sum, max or min; value; whether the row itself counts). order is a whole number, unique within a key.
 
-def running(df: DataFrame, columns: dict[str, tuple[str, Column, bool]], key: str = "source", order: str = "seq", part: int | None = None) -> DataFrame:
-    """df with running values by key: name -> (sum, max or min; value; whether the row itself counts). order is a whole number, unique within a key."""
+    levels: parts of parts, for an order with wide gaps such as a time, in which rows are few in a part and parts are many.
+    """
     d = df.withColumn("__part", F.floor(F.col(order) / (part or PART))).withColumns({f"__{n}": v for n, (_, v, _) in columns.items()})
-    ahead = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     totals = d.groupBy(key, "__part").agg(*[getattr(F, kind)(f"__{n}").alias(f"__{n}") for n, (kind, _, _) in columns.items()])
-    before = totals.select(key, "__part", *[getattr(F, kind)(f"__{n}").over(ahead).alias(f"__before_{n}") for n, (kind, _, _) in columns.items()])
+    if levels > 1:
+        # Values get names of this level, as the next one makes columns of its own.
+        upper = totals.select(key, F.col("__part").alias("at"), *[F.col(f"__{n}").alias(f"v{levels}_{n}") for n in columns])
+        deeper = running(upper, {f"b{levels}_{n}": (kind, F.col(f"v{levels}_{n}"), False) for n, (kind, _, _) in columns.items()}, key, "at", part, levels - 1)
+        before = deeper.select(key, F.col("at").alias("__part"), *[F.col(f"b{levels}_{n}").alias(f"__before_{n}") for n in columns])
+    else:
+        ahead = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        before = totals.select(key, "__part", *[getattr(F, kind)(f"__{n}").over(ahead).alias(f"__before_{n}") for n, (kind, _, _) in columns.items()])
     inside = Window.partitionBy(key, "__part").orderBy(order)
     own = {n: getattr(F, kind)(f"__{n}").over(inside.rowsBetween(Window.unboundedPreceding, 0 if itself else -1)) for n, (kind, _, itself) in columns.items()}
     out = d.withColumns({f"__own_{n}": c for n, c in own.items()}).join(before, [key, "__part"])
     out = out.withColumns({n: _MERGE[kind](F.col(f"__before_{n}"), F.col(f"__own_{n}")) for n, (kind, _, _) in columns.items()})
     return reduce(lambda x, n: x.drop(f"__{n}", f"__own_{n}", f"__before_{n}"), columns, out).drop("__part")
+
+
+def asof(asks: DataFrame, marks: DataFrame, value: Column, name: str, key: str = "source", at: str = "at", by: str = "seq") -> DataFrame:
+    """asks (key, at, ...) with name: the value of the last of marks (key, at, by), in order of (at, by), whose time is not after the ask's; null if none.
+
+    Times are whole numbers. Marks of one time become one before anything is ordered.
+    """
+    last = marks.groupBy(key, at).agg(F.max(F.struct(F.col(at).alias("a"), F.col(by).alias("b"), value.alias("v"))).alias("__m"))
+    points = last.unionByName(asks.select(key, at).distinct(), allowMissingColumns=True).groupBy(key, at).agg(F.max("__m").alias("__m"))
+    found = running(points, {"__last": ("max", F.col("__m"), True)}, key, at, levels=3).select(key, at, F.col("__last.v").alias(name))
+    return asks.join(found, [key, at])
+
+
+class Rule(NamedTuple):
+    """How a state is carried: summary of a part's rows, the state after a part (from its summary and the state before), and one step."""
+
+    summary: Callable[[list[tuple]], list[int | None]]
+    after: Callable[[list[int | None], int | None], int | None]
+    step: Callable[[int | None, tuple], int | None]
+
+
+def _held_step(x: int | None, row: tuple) -> int | None:
+    low, high, value = row
+    if value is None:
+        return x
+    return x if x is not None and low <= x <= high else value
+
+
+def _held_summary(rows: list[tuple]) -> list[int | None]:
+    """From the last row back: within [low, high] what the later rows make of a state, elsewhere what they make of value.
+
+    Pieces (start, end, outcome; None: the state itself) lie between the bounds that all rows so far leave; outside is one outcome.
+    """
+    pieces: deque[tuple[int, int, int | None]] = deque([(-_FAR, _FAR, None)])
+    outside: int | None = None
+    some = False
+    for low, high, value in reversed(rows):
+        if value is None:
+            continue
+        some = True
+        first, last = pieces[0][0], pieces[-1][1]
+        if high < first or low > last:
+            pieces = deque([(low, high, outside)])
+        else:
+            while pieces[0][1] < low:
+                pieces.popleft()
+            while pieces[-1][0] > high:
+                pieces.pop()
+            pieces[0] = (max(pieces[0][0], low), *pieces[0][1:])
+            pieces[-1] = (pieces[-1][0], min(pieces[-1][1], high), pieces[-1][2])
+            if low < first:
+                joined = pieces.popleft() if pieces[0][2] == outside and outside is not None else None
+                pieces.appendleft((low, joined[1] if joined else first - 1, outside))
+            if high > last:
+                joined = pieces.pop() if pieces[-1][2] == outside and outside is not None else None
+                pieces.append((joined[0] if joined else last + 1, high, outside))
+        found = next(p for p in (pieces if value - low <= high - value else reversed(pieces)) if p[0] <= value <= p[1])
+        outside = value if found[2] is None else found[2]
+    return [outside, *[x for p in pieces for x in p]] if some else []
+
+
+def _held_after(summary: list[int | None], x: int | None) -> int | None:
+    if not summary or x is None:
+        return summary[0] if summary else x
+    low, high = 0, (len(summary) - 1) // 3  # the last piece that starts at x or before
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (middle + 1, high) if summary[1 + 3 * middle] <= x else (low, middle)
+    if low and x <= summary[3 * low - 1]:
+        return x if summary[3 * low] is None else summary[3 * low]
+    return summary[0]
+
+
+def _clamp(x: int, low: int, high: int) -> int:
+    return min(max(x, low), high)
+
+
+def _clamped_summary(rows: list[tuple]) -> list[int | None]:
+    least, most = -_FAR, _FAR
+    for low, high in rows:
+        least, most = _clamp(least, low, high), _clamp(most, low, high)
+    return [least, most]
+
+
+#: Columns low, high, value: the state stays if it lies within [low, high], else becomes value; a null value changes nothing.
+HELD = Rule(_held_summary, _held_after, _held_step)
+#: Columns low, high: the state is brought within [low, high].
+CLAMPED = Rule(_clamped_summary, lambda s, x: _clamp(x, *s), lambda x, row: _clamp(x, *row))
+
+
+def scan(df: DataFrame, rule: Rule, columns: list[Column], name: str, start: int | None = None, key: str = "source", order: str = "seq", part: int | None = None, before: bool = False) -> DataFrame:
+    """df with name (long): the state after each row (before it, if before), by key and order, from start on.
+
+    No task holds more than one part of a key, or one short summary of each of a key's parts.
+    """
+    given, own = [f"__c{i}" for i in range(len(columns))], list(df.columns)
+    d = df.withColumns(dict(zip(given, [c.cast("long") for c in columns], strict=True))).withColumn("__part", F.floor(F.col(order) / (part or PART)))
+    kind = df.schema[key].dataType.simpleString()
+
+    def steps(t: pa.Table) -> list[tuple]:
+        return list(zip(*(t.column(c).to_pylist() for c in given), strict=True))
+
+    def summarise(group: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        return pa.table({key: t.column(key)[:1], "__part": t.column("__part")[:1], "__f": pa.array([rule.summary(steps(t))], pa.list_(pa.int64()))})
+
+    def chain(t: pa.Table) -> pa.Table:
+        t, x, out = t.sort_by("__part"), start, []
+        for f in t.column("__f").to_pylist():
+            out.append(x)
+            x = rule.after(f, x)
+        return pa.table({key: t.column(key), "__part": t.column("__part"), "__x": pa.array(out, pa.int64())})
+
+    def walk(t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        x, out = t.column("__x")[0].as_py(), []
+        for row in steps(t):
+            y = rule.step(x, row)
+            out.append(x if before else y)
+            x = y
+        return t.select(own).append_column(name, pa.array(out, pa.int64()))
+
+    functions = d.select(key, "__part", order, *given).groupBy(key, "__part").applyInArrow(summarise, f"{key} {kind}, __part long, __f array<long>")
+    entries = functions.groupBy(key).applyInArrow(chain, f"{key} {kind}, __part long, __x long")
+    schema = StructType([*df.schema.fields, StructField(name, LongType())])
+    return d.join(entries, [key, "__part"]).groupBy(key, "__part").applyInArrow(walk, schema)

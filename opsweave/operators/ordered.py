@@ -7,7 +7,7 @@ knowing the state it starts from, the functions are put together part after part
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
@@ -140,31 +140,63 @@ def scan(df: DataFrame, rule: Rule, columns: list[Column], name: str, start: int
     given, own = [f"__c{i}" for i in range(len(columns))], list(df.columns)
     d = df.withColumns(dict(zip(given, [c.cast("long") for c in columns], strict=True))).withColumn("__part", F.floor(F.col(order) / (part or PART)))
     kind = df.schema[key].dataType.simpleString()
-
-    def steps(t: pa.Table) -> list[tuple]:
-        return list(zip(*(t.column(c).to_pylist() for c in given), strict=True))
-
-    def summarise(group: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by(order)
-        return pa.table({key: t.column(key)[:1], "__part": t.column("__part")[:1], "__f": pa.array([rule.summary(steps(t))], pa.list_(pa.int64()))})
-
-    def chain(t: pa.Table) -> pa.Table:
-        t, x, out = t.sort_by("__part"), start, []
-        for f in t.column("__f").to_pylist():
-            out.append(x)
-            x = rule.after(f, x)
-        return pa.table({key: t.column(key), "__part": t.column("__part"), "__x": pa.array(out, pa.int64())})
-
-    def walk(t: pa.Table) -> pa.Table:
-        t = t.sort_by(order)
-        x, out = t.column("__x")[0].as_py(), []
-        for row in steps(t):
-            y = rule.step(x, row)
-            out.append(x if before else y)
-            x = y
-        return t.select(own).append_column(name, pa.array(out, pa.int64()))
-
-    functions = d.select(key, "__part", order, *given).groupBy(key, "__part").applyInArrow(summarise, f"{key} {kind}, __part long, __f array<long>")
-    entries = functions.groupBy(key).applyInArrow(chain, f"{key} {kind}, __part long, __x long")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def laid(t: DataFrame, *by: str) -> DataFrame:
+        """Rows of a group in one partition, in order, group after group."""
+        return t.repartition(tasks, *by).sortWithinPartitions(*by, *([order] if order in t.columns else ["__part"]))
+
+    def lists(batch: pa.RecordBatch, *names: str) -> list[list]:
+        return [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names]
+
+    def table(rows: list[tuple], *types: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[key, "__part", "__f"])
+
+    def summarise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, steps, done, type_ = None, [], [], None
+        for batch in batches:
+            type_ = batch.schema.field(key).type
+            for k, p, *row in zip(*lists(batch, key, "__part", *given), strict=True):
+                if now != (k, p):
+                    if steps:
+                        done.append((*now, rule.summary(steps)))
+                    now, steps = (k, p), []
+                steps.append(tuple(row))
+            if len(done) > 1000:
+                yield table(done, type_, pa.int64(), pa.list_(pa.int64()))
+                done = []
+        if steps:
+            done.append((*now, rule.summary(steps)))
+        if done:
+            yield table(done, type_, pa.int64(), pa.list_(pa.int64()))
+
+    def chain(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, x, first = None, start, True
+        for batch in batches:
+            done = []
+            for k, p, f in zip(*lists(batch, key, "__part", "__f"), strict=True):
+                if first or k != now:
+                    now, x, first = k, start, False
+                done.append((k, p, x))
+                x = rule.after(f, x)
+            if done:
+                yield table(done, batch.schema.field(key).type, pa.int64(), pa.int64())
+
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, x = None, None
+        for batch in batches:
+            out = []
+            for k, p, begins, *row in zip(*lists(batch, key, "__part", "__x", *given), strict=True):
+                if now != (k, p):
+                    now, x = (k, p), begins
+                y = rule.step(x, row)
+                out.append(x if before else y)
+                x = y
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in own), pa.array(out, pa.int64())], names=[*own, name])
+
+    narrow = d.select(key, "__part", *([order] if order not in (key, "__part") else []), *given)
+    functions = laid(narrow, key, "__part").mapInArrow(summarise, f"{key} {kind}, __part long, __f array<long>")
+    entries = laid(functions, key).mapInArrow(chain, f"{key} {kind}, __part long, __f long").withColumnRenamed("__f", "__x")
     schema = StructType([*df.schema.fields, StructField(name, LongType())])
-    return d.join(entries, [key, "__part"]).groupBy(key, "__part").applyInArrow(walk, schema)
+    return laid(d.join(entries, [key, "__part"]), key, "__part").mapInArrow(walk, schema)

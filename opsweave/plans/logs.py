@@ -100,7 +100,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     raw = streams.stream_of(spark, f"{sf_dir}/event[s].parquet", spark.read.parquet(path).schema)  # a pattern: a stream's plain path must be a folder
     e = raw.selectExpr("event_id as id", "unix_micros(cast(ts as timestamp)) as ts_us", "user_id", "event_type", "value", "cast(get_json_object(props,'$.k') as bigint) as k")
-    return e.selectExpr("id", "ts_us", "k", "concat('s', cast(user_id % 4 as string)) as source", "case when k % 11 = 0 then null else concat('m', cast(user_id % 5 as string)) end as model", "case event_type when 'signup' then 'embed' when 'view' then 'health' else 'inference' end as class", "case event_type when 'error' then 500 else 200 end as status", "case when event_type in ('error','view') then null else cast(floor(value) as bigint) end as output_tokens", "value")
+    return e.selectExpr("id", "ts_us", "k", "concat('s', cast(user_id % 4 as string)) as source", "concat('10.0.0.', cast(user_id as string)) as client_ip", "case when k % 11 = 0 then null else concat('m', cast(user_id % 5 as string)) end as model", "case event_type when 'signup' then 'embed' when 'view' then 'health' else 'inference' end as class", "case event_type when 'error' then 500 else 200 end as status", "case when event_type in ('error','view') then null else cast(floor(value) as bigint) end as output_tokens", "value")
 
 
 def stream_query(name: str, sql: str | None = None):

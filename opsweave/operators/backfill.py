@@ -26,7 +26,8 @@ def parsed_log(lines: DataFrame) -> tuple[dict[str, DataFrame], int]:
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.select(*_LINE).schema)
     parts = spark.read.schema(f"{kinds}, owner string").parquet(path)
     records = {owner: parser(parts.where(F.col("owner") == owner).drop("owner")) for owner, parser in _PARSERS.items()}
-    return {owner: shared.written(r.drop("message")) for owner, r in records.items()}, seen.get["lines"]
+    done = shared.together(*[lambda r=r: shared.written(r.drop("message")) for r in records.values()])
+    return dict(zip(records, done, strict=True)), seen.get["lines"]
 
 
 def structured_names(go: DataFrame, manifests: DataFrame | None = None) -> DataFrame:
@@ -89,16 +90,19 @@ def log_tables(lines: DataFrame, manifests: DataFrame | None = None) -> dict[str
 def tables_of(records: dict[str, DataFrame], manifests: DataFrame | None = None) -> dict[str, DataFrame]:
     """The tables of parsed_log()."""
     slot, go = records["slot"], shared.written(structured_names(records["go"], manifests))
-    # The model mentioned last up to a line, for lines that name none.
     caches = slot.unionByName(records["server"], allowMissingColumns=True)
-    samples = shared.written(correlate.cache_samples(caches))
-    events = shared.written(event_rows(slot, go, records["kv"]))
+    requests, samples, events = shared.together(
+        lambda: request_rows(records["access"], slot, go),
+        lambda: shared.written(correlate.cache_samples(caches)),
+        lambda: shared.written(event_rows(slot, go, records["kv"])),
+    )
+    # The model mentioned last up to a line, for lines that name none.
     asks = samples.select("source", "seq").unionByName(events.where("kind = 'truncation'").select("source", "seq")).distinct()
     said = go.where("model is not null").select("source", "seq", "model").unionByName(asks, allowMissingColumns=True)
     last = ordered.running(said, {"recent": ("max", F.when(F.col("model").isNotNull(), F.struct("seq", "model")), True)}).where("model is null").select("source", "seq", F.col("recent.model").alias("recent"))
     last = shared.written(last)
     return {
-        "requests": request_rows(records["access"], slot, go),
+        "requests": requests,
         "events": events.join(last, ["source", "seq"], "left").withColumn("model", F.when(F.col("kind") == "truncation", F.coalesce("model", "recent")).otherwise(F.col("model"))).drop("recent"),
         "cache_samples": samples.join(last, ["source", "seq"], "left").withColumnRenamed("recent", "model"),
     }
@@ -111,20 +115,21 @@ def backfill(lines: DataFrame, folder: str, manifests: DataFrame | None = None)
     that the requests of this log touch.
     """
     spark = lines.sparkSession
+    keys = {"requests": tables.KEYS["requests"], "events": tables.KEYS["events"], "cache_samples": ("source", "ts_us", "seq")}
+
+    def taken(name: str, rows: DataFrame) -> tuple[str, int, int, int | None, int | None]:
+        seen = Observation()
+        rows = shared.written(rows.observe(seen, F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("low"), F.max("ts_us").alias("high")))
+        told = seen.get
+        return name, told["n"], tables.append_first_wins(rows, f"{folder}/{name}", keys[name], "seq"), told["low"], told["high"]
+
     with shared.released(spark):
         records, n = parsed_log(lines)
-        counts: list[tuple[str, int, int | None]] = [("lines", n, None)]
-        keys = {"requests": tables.KEYS["requests"], "events": tables.KEYS["events"], "cache_samples": ("source", "ts_us", "seq")}
-        span = None
-        for name, rows in tables_of(records, manifests).items():
-            seen = Observation()
-            rows = shared.written(rows.observe(seen, F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("low"), F.max("ts_us").alias("high")))
-            told = seen.get
-            span = (told["low"], told["high"]) if name == "requests" else span
-            counts.append((name, told["n"], tables.append_first_wins(rows, f"{folder}/{name}", keys[name], "seq")))
-        if span and span[0] is not None:
-            refresh_rollups(spark, folder, *span)
-    return spark.createDataFrame(counts, "table string, read long, added long")
+        found = shared.together(*[lambda name=name, rows=rows: taken(name, rows) for name, rows in tables_of(records, manifests).items()])
+        low, high = next((f[3], f[4]) for f in found if f[0] == "requests")
+        if low is not None:
+            refresh_rollups(spark, folder, low, high)
+    return spark.createDataFrame([("lines", n, None), *[f[:3] for f in found]], "table string, read long, added long")
 
 
 def refresh_rollups(spark: SparkSession, folder: str, since_us: int | None = None, until_us: int | None = None) -> None:

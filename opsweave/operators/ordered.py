@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-#: Span of seq that is scanned in one place.
-PART = 1 << 16
+#: Span of seq that is scanned in one place; span of time in microseconds (about a minute), of which again so many are scanned in one place.
+PART, SPAN = 1 << 16, 1 << 26
 _MERGE = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": lambda a, b: F.greatest(a, b), "min": lambda a, b: F.least(a, b)}
 _FAR = 1 << 62
 
@@ -51,7 +51,7 @@ def asof(asks: DataFrame, marks: DataFrame, value: Column, name: str, key: str =
     """
     last = marks.groupBy(key, at).agg(F.max(F.struct(F.col(at).alias("a"), F.col(by).alias("b"), value.alias("v"))).alias("__m"))
     points = last.unionByName(asks.select(key, at).distinct(), allowMissingColumns=True).groupBy(key, at).agg(F.max("__m").alias("__m"))
-    found = running(points, {"__last": ("max", F.col("__m"), True)}, key, at, levels=3).select(key, at, F.col("__last.v").alias(name))
+    found = running(points, {"__last": ("max", F.col("__m"), True)}, key, at, SPAN, levels=2).select(key, at, F.col("__last.v").alias(name))
     return asks.join(found, [key, at])
 
 

@@ -108,4 +108,6 @@ def duck(sql: str) -> str:
     if not views:
         return body
     listed = ",\n".join(f"{n} as ({plain(VIEWS[n])})" for n in views)
+    if body.startswith("with recursive "):
+        return f"with recursive {listed},\n{body[15:]}"
     return f"with {listed},\n{body[5:]}" if body.startswith("with ") else f"with {listed}\n{body}"

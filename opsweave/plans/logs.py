@@ -78,8 +78,22 @@ FIFO = """with o as (select source, ts_us, class, k, row_number() over (partitio
 select a.source, a.seq, w.seq as w_seq, case when a.lost then 'none' when a.rest > 0 then 'ambiguous' else 'exact' end as "match" from g a left join g w on w.d > 0 and w.source = a.source and w.n = a.n and not a.lost where a.d < 0"""
 query("j2_fifo_join", FIFO)(lambda t: correlate.fifo_join(_ordered(t).where("class = 'health'").select("source", "seq"), _ordered(t).where("class != 'health' and k % 3 != 0").select("source", "seq")).select("source", "seq", "w_seq", "match"))
 query("j2_fifo_join_whole", FIFO.replace(" or k % 3 <> 0", " or true"))(lambda t: correlate.fifo_join(_ordered(t).where("class = 'health'").select("source", "seq"), _ordered(t).where("class != 'health'").select("source", "seq")).select("source", "seq", "w_seq", "match"))
-query("j2_fifo_with_expiry_whole")(lambda t: correlate.fifo_with_expiry(_ordered(t).withColumn("arrives", F.col("class") == "health").withColumn("ts_us", (F.col("ts_us") / 1000).cast("long"))))
-query("j2_fifo_with_expiry")(lambda t: correlate.fifo_with_expiry(_ordered(t).where("class = 'health' or k % 3 != 0").withColumn("arrives", F.col("class") == "health").withColumn("ts_us", (F.col("ts_us") / 1000).cast("long"))))
+#: The queue of each source as a list, row by row: what is too old leaves, an arrival is put behind, a call takes the first.
+QUEUE = """with recursive o as (select source, id, ts_us, class, k, row_number() over (partition by source order by ts_us, id) as seq from {{requests}}),
+ e as (select source, {seq} as seq, ts_us // 1000 as ts, class = 'health' as arrives, row_number() over (partition by source order by seq) as n from o where class = 'health' or {calls}),
+ w as (select distinct source, cast(0 as bigint) as n, cast(null as bigint) as seq, cast([] as struct(seq bigint, ts bigint)[]) as q, cast(null as bigint) as task_seq, cast(null as varchar) as "match", cast([] as bigint[]) as lost from e
+  union all select source, n, seq, case when arrives then list_append(live, {{'seq': seq, 'ts': ts}}) else live[2:] end, case when not arrives then live[1].seq end, case when arrives then null when len(live) = 0 then 'none' when len(live) > 1 then 'ambiguous' else 'exact' end, lost
+  from (select e.source, e.n, e.seq, e.ts, e.arrives, list_filter(w.q, lambda x: e.ts - x.ts <= 30000000) as live, list_transform(list_filter(w.q, lambda x: e.ts - x.ts > 30000000), lambda x: x.seq) as lost from w join e on e.source = w.source and e.n = w.n + 1) s)
+ select source, seq, task_seq, "match" from w where "match" is not null union all select source, l, l, 'orphan' from (select source, unnest(lost) as l from w) x{rest}"""
+REST = " union all select source, l.seq, l.seq, 'orphan' from (select source, unnest(q) as l from w qualify n = max(n) over (partition by source)) y"
+
+
+def queue_sql(calls: str, seq: str = "seq", rest: str = REST) -> str:
+    return QUEUE.format(calls=calls, seq=seq, rest=rest)
+
+
+query("j2_fifo_with_expiry_whole", queue_sql("true"))(lambda t: correlate.fifo_with_expiry(_ordered(t).withColumn("arrives", F.col("class") == "health").withColumn("ts_us", (F.col("ts_us") / 1000).cast("long"))))
+query("j2_fifo_with_expiry", queue_sql("k % 3 <> 0"))(lambda t: correlate.fifo_with_expiry(_ordered(t).where("class = 'health' or k % 3 != 0").withColumn("arrives", F.col("class") == "health").withColumn("ts_us", (F.col("ts_us") / 1000).cast("long"))))
 query("t4_forward_clock", """select source, seq, max(case when k % 4 <> 0 then ts_us end) over (partition by source order by seq) as ts_us from (select source, ts_us, k, row_number() over (partition by source order by ts_us, id) as seq from {requests}) o""")(
     lambda t: correlate.forward_clock(_ordered(t).select("source", "seq", F.when(F.col("k") % 4 != 0, F.col("ts_us")).alias("clock_us"))).select("source", "seq", "ts_us")
 )
@@ -123,7 +137,7 @@ def z5_replay_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drained(streams.once(twice, ["id"]).select("id", "source"))
 
 
-@stream_query("z1_fifo_stream")
+@stream_query("z1_fifo_stream", queue_sql("k % 3 <> 0", "id", ""))
 def z1_fifo_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).where("class = 'health' or k % 3 != 0")
     return streams.drained(streams.fifo_stream(e.select("source", F.col("id").alias("seq"), (F.col("ts_us") / 1000).cast("long").alias("ts_us"), (F.col("class") == "health").alias("arrives"))))

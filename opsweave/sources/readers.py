@@ -11,10 +11,18 @@ from ..functions.exprs import SECOND
 MODEL_LAYER = "application/vnd.ollama.image.model"
 
 
-def _sequence(lines: DataFrame) -> DataFrame:
-    """source, seq, message of text rows in file order; files follow one another by name."""
+def _sequence(lines: DataFrame, chained: bool = False) -> DataFrame:
+    """file, seq, message of text rows in file order: within a file, or, if chained, through all files by name.
+
+    A file is read in blocks. Rows are numbered inside their block, and a block begins where those before it end: what is ordered in one
+    place is a block, or a short row for each block.
+    """
     placed = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("message"))
-    return placed.withColumn("seq", F.row_number().over(Window.partitionBy("file").orderBy("block", "row")))
+    blocks = placed.groupBy("file", "block").agg(F.count("*").alias("n"))
+    ahead = (Window.orderBy("file", "block") if chained else Window.partitionBy("file").orderBy("block")).rowsBetween(Window.unboundedPreceding, -1)
+    begins = blocks.select("file", "block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("begin"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("row"))
+    return placed.withColumn("inside", inside).join(begins, ["file", "block"]).select("file", (F.col("begin") + F.col("inside")).alias("seq"), "message")
 
 
 def journal_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -30,7 +38,34 @@ def journal_scan(spark: SparkSession, path: str) -> DataFrame:
 
 def log_scan(spark: SparkSession, path: str) -> DataFrame:
     """file, seq, message of plain log files, blank lines skipped."""
-    return _sequence(spark.read.text(path).select("value", "_metadata")).where(F.trim("message") != "").select("file", "seq", "message")
+    return _sequence(spark.read.text(path).select("value", "_metadata")).where(F.trim("message") != "")
+
+
+def startup_scan(spark: SparkSession, folder: str, newest: bool = False) -> DataFrame:
+    """file, seq, message of a folder in which each start of a server begins a new *.log file: seq runs through the files by name.
+
+    newest: only the file whose name is the last, the one that is still written.
+    """
+    raw = spark.read.option("pathGlobFilter", "*.log").text(folder).select("value", "_metadata")
+    if newest:
+        last = raw.agg(F.max("_metadata.file_path")).first()[0]
+        raw = raw.where(F.col("_metadata.file_path") == F.lit(last))
+    return _sequence(raw, chained=True).where(F.trim("message") != "")
+
+
+def scrape_scan(spark: SparkSession, folder: str, since_us: int | None = None, until_us: int | None = None) -> DataFrame:
+    """source, ts_us, body of stored answers <folder>/<source>/<microseconds>.<kind>, one a file: Prometheus texts or JSON polls.
+
+    Times are in the names, padded to one length: files outside [since, until) are left out by name, unread.
+    """
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+    name = F.col("_metadata.file_name")
+    if since_us is not None:
+        raw = raw.where(name >= f"{since_us:020d}")
+    if until_us is not None:
+        raw = raw.where(name < f"{until_us:020d}")
+    parts = F.split("_metadata.file_path", "/")
+    return raw.select(F.element_at(parts, -2).alias("source"), F.substring_index(F.element_at(parts, -1), ".", 1).try_cast("long").alias("ts_us"), F.col("value").alias("body")).where("ts_us is not null")
 
 
 def container_log_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -55,7 +90,11 @@ def with_pcie(samples: DataFrame, readings: DataFrame) -> DataFrame:
 
 def manifest_scan(spark: SparkSession, path: str) -> DataFrame:
     """digest, model of model manifests <registry>/<namespace>/<name>/<tag>; the default namespace is left off."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return manifests_of(spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file")))
+
+
+def manifests_of(raw: DataFrame) -> DataFrame:
+    """digest, model of manifest texts (value) and the paths (file) they were read from."""
     parts = F.split("file", "/")
     name, tag, space = F.element_at(parts, -2), F.element_at(parts, -1), F.element_at(parts, -3)
     layers = F.from_json("value", "layers array<struct<mediaType string, digest string>>")["layers"]

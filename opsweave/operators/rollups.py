@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bucket_us, hist_counts, hist_sum
@@ -11,7 +11,7 @@ _SUMS = ("req_count", "err_count", "in_tokens", "out_tokens", "cached_tokens", "
 
 
 def build_rollup(requests: DataFrame, step_s: int) -> DataFrame:
-    """A row for each (bucket, model or '', class): counts, token sums, duration sums and histograms."""
+    """A row for each (bucket, model or '', class): counts, token sums, duration sums and histograms; of decoding and queueing where requests tell them."""
     whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return requests.groupBy(bucket_us(F.col("ts_us"), step_s).alias("bucket"), F.coalesce("model", F.lit("")).alias("model"), "class").agg(
         F.count("*").alias("req_count"),
@@ -26,9 +26,17 @@ def build_rollup(requests: DataFrame, step_s: int) -> DataFrame:
         F.coalesce(F.sum("latency_ms"), F.lit(0.0)).alias("lat_sum"),
         F.count("latency_ms").alias("lat_n"),
         hist_counts(F.col("latency_ms")).alias("lat_hist"),
+        *_further(requests),
     )
 
 
+def _further(requests: DataFrame) -> list[Column]:
+    out = [F.coalesce(F.sum("decode_ms"), F.lit(0.0)).alias("decode_ms_sum")] if "decode_ms" in requests.columns else []
+    if "queue_ms" in requests.columns:
+        out += [F.coalesce(F.sum("queue_ms"), F.lit(0.0)).alias("queue_sum"), F.count("queue_ms").alias("queue_n"), F.max("latency_ms").alias("lat_max")]
+    return out
+
+
 def coarsen(rollup: DataFrame, step_s: int) -> DataFrame:
     """A coarser rollup from a finer one: everything in it adds."""
     return rollup.groupBy(bucket_us(F.col("bucket"), step_s).alias("bucket"), "model", "class").agg(
@@ -38,6 +46,8 @@ def coarsen(rollup: DataFrame, step_s: int) -> DataFrame:
         hist_sum(F.col("ttft_hist")).alias("ttft_hist"),
         F.sum("lat_sum").alias("lat_sum"),
         hist_sum(F.col("lat_hist")).alias("lat_hist"),
+        *[F.sum(c).alias(c) for c in ("decode_ms_sum", "queue_sum", "queue_n") if c in rollup.columns],
+        *[F.max(c).alias(c) for c in ("lat_max",) if c in rollup.columns],
     )
 
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from opsweave.plans import catalog, logs, rendered  # noqa: F401
+from opsweave.plans import catalog, logs, measured, rendered, served, stored  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

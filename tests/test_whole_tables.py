@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from opsweave.plans import catalog, logs, rendered  # noqa: F401
+from opsweave.plans import catalog, logs, measured, rendered, served, stored  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

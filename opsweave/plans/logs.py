@@ -71,6 +71,10 @@ def _ordered(t) -> DataFrame:
     return t("requests").selectExpr("source", "ts_us", "class", "k", "row_number() over (partition by source order by ts_us, id) as seq")
 
 
+def _ordered_ids(t) -> DataFrame:
+    return t("requests").selectExpr("source", "id", "k", "ts_us as ts", "row_number() over (partition by source order by ts_us, id) as seq")
+
+
 FIFO = """with o as (select source, ts_us, class, k, row_number() over (partition by source order by ts_us, id) as seq from {requests}), v as (select *, case when class = 'health' then 1 else -1 end as d from o where class = 'health' or k % 3 <> 0),
  b as (select *, sum(d) over w as balance from v window w as (partition by source order by seq)), c as (select *, least(0, min(balance) over (partition by source order by seq)) as low from b),
  f as (select *, d < 0 and low < coalesce(lag(low) over (partition by source order by seq), 0) as lost, balance - low as rest from c),
@@ -97,6 +101,14 @@ query("j2_fifo_with_expiry", queue_sql("k % 3 <> 0"))(lambda t: correlate.fifo_w
 query("t4_forward_clock", """select source, seq, max(case when k % 4 <> 0 then ts_us end) over (partition by source order by seq) as ts_us from (select source, ts_us, k, row_number() over (partition by source order by ts_us, id) as seq from {requests}) o""")(
     lambda t: correlate.forward_clock(_ordered(t).select("source", "seq", F.when(F.col("k") % 4 != 0, F.col("ts_us")).alias("clock_us"))).select("source", "seq", "ts_us")
 )
+# Clocks of three kinds: up to 2 s behind the time before, further back, and far ahead once, so that all lines after it fall back.
+CLOCKS = "case when k % 5 = 0 then null when k % 5 = 1 then ts - 1500000 when k % 5 = 2 then ts - 3600000000 when id % 1000 = 7 then ts + 864000000000 else ts end"
+query("t4_falling_clock", f"""with recursive o as (select source, row_number() over (partition by source order by ts_us, id) as seq, {CLOCKS} as clock from (select *, ts_us as ts from {{requests}}) r),
+ w as (select distinct source, cast(0 as bigint) as seq, cast(null as bigint) as ts_us from o
+  union all select o.source, o.seq, case when clock is null then w.ts_us when w.ts_us - clock > 0 and w.ts_us - clock <= 2000000 then w.ts_us else clock end from w join o on o.source = w.source and o.seq = w.seq + 1)
+ select source, seq, ts_us from w where seq > 0""")(
+    lambda t: correlate.forward_clock(_ordered_ids(t).selectExpr("source", "seq", f"{CLOCKS} as clock_us")).select("source", "seq", "ts_us")
+)
 query("e4_slots_resident", """with o as (select source, ts_us, k, model, row_number() over (partition by source order by ts_us, id) as seq from {requests} where model is not null), c as (select *, case when k % 2 = 0 then 1 + k % 4 else 0 end as now from o),
  d as (select *, now - coalesce(lag(now) over (partition by source, model order by seq), 0) as change from c) select source, seq, nullif(cast(sum(change) over (partition by source order by seq) as bigint), 0) as slots from d""")(
     lambda t: correlate.slots_resident(t("requests").where("model is not null").selectExpr("source", "row_number() over (partition by source order by ts_us, id) as seq", "model", "1 + k % 4 as parallel", "k % 2 = 0 as loaded")).select("source", "seq", "slots")

@@ -112,6 +112,15 @@ query("m3_instances", "select source, ts_us, 'm' as model, cast(4096.0 as double
 query("m4_foreign_filter", "select source, count(*) filter (where k % 4 = 0) as own, count(*) filter (where k % 4 <> 0) as errors from {requests} group by 1")(
     lambda t: polls.foreign_filtered(t("requests").selectExpr("source", "ts_us", "'{}' as body", "case when k % 4 = 0 then 'S' else 'M' end as engine"), "S").groupBy("source").agg(F.count("body").alias("own"), F.count("error").alias("errors"))
 )
+# The same with values that rows decide on: models and contexts by row, bodies that only their engine reads, a metric that first has data later on.
+STATED = "to_json(struct(struct(coalesce(model, 'none') as model, 4096 + k as max_context) as engine, struct('idle' as state) as live))"
+query("m3_instances_by_row", "select source, ts_us, coalesce(model, 'none') as model, cast(4096.0 + k as double) as max_context from {requests}")(lambda t: polls.instances(t("requests").selectExpr("source", "ts_us", f"{STATED} as body")).select("source", "ts_us", "model", "max_context"))
+query("m4_foreign_bodies", "select source, ts_us, case when k % 4 = 0 then concat('{\"k\":', cast(k as varchar), '}') end as body, k % 4 <> 0 as foreign_engine from {requests}")(
+    lambda t: polls.foreign_filtered(t("requests").selectExpr("source", "ts_us", "concat('{\"k\":', k, '}') as body", "case when k % 4 = 0 then 'S' when k % 4 = 1 then 'M' else 'N' end as engine"), "S").select("source", "ts_us", "body", F.col("error").isNotNull().alias("foreign_engine"))
+)
+query("r13_first_of_events", "select event_type as metric from (select event_type, count(*) filter (where cast(json_extract_string(props,'$.k') as bigint) >= 98) as n from {events} group by 1) x where n > 0 order by case event_type when 'view' then 0 when 'signup' then 1 when 'error' then 2 when 'click' then 3 else 4 end limit 1")(
+    lambda t: deltas.first_with_data(t("events").groupBy(F.col("event_type").alias("metric")).agg(F.count_if(F.get_json_object("props", "$.k").cast("long") >= 98).alias("observations")), {"view": 0, "signup": 1, "error": 2, "click": 3, "purchase": 4})
+)
 GRAPH = "to_json(map('1', struct('L' as class_type, map('ckpt_name', model, 'x', 'a') as inputs), '2', struct('V' as class_type, map('file', concat(prompt_id, '.safetensors')) as inputs)))"
 query("m5_workflow_models", "select prompt_id as key, 'ckpt_name' as role, model as name from {image_generations} union all select prompt_id, 'file', concat(prompt_id, '.safetensors') from {image_generations}")(lambda t: polls.workflow_models(t("image_generations").selectExpr("prompt_id as key", f"{GRAPH} as graph")).select("key", "role", "name"))
 query("m5_primary_model", "select prompt_id as key, model from {image_generations}")(lambda t: polls.primary_model(polls.workflow_models(t("image_generations").selectExpr("prompt_id as key", f"{GRAPH} as graph"))))

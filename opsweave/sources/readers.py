@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import SECOND
+from ..operators import ordered
 
 #: Fixed value: media type of the layer that holds a model's weights.
 MODEL_LAYER = "application/vnd.ollama.image.model"
@@ -126,8 +127,9 @@ def with_clock(lines: DataFrame, default_offset_s: int = 0) -> DataFrame:
     own = get(r"^time=(\S+)")
     access = F.replace(F.replace(get(r"^\[GIN\]\s+(\d{4}/\d\d/\d\d - \d\d:\d\d:\d\d)"), F.lit("/"), F.lit("-")), F.lit(" - "), F.lit(" "))
     logger = get(r"(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d{3})")
-    fill = Window.partitionBy("source").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    d = lines.withColumn("offset_s", F.coalesce(F.last(iso_offset_s(own), ignorenulls=True).over(fill), F.lit(default_offset_s)))
+    told = iso_offset_s(own)
+    d = ordered.running(lines, {"told": ("max", F.when(told.isNotNull(), F.struct("seq", told.alias("offset_s"))), True)})
+    d = d.withColumn("offset_s", F.coalesce("told.offset_s", F.lit(default_offset_s))).drop("told")
     naive = F.coalesce(iso_us(access), iso_us(logger)) - F.col("offset_s").cast("long") * SECOND
     return d.withColumn("clock_us", F.coalesce(iso_us(own), naive))
 

@@ -22,9 +22,9 @@ from .common import U64, materialise, mix, scratch, spread
 
 #: Neighbours of a node; members of a starting partition; neighbours that meet in one place, and what each learns there at most.
 DEGREE, LEAF, MEET, LEARN = 28, 256, 96, 16
-#: Starting partitions of all nodes; rounds of neighbours of neighbours at most, and the share of fresh edges at which they end.
-TABLES, ROUNDS, SETTLED = 4, 16, 0.02
-#: Nodes that a search keeps for a query, and follows in a round; starting nodes of each length; rounds at most.
+#: Starting partitions of all nodes; rounds of neighbours of neighbours at most (more are an error), and the share of fresh edges at which they end.
+TABLES, ROUNDS, SETTLED = 4, 64, 0.02
+#: Nodes that a search keeps for a query, and follows in a round; starting nodes of each length; rounds at most (more are an error).
 WIDTH, FOLLOW, ENTRIES, STEPS = 160, 40, 48, 200
 
 
@@ -33,17 +33,21 @@ def _matrix(vectors, dtype) -> np.ndarray:
 
 
 def nodes_of(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """vec_id, node (smallest vec_id with an equal vector), vector (float64 bytes), for the vectors that take part."""
+    """vec_id, node (smallest vec_id with an equal vector), vector (float64 bytes), for the vectors that take part.
+
+    Of rows that repeat a vec_id with other vectors, those of one vector count: of that with the smallest digest.
+    """
     v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     v = v.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
     v = v.withColumn("key", F.sha2(F.to_json(F.struct("v")).cast("binary"), 256))
-    node = v.groupBy("key").agg(F.min("vec_id").alias("node"))
+    own = v.groupBy("vec_id").agg(F.min("key").alias("key"))
+    member = own.join(own.groupBy("key").agg(F.min("vec_id").alias("node")), "key")
 
     @F.pandas_udf("binary")
     def packed(values: pd.Series) -> pd.Series:
         return values.map(lambda x: np.asarray(x, np.float64).tobytes())
 
-    return v.join(node, "key").select("vec_id", "node", packed(F.col("v")).alias("vector"))
+    return v.join(member, ["vec_id", "key"]).select("vec_id", "node", packed(F.col("v")).alias("vector"))
 
 
 def _near(ids: np.ndarray, m: np.ndarray, least: np.ndarray, fresh: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,6 +150,8 @@ def neighbour_graph(small: DataFrame) -> DataFrame:
         graph = materialise(_round(graph, small), "graph")
         if graph.where("fresh").count() <= SETTLED * DEGREE * total:
             break
+    else:
+        raise RuntimeError(f"the graph did not settle in {ROUNDS} rounds")
     return graph.select("a", "b", "s")
 
 
@@ -167,7 +173,7 @@ def greedy_search(queries: DataFrame, graph: DataFrame, small: DataFrame, width:
     """query, node, score: the width nodes that a search from common entry points, and a query's own node, finds nearest by 8-bit vectors.
 
     queries: query, q, own (node of an equal vector in the graph, or null). Each round follows the links of a query's best nodes not
-    yet followed, and never looks at a node twice; it ends when the best width nodes of every query have been followed, or after STEPS rounds.
+    yet followed, and never looks at a node twice; it ends when the best width nodes of every query have been followed, and passing STEPS rounds is an error.
     """
     edges = graph.select("a", "b").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = materialise(edges, "edges")
@@ -202,6 +208,8 @@ def greedy_search(queries: DataFrame, graph: DataFrame, small: DataFrame, width:
         new = score(ahead.join(seen, ["query", "node"], "left_anti"))
         seen = seen.unionByName(new.select("query", "node"))
         top = kept(top.drop("now").unionByName(new.withColumn("followed", F.lit(False))))
+    else:
+        raise RuntimeError(f"the search did not end in {STEPS} rounds")
     return top.select("query", "node", "score")
 
 

@@ -73,3 +73,17 @@ def test_few_and_no_vectors(spark):
     got = nearest(spark.createDataFrame(few, schema)).orderBy("rank").collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 2)]
     assert nearest(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_repeated_ids_are_one_vector(spark):
+    """Of rows that repeat an id with other vectors one counts, the same on every run; equal rows are one."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    runs = [sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in nearest(table.repartition(n)).collect()) for n in (1, 3)]
+    assert runs[0] == runs[1]
+    cosine = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 6)
+    wants = []
+    for q in ([1.0, 0.0], [0.0, 1.0]):
+        scored = sorted((-cosine(q, v), i) for i, v in rows if i > 0)
+        wants.append([(0, k, i, -s) for k, (s, i) in enumerate(scored, 1)])
+    assert runs[0] in wants

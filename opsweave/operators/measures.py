@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import SECOND, WORK, bucket_us, ratio
+from ..functions.exprs import SECOND, WORK, bucket_us, hist_percentile, ratio
+from . import deltas
 from .intervals import concurrency_series
 from .percentiles import exact_percentiles
 from .series import filled
@@ -107,3 +108,23 @@ def concurrency_and_slots(requests: DataFrame, samples: DataFrame, start: int, e
     """concurrency_series() with the slots that the last sample of each bucket tells."""
     s = in_window(samples, start, end).where("slots is not null").groupBy(bucket_us(F.col("ts_us"), step_s).alias("bucket")).agg(F.max_by("slots", "ts_us").alias("slots"))
     return concurrency_series(requests, start, end, step_s).join(s, "bucket", "left")
+
+
+def metric_summary(differences: DataFrame, histograms: DataFrame, counter: str, gauge: str, start: int, end: int) -> DataFrame:
+    """One metric family of an engine over a window: total and rate of a counter's differences (d_<counter>), mean and greatest of a gauge, observations, mean and percentiles of histogram rows as histogram_range() takes them."""
+    d = in_window(differences, start, end)
+    value = F.col(gauge).cast("double")
+    row = d.agg(F.coalesce(F.sum(f"d_{counter}"), F.lit(0)).cast("long").alias("total"), F.avg(value).alias("gauge_mean"), F.max(value).alias("gauge_max"))
+    told = deltas.histogram_range(histograms, start, end).select("observations", "mean", "p50", "p90", "p99", "rows_skipped")
+    return row.withColumn("per_s", F.col("total") / ((end - start) / SECOND)).join(told, F.lit(True), "left")  # both sides are one row
+
+
+def metric_series(differences: DataFrame, histograms: DataFrame, counter: str, gauge: str, bounds: list[float], start: int, end: int, step_s: int, qs: dict[str, float]) -> DataFrame:
+    """Per bucket: rate of a counter, newest value of a gauge, percentiles of summed histogram counts (ts_us, counts, one for each of bounds and one beyond); null where there is none."""
+    bucket = bucket_us(F.col("ts_us"), step_s).alias("bucket")
+    d = in_window(differences, start, end).groupBy(bucket).agg((F.coalesce(F.sum(f"d_{counter}"), F.lit(0)).cast("long") / step_s).alias("rate"), F.max_by(F.col(gauge).cast("double"), "ts_us").alias("gauge"))
+    size = len(bounds) + 1
+    sums = F.array(*[F.sum(F.get("counts", F.lit(i))) for i in range(size)])
+    h = in_window(histograms, start, end).where(F.size("counts") == size).groupBy(bucket).agg(sums.alias("counts"))
+    h = h.select("bucket", *[hist_percentile(F.col("counts"), q, F.array(*[F.lit(float(b)) for b in bounds])).alias(n) for n, q in qs.items()])
+    return filled(d.join(h, "bucket", "left"), start, end, step_s)

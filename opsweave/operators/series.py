@@ -75,9 +75,9 @@ def sample_series(samples: DataFrame, start: int, end: int, step_s: int, means:
     return filled(out, start, end, step_s, groups=s.select(*keys).distinct() if keys else None)
 
 
-def device_series(samples: DataFrame, start: int, end: int, step_s: int) -> DataFrame:
-    """Mean gauges of each device per bucket, nulls left out of the means."""
-    return sample_series(samples, start, end, step_s, {c: F.col(c) for c in ("util_pct", "mem_used", "temp_c", "power_w")}, {}, ("gpu_index",))
+def device_series(samples: DataFrame, start: int, end: int, step_s: int, gauges: tuple[str, ...] = ("util_pct", "mem_used", "temp_c", "power_w")) -> DataFrame:
+    """Mean gauges of each device per bucket, nulls left out of the means; gauges may name others, such as readings of the bus."""
+    return sample_series(samples, start, end, step_s, {c: F.col(c) for c in gauges}, {}, ("gpu_index",))
 
 
 def host_devices(samples: DataFrame, owned: list[int], start: int, end: int, step_s: int, ties: tuple[str, ...] = ()) -> DataFrame:

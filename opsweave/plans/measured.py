@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import intervals, measures, rollups
-from .catalog import _round, grid, query, rank_sql
+from ..operators import deltas, intervals, measures, rollups, series
+from .catalog import ALL, FELL, HISTS, LAGS, QS3, _counts, _round, grid, query, rank_sql
 from .fixtures import VIEWS
 from .logs import engine_rows
 
@@ -65,3 +65,27 @@ query("j9_saturation", _LEVELS + f" select cast(max(level) as bigint) as peak, a
     lambda t: intervals.concurrency_of_capacity(t("requests"), t("slot_samples"), START, END).select(F.col("peak").cast("long").alias("peak"), "slots", F.round("saturated_s", 3).alias("saturated_s"), "sampled_peak")
 )
 
+
+
+def _rows(t) -> DataFrame:
+    bounds = F.array(F.lit(60.0), F.lit(120.0), F.lit(240.0), F.lit(None).cast("double"))
+    return _counts(t).where("counts is not null").select("ts_us", bounds.alias("bounds"), "counts", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("observations"), (F.get("counts", F.lit(0)) * 30.0).alias("sum_value"))
+
+
+_H = HISTS.replace("coalesce(counter < pc, false) or ", "")
+_PICK = ", ".join(f"case when list_sum(k) > 0 then cast([60.0,120.0,240.0] as double[])[least(3, 1 + len(list_filter(range(1,5), lambda i: list_sum(k[1:i]) < {q} * list_sum(k))))] end as {n}" for n, q in QS3.items())
+_SUM4 = "[sum(counts[1]), sum(counts[2]), sum(counts[3]), sum(counts[4])] as k"
+query("a3_metrics", f"""with h as ({_H}), r as (select * from h where counts is not null), c as (select {_SUM4}, cast(sum(list_sum(counts)) as bigint) as observations, round(sum(counts[1]*30.0)/sum(list_sum(counts)),6) as mean from r),
+ t as (select cast(coalesce(sum(counter - pc),0) as bigint) as total from (select *, {FELL} as restart from (select *, {LAGS}) a) b where not restart), g as (select round(avg(cast(gauge as double)),6) as gauge_mean, max(cast(gauge as double)) as gauge_max from {{scrapes}})
+select total, round(total/{(END - START) / 1e6},9) as per_s, observations, mean, {_PICK}, gauge_mean, gauge_max, cast(0 as bigint) as rows_skipped from c, t, g""")(
+    lambda t: _round(_round(measures.metric_summary(deltas.counter_deltas(t("scrapes"), ALL), _rows(t), "counter", "gauge", START, END), 6, "mean", "gauge_mean"), 9, "per_s")
+)
+query("w8_metric_percentiles", f"""with h as ({_H}), c as (select cast(floor(ts_us/10800000000) as bigint)*10800000000 as bucket, {_SUM4} from h where counts is not null group by 1),
+ d as (select cast(floor(ts_us/10800000000) as bigint)*10800000000 as bucket, cast(coalesce(sum(case when not restart then counter - pc end),0) as bigint)/10800 as rate, max_by(cast(gauge as double), ts_us) as gauge from (select *, {FELL} as restart from (select *, {LAGS}) a) b group by 1)
+select g.bucket, round(rate,6) as rate, gauge, {_PICK} from {grid(START, END, 10800)} g left join d on d.bucket = g.bucket left join c on c.bucket = g.bucket""")(
+    lambda t: _round(measures.metric_series(deltas.counter_deltas(t("scrapes"), ALL), _counts(t).where("counts is not null"), "counter", "gauge", [60, 120, 240], START, END, 10800, QS3), 6, "rate")
+)
+query("w10_device_gauges", f"""with s as (select cast(floor(ts_us/86400000000) as bigint)*86400000000 as bucket, gpu_index, avg(cast(util_pct as double)) as util_pct, avg(cast(temp_c as double)) as temp_c, avg(cast(power_w as double)) as power_w, avg(cast(l_orderkey % 100 as double)) as bus_rx, avg(cast(l_orderkey % 7 as double)) as bus_tx, avg(cast(mem_used as double)) as mem_used from {{gpu_samples}} group by 1, 2)
+select bucket, gpu_index, round(util_pct,6) as util_pct, round(temp_c,6) as temp_c, round(power_w,6) as power_w, round(bus_rx,6) as bus_rx, round(bus_tx,6) as bus_tx, round(mem_used,6) as mem_used from s""")(
+    lambda t: _round(series.device_series(t("gpu_samples").selectExpr("ts_us", "gpu_index", *[f"cast({c} as double) as {n}" for c, n in (("util_pct", "util_pct"), ("temp_c", "temp_c"), ("power_w", "power_w"), ("mem_used", "mem_used"), ("l_orderkey % 100", "bus_rx"), ("l_orderkey % 7", "bus_tx"))]), FIRST, LAST, 86400, ("util_pct", "mem_used", "temp_c", "power_w", "bus_rx", "bus_tx")).where("util_pct is not null"), 6, "util_pct", "temp_c", "power_w", "bus_rx", "bus_tx", "mem_used")
+)

@@ -21,7 +21,7 @@ def parsed_log(lines: DataFrame) -> tuple[dict[str, DataFrame], int]:
     spark, seen = lines.sparkSession, Observation()
     path = shared.folder(spark)
     shared.note(path)
-    dealt = parse.dispatch(lines.select(*_LINE).observe(seen, F.count(F.lit(1)).alias("lines")))
+    dealt = parse.dispatch(shared.spread(lines.select(*_LINE)).observe(seen, F.count(F.lit(1)).alias("lines")))
     dealt.withColumn("owner", F.coalesce("owner", F.lit("none"))).withColumn("message", F.when(F.col("owner") != "none", F.col("message"))).write.partitionBy("owner").parquet(path)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.select(*_LINE).schema)
     parts = spark.read.schema(f"{kinds}, owner string").parquet(path)

@@ -81,3 +81,9 @@ def test_registry_rows_have_ages(spark):
     sources = spark.createDataFrame([("a",), ("b",), ("c",)], "source string")
     got = {r.source: (r.reachable, r.devices, r.stale_s, r.uptime_s, r.devices_age_s) for r in tables.registry_list(table, sources, 12 * S).collect()}
     assert got == {"a": (True, [1, 2], 2.0, 8.0, 4.0), "b": (False, None, 3.0, None, None), "c": (False, [], None, None, 2.0)}
+
+
+def test_an_empty_log(spark, tmp_path):
+    empty = spark.createDataFrame([], "source string, seq long, ts_us long, message string")
+    got = {r.table: (r.read, r.added) for r in backfill.backfill(empty, str(tmp_path)).collect()}
+    assert got == {"lines": (0, None), "requests": (0, 0), "events": (0, 0), "cache_samples": (0, 0)}

@@ -1,8 +1,8 @@
 """WARC derivatives: from response records, a metadata record and a plain-text conversion record each.
 
 Derivatives name their source in WARC-Refers-To, carry its target URI, date and HTTP headers, and its payload digest; their
-blocks have digests of their own. Records are rows, and only Spark's own functions and one that decodes entities work on them; read_warc() and
-serialised() translate from and to the file format.
+blocks have digests of their own. Records are rows, and Spark's own functions work on them, but for one that makes a page's text, title and number of links, in time
+that grows as the page does, whatever its markup; read_warc() and serialised() translate from and to the file format.
 
 A null payload is an empty one, null URIs and headers are empty strings in the records; a null page_id stays null. Ids follow from the
 contents, so that reruns agree; equal responses at one URI and date have equal ids, and rows that repeat have their derivatives each.
@@ -19,11 +19,15 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 EOL = "\r\n"
-UNSHOWN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<title\b.*?</title\s*>|<template\b.*?</template\s*>"
-BREAKS = r"(?i)</?(?:p|div|h[1-6]|ul|ol|li|table|tr|br|hr|article|section|nav|header|footer|aside|main|blockquote|pre|body|html)\b[^>]*>"
+#: Elements that a page does not show, with comments; what ends each.
+UNSHOWN = re.compile(r"<(?:!--|(?:script|style|head|title|template)\b)", re.I | re.A)
+ENDS = {"<!--": re.compile("-->")} | {f"<{x}": re.compile(rf"</{x}\s*>", re.I | re.A) for x in ("script", "style", "head", "title", "template")}
+BLANKS = re.compile(r" [\t\n\x0B\f\r ]+|[\t\n\x0B\f\r][\t\n\x0B\f\r ]*")
+BREAKS = re.compile(r"</?(?:p|div|h[1-6]|ul|ol|li|table|tr|br|hr|article|section|nav|header|footer|aside|main|blockquote|pre|body|html)\b[^>]*>", re.I | re.A)
+TAG, TITLE, TITLE_END, ANCHOR, HREF = re.compile("<[^>]*>"), *[re.compile(x, re.I | re.A) for x in ("<title", "</title", r"<a\s", "href")]
 NO_BREAK = re.compile(r"&(?:nbsp;?|#0*160;|#[xX]0*[aA]0;)")
 CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([A-Za-z0-9._:-]+)", re.I)
 MADE = ("warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length", "block_digest", "source_digest", "block")
@@ -40,18 +44,56 @@ def digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block.cast("binary"), 256))
 
 
-@F.pandas_udf(StringType())
-def decoded(text: pd.Series) -> pd.Series:
-    """All named and numeric entities as characters, no-break ones as blanks."""
-    return text.map(lambda x: html.unescape(NO_BREAK.sub(" ", x)) if x and "&" in x else x)
+def _shown(markup: str) -> str:
+    """markup with a blank for each element that is not shown; one that never ends stays. An end that was sought in vain is not sought again."""
+    out, at, start, unended = [], 0, 0, set()
+    while found := UNSHOWN.search(markup, at):
+        at, kind = found.end(), found[0].lower()
+        end = None if kind in unended else ENDS[kind].search(markup, at)
+        if end:
+            out += (markup[start : found.start()], " ")
+            at = start = end.end()
+        else:
+            unended.add(kind)
+    return "".join([*out, markup[start:]])
+
+
+def text_of_markup(markup: str) -> str:
+    """Text of a page without tags: blocks on lines of their own, blanks collapsed, entities as characters, no-break ones as blanks.
+
+    In time that grows as the length does: behind the last > there is no tag, and before it each < finds its >.
+    """
+    t = BLANKS.sub(" ", _shown(markup))
+    cut = t.rfind(">") + 1
+    t = TAG.sub("", BREAKS.sub("\n", t[:cut])) + t[cut:]
+    if "&" in t:
+        t = html.unescape(NO_BREAK.sub(" ", t))
+    return "\n".join(filter(None, (line.strip(" ") for line in t.split("\n"))))
+
+
+def title_of(markup: str) -> str:
+    """What stands in the first title, entities as they are."""
+    start = TITLE.search(markup)
+    at = markup.find(">", start.end()) + 1 if start else 0
+    end = TITLE_END.search(markup, at) if at else None
+    return markup[at : end.start()].strip(" ") if end else ""
+
+
+def links_of(markup: str) -> int:
+    """Number of anchors with an address."""
+    n, at = 0, 0
+    while found := ANCHOR.search(markup, at):
+        at = markup.find(">", found.end())
+        at = at if at >= 0 else len(markup)
+        n += HREF.search(markup, found.end(), at) is not None
+    return n
 
 
-def plain_text(markup: Column) -> Column:
-    """Text of a page without tags: blocks on lines of their own, blanks collapsed."""
-    t = F.regexp_replace(markup, F.lit(UNSHOWN), F.lit(" "))
-    t = F.regexp_replace(F.regexp_replace(t, F.lit(r"[\t\n\x0B\f\r ]+"), F.lit(" ")), F.lit(BREAKS), F.lit("\n"))
-    t = F.regexp_replace(t, F.lit(r"<[^>]*>"), F.lit(""))
-    return F.trim(F.regexp_replace(F.regexp_replace(decoded(t), F.lit(" *\n[ \n]*"), F.lit("\n")), F.lit("^\n+|\n+$"), F.lit("")))
+@F.pandas_udf(StructType().add("text", StringType()).add("title", StringType()).add("links", IntegerType()))
+def rendered(markup: pd.Series) -> pd.DataFrame:
+    """Text, title and number of links of pages."""
+    pages = markup.tolist()
+    return pd.DataFrame({"text": [text_of_markup(x) for x in pages], "title": [title_of(x) for x in pages], "links": [links_of(x) for x in pages]})
 
 
 def responses_from_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -79,13 +121,13 @@ def derivatives(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         raise ValueError(f"derivatives have columns of these names: {sorted(clash)}")
     own = [c for c in ("body", "payload_digest", "warc_block_digest") if c in responses.columns]
     responses = responses.select("*", *[F.col(c).alias(f"__{c}") for c in own])
-    text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("record_id", "target_uri", "warc_date", "http_headers", "payload")}
+    strings = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("record_id", "target_uri", "warc_date", "http_headers", "payload")}
     held = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None)
-    r = responses.select(held.alias("__kept"), *[v.alias(c) for c, v in text.items()], *[f"__{c}" for c in own])
+    r = responses.select(held.alias("__kept"), *[v.alias(c) for c, v in strings.items()], *[f"__{c}" for c in own])
     body = F.coalesce("__body", F.col("payload").cast("binary")) if "body" in own else F.col("payload")
     stated = [F.col(f"__{c}").alias(name) for c, name in (("payload_digest", "stated_payload_digest"), ("warc_block_digest", "stated_block_digest")) if c in own]
-    r = r.withColumn("source_digest", digest(body)).withColumn("text", plain_text(F.col("payload")))
-    title = F.trim(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1))
+    r = r.withColumn("source_digest", digest(body)).withColumn("page", rendered("payload"))
+    text = F.col("page.text")
     found = F.to_json(
         F.struct(
             F.col("record_id").alias("refers_to"),
@@ -93,15 +135,15 @@ def derivatives(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             F.col("source_digest").alias("payload_digest"),
             F.octet_length(body).alias("payload_length"),
             F.col("http_headers"),
-            title.alias("title"),
-            F.regexp_count("payload", F.lit(r"(?i)<a\s[^>]*href")).alias("links"),
-            F.octet_length("text").alias("text_length"),
+            F.col("page.title").alias("title"),
+            F.col("page.links").alias("links"),
+            F.octet_length(text).alias("text_length"),
             *stated,
         )
     )
     both = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/json").alias("content_type"), found.alias("block")),
-        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")),
+        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), text.alias("block")),
     )
     d = r.withColumn("d", F.explode(both)).select("__kept", "d.*", F.col("record_id").alias("refers_to"), "target_uri", "warc_date", "source_digest")
     return d.select(

@@ -3,6 +3,9 @@
 import gzip
 import hashlib
 import json
+import random
+import re
+import time
 
 import pytest
 
@@ -46,3 +49,38 @@ def test_nulls_repeats_and_clashing_names(spark):
     assert warc.derivatives(warc.responses_from_pages(empty)).count() == 0
     with pytest.raises(ValueError):
         warc.derivatives(responses.withColumn("block", responses["d"]), keep=("block",))
+
+
+UNSHOWN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<title\b.*?</title\s*>|<template\b.*?</template\s*>"
+
+
+def by_patterns(markup):
+    """Text, title and links by plain patterns, which may take quadratic time."""
+    t = re.sub(r"[\t\n\x0B\f\r ]+", " ", re.sub(UNSHOWN, " ", markup, flags=re.A))
+    t = re.sub(warc.BREAKS.pattern, "\n", t, flags=re.I | re.A)
+    t = warc.html.unescape(warc.NO_BREAK.sub(" ", re.sub("<[^>]*>", "", t)))
+    title = re.search(r"(?is)<title[^>]*>(.*?)</title", markup)
+    return re.sub("^\n+|\n+$", "", re.sub(" *\n[ \n]*", "\n", t)).strip(" "), title[1].strip(" ") if title else "", len(re.findall(r"(?i)<a\s[^>]*href", markup, re.A))
+
+
+def test_text_as_by_plain_patterns():
+    pieces = ["<!--", "-->", "<script", "<SCRIPT x>", "</script >", "</script", "<style>", "</style>", "<head>", "<header>", "</head\n>", "<title", "<titles>", "</title>", "<template>", "</template>"]
+    pieces += ["<", ">", "<p", "<br/>", "</div>", "<b>", "a", "b c", " ", "\n", "\t ", "&nbsp;", "&lt;", "&#10;", "<a ", "<A\nhref=x>", "href", "HREF>", "\u0130", "\u212a", "-", "!"]
+    draw = random.Random(5)
+    for _ in range(20000):
+        page = "".join(draw.choices(pieces, k=draw.randrange(25)))
+        assert (warc.text_of_markup(page), warc.title_of(page), warc.links_of(page)) == by_patterns(page), page
+
+
+@pytest.mark.parametrize("piece", ["<!--", "<script ", "<", "<p ", "<title", "<title>", "<a ", "<a href ", "</script", "&nbsp;", " \n", "<!-- --", "<head><title>", "</title ", "<style></style", "&"])
+def test_bad_markup_takes_linear_time(piece):
+    page = piece * ((1 << 20) // len(piece))
+    began = time.process_time()
+    warc.text_of_markup(page), warc.title_of(page), warc.links_of(page)
+    assert time.process_time() - began < 2
+
+
+def test_page_over_a_million_characters(spark):
+    page = "<p>word</p>" * 150000 + "<!--" * 10000
+    rows = warc.derivatives(warc.responses_from_pages(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"))).collect()
+    assert {r.block for r in rows if r.warc_type == "conversion"} == {"\n".join(["word"] * 150000) + "\n" + "<!--" * 10000}

@@ -10,24 +10,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import SECOND, bucket_us, hist_percentile
+from . import ordered
 
 
-def counter_deltas(scrapes: DataFrame, counters: list[str], started: str | None = None) -> DataFrame:
+def counter_deltas(scrapes: DataFrame, counters: list[str], started: str | None = None, part: int = ordered.PART) -> DataFrame:
     """Wide scrapes (source, ts_us, n, ...) with d_<counter> and seconds since the scrape before; null at restarts and at the first.
 
     A restart of any counter clears the differences of all; so does another value in started, a column of start times or run numbers,
-    than the last one known.
+    than the last one known. n is a whole number, unique in a source; rows are read in parts of n, each with the scrape before it.
     """
-    w = Window.partitionBy("source").orderBy("n")
-    before = {c: F.lag(c).over(w) for c in counters}
+    prior = {"__prior": ("max", F.struct("n", "ts_us", *[F.col(c).alias(f"c{i}") for i, c in enumerate(counters)]), False)}
+    if started is not None:
+        prior["__known"] = ("max", F.when(F.col(started).isNotNull(), F.struct("n", F.col(started).alias("of"))), False)
+    before = {c: F.col(f"__prior.c{i}") for i, c in enumerate(counters)}
     fell = F.lit(False)
     for c in counters:
         fell = fell | F.coalesce(F.col(c) < before[c], F.lit(False))
     if started is not None:
-        known = F.last(started, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        fell = fell | F.coalesce(F.col(started) != known, F.lit(False))
-    d = scrapes.withColumn("restart", fell).withColumn("seconds", (F.col("ts_us") - F.lag("ts_us").over(w)) / SECOND)
-    return d.select("*", *[F.when(~F.col("restart"), F.col(c) - before[c]).alias(f"d_{c}") for c in counters])
+        fell = fell | F.coalesce(F.col(started) != F.col("__known.of"), F.lit(False))
+    d = ordered.running(scrapes, prior, order="n", part=part)
+    d = d.withColumn("restart", fell).withColumn("seconds", (F.col("ts_us") - F.col("__prior.ts_us")) / SECOND)
+    return d.select(*scrapes.columns, "restart", "seconds", *[F.when(~F.col("restart"), F.col(c) - before[c]).alias(f"d_{c}") for c in counters])
 
 
 def histogram_deltas(scrapes: DataFrame, cumulative: list[str], started: str | None = None) -> DataFrame:

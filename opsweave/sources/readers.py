@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import SECOND
-from ..operators import ordered
+from ..operators import ordered, shared
 
 #: Fixed value: media type of the layer that holds a model's weights.
 MODEL_LAYER = "application/vnd.ollama.image.model"
@@ -134,22 +134,23 @@ def with_clock(lines: DataFrame, default_offset_s: int = 0) -> DataFrame:
     return d.withColumn("clock_us", F.coalesce(iso_us(own), naive))
 
 
-def banner_clock(lines: DataFrame) -> DataFrame:
+def banner_clock(lines: DataFrame, part: int = ordered.PART) -> DataFrame:
     """lines (source, seq, message) of a log whose lines have a time but no date, with ts_us.
 
-    The date comes from the last banner; a clock that falls by over half a day has passed midnight.
+    The date comes from the last banner; a clock that falls by over half a day has passed midnight. Banners, the clock before a line and
+    midnights run in parts of seq, however long a log runs under one banner.
     """
     m = F.col("message")
-    w = Window.partitionBy("source").orderBy("seq")
     date = F.nullif(F.regexp_extract(m, r"^==\s*\S+ logs\s+(\d{4}-\d{1,2}-\d{1,2})", 1), F.lit(""))
     clock = F.nullif(F.regexp_extract(m, r"^(\d\d:\d\d:\d\d(?:\.\d+)?)\s", 1), F.lit(""))
     parts = F.split(clock, ":")
     day_us = ((F.get(parts, F.lit(0)).cast("long") * 3600 + F.get(parts, F.lit(1)).cast("long") * 60) * SECOND + F.round(F.get(parts, F.lit(2)).cast("double") * SECOND)).cast("long")
-    d = lines.withColumn("__banner", F.count(date).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__day", day_us)
-    d = d.withColumn("__date", F.last(date, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    own = Window.partitionBy("source", "__banner").orderBy("seq")
-    before = F.last("__day", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    wrapped = F.coalesce((F.col("__day") - before < -43_200 * SECOND).cast("int"), F.lit(0))
-    d = d.withColumn("__wrap", wrapped).withColumn("__days", F.sum("__wrap").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    start = F.unix_micros(F.to_timestamp("__date", "yyyy-M-d"))
-    return d.withColumn("ts_us", start + F.col("__days") * 86_400 * SECOND + F.col("__day")).drop("__banner", "__day", "__date", "__wrap", "__days")
+    d = lines.withColumns({"__day": day_us, "__on": date})
+    last = lambda c: F.when(F.col(c).isNotNull(), F.struct("seq", c))
+    d = ordered.running(d, {"__banner": ("max", last("__on"), True), "__before": ("max", last("__day"), False)}, part=part)
+    same = F.col("__banner").isNull() | (F.col("__before.seq") > F.col("__banner.seq"))
+    wrapped = F.coalesce((same & (F.col("__day") - F.col("__before.__day") < -43_200 * SECOND)).cast("int"), F.lit(0))
+    d = shared.written(d.withColumns({"__wrap": wrapped, "__under": F.to_json(F.struct("source", "__banner.seq"))}))
+    d = ordered.running(d, {"__days": ("sum", F.col("__wrap"), True)}, key="__under", part=part)
+    start = F.unix_micros(F.to_timestamp("__banner.__on", "yyyy-M-d"))
+    return d.select(*lines.columns, (start + F.col("__days") * 86_400 * SECOND + F.col("__day")).alias("ts_us"))

@@ -71,6 +71,17 @@ def scratch(spark: SparkSession):
             _scopes[-1].extend(kept)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of one's own: those given, with more underscores before them where df has such a column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def spread(df: DataFrame, *key: str) -> DataFrame:
     """Deal rows out by key over as many partitions as shuffles have."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)

@@ -15,16 +15,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch
+from .common import materialise, scratch, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Parts into which a cell's documents are dealt to choose those with an extra copy: no cell is sorted in one task.
 PARTS = 256
-#: Newton steps between two looks at the remaining error, and looks at most.
+#: Newton steps between two looks at the remaining error, and looks at most: multipliers() raises beyond.
 STEPS, LOOKS = 4, 15
 TOLERANCE = 1e-9
 #: Rounds of the last correction.
 CORRECTIONS = 8
+#: Columns of a mix, and those it works with.
+MADE = {"doc_id", "source", "size", "source_size", "target", "copies", "taken", "t", "h", "part", "s", "base", "quota"}
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
@@ -73,6 +75,10 @@ def multipliers(cells: DataFrame, targets: DataFrame, most: float) -> DataFrame:
         worst = state.agg(F.max("off")).first()[0]
         if worst is None or worst < TOLERANCE:
             break
+    else:
+        wide = F.col("lo").isNull() | F.col("hi").isNull() | (F.col("hi") - F.col("lo") > 1e-9)  # less does not show in what is returned
+        if not state.where((F.col("off") >= TOLERANCE) & wide).isEmpty():
+            raise RuntimeError(f"multipliers not found in {LOOKS * STEPS} steps")
     # Rounded so that the order in which sums were taken does not show.
     return state.select("s", F.round("lam", 8).alias("lam"))
 
@@ -99,8 +105,11 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     """doc_id, source, size, source_size, target, copies, taken, and the columns in keep: a row for each row of docs.
 
     size counts words; targets share all sizes among the sources by weights; taken is copies * size. Rows are decided on one by
-    one: those that repeat a doc_id, or have none, count like others.
+    one: those that repeat a doc_id, or have none, count like others. keep may not name any of the other columns, nor those this
+    works with (t, h, part, s, base, quota).
     """
+    if clash := {c.lower() for c in keep} & MADE:
+        raise ValueError(f"a mix has columns of these names: {sorted(clash)}")
     d = docs.select(
         *keep,
         F.col(doc_id).cast("long").alias("doc_id"),
@@ -131,6 +140,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
     """docs with each row repeated as often as the mix takes it (left out at 0 copies), in the same columns."""
-    known = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    copies = mixed(known, weights=weights, most=most, keep=("__row",)).where("copies > 0").select("__row", F.col("copies").cast("int").alias("__copies"))
-    return known.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    row, times, copy = unused(docs, "__row", "__copies", "__copy")
+    known = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    copies = mixed(known, weights=weights, most=most, keep=(row,)).where("copies > 0").select(row, F.col("copies").cast("int").alias(times))
+    return known.join(copies, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

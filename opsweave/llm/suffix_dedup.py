@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, kept_id, materialise, mix, packed, powers, prefix_hash, scratch, slice_digests, slice_hash, spread, unpacked, word_spans
+from .common import U64, kept_id, materialise, mix, packed, powers, prefix_hash, scratch, slice_digests, slice_hash, spread, unpacked, unused, word_spans
 
 _LOCAL = 20
 #: Dictionary entries of one core that are sorted in one place; more are dealt out.
@@ -307,9 +307,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, unit:
     unit bytes: as removal_digests(), but a character of which a byte stays is kept. unit words: passages of length words
     or more that also stand elsewhere go, from their first word to their last. Null texts stay null.
     """
-    known = materialise(docs.withColumns({"__row": F.monotonically_increasing_id(), "__packed": packed(F.col(text))}), "rows")
-    texts = known.select(F.col("__row").alias("row"), F.col("__packed").alias("packed"))
-    spans = repeated_spans(texts, length, unit).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
+    row, bytes_, cuts = unused(docs, "__row", "__packed", "__spans")
+    known = materialise(docs.withColumns({row: F.monotonically_increasing_id(), bytes_: packed(F.col(text))}), "rows")
+    texts = known.select(F.col(row).alias("row"), F.col(bytes_).alias("packed"))
+    spans = repeated_spans(texts, length, unit).select(F.col("row").alias(row), F.col("spans").alias(cuts))
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -324,4 +325,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, unit:
 
         return pd.Series([one(t, s) for t, s in zip(texts.tolist(), spans.tolist(), strict=True)], dtype=object)
 
-    return known.drop("__packed").join(spans, "__row", "left").withColumn(text, kept(F.col(text), F.col("__spans"))).select(*docs.columns)
+    return known.drop(bytes_).join(spans, row, "left").withColumn(text, kept(F.col(text), F.col(cuts))).select(*docs.columns)

@@ -280,6 +280,27 @@ def test_mixing_meets_targets(spark, rows):
     assert copies.columns == table(spark, []).columns and copies.count() == sum(r.copies for r in got)
 
 
+def test_columns_of_any_name_come_out_as_they_went_in(spark, rows):
+    own = {"__row": "r", "__packed": "p", "__spans": "s", "__COPIES": "c", "__copy": "d", "size": "z", "row": "o", "part": "q"}
+    docs = table(spark, rows)
+    docs = docs.withColumns({c: mixing.F.concat(mixing.F.lit(v), docs["doc_id"].cast("string")) for c, v in own.items()})
+    for out in (mixing.mix_documents(docs), suffix_dedup.remove_repeats(docs), suffix_dedup.remove_repeats(docs, length=50, unit="words")):
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[c] == (None if r.doc_id is None else f"{v}{r.doc_id}") for r in got for c, v in own.items())
+    with pytest.raises(ValueError):
+        mixing.mixed(docs, keep=("size",))
+
+
+def test_multipliers_that_are_not_found_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LOOKS", 1)
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    cells = spark.createDataFrame([(1, s, 5, s / 20) for s in range(1, 60)], "s int, size long, n long, u double")
+    targets = spark.createDataFrame([(1, 100, sum(5 * s for s in range(1, 60)), 5000.0)], "s int, docs long, source_size long, target double")
+    with pytest.raises(RuntimeError):
+        mixing.multipliers(cells, targets, 3)
+
+
 def test_mixing_rates_are_tilted_exponentially(spark):
     cells = spark.createDataFrame([(1, s, 5, s / 20) for s in range(1, 60)], "s int, size long, n long, u double")
     targets = spark.createDataFrame([(1, 100, sum(5 * s for s in range(1, 60)), 5000.0)], "s int, docs long, source_size long, target double")

@@ -153,4 +153,4 @@ def banner_clock(lines: DataFrame, part: int = ordered.PART) -> DataFrame:
     d = shared.written(d.withColumns({"__wrap": wrapped, "__under": F.to_json(F.struct("source", "__banner.seq"))}))
     d = ordered.running(d, {"__days": ("sum", F.col("__wrap"), True)}, key="__under", part=part)
     start = F.unix_micros(F.to_timestamp("__banner.__on", "yyyy-M-d"))
-    return d.select(*lines.columns, (start + F.col("__days") * 86_400 * SECOND + F.col("__day")).alias("ts_us"))
+    return d.select(*[c for c in lines.columns if c != "ts_us"], (start + F.col("__days") * 86_400 * SECOND + F.col("__day")).alias("ts_us"))

@@ -92,7 +92,7 @@ query("s8_manifests", "select concat('sha256:', cast(id as varchar)) as digest,
 # A banner before each source's lines; a clock that passes midnight each day of the lines.
 query("t5_banner_clock", "select source, seq, 1704067200000000 + (seq - 1)*7000000000 as ts_us from {logged}")(
     lambda t: readers.banner_clock(
-        t("logged").selectExpr("source", "inline(case when seq = 1 then array(struct(cast(0 as bigint) as seq, '== server logs 2024-01-01 ==' as message), struct(seq, '00:00:00.000 up' as message)) else array(struct(seq, concat(date_format(timestamp_seconds((seq - 1)*7000), 'HH:mm:ss'), '.000 x') as message)) end)")
+        t("logged").selectExpr("source", "inline(case when seq = 1 then array(struct(cast(0 as bigint) as seq, '== server logs 2024-01-01 ==' as message), struct(seq, '00:00:00.000 up' as message)) else array(struct(seq, concat(date_format(timestamp_seconds((cast(seq as bigint) - 1)*7000), 'HH:mm:ss'), '.000 x') as message)) end)")
     ).where("seq > 0").select("source", "seq", "ts_us")
 )
 #: Texts of windows, by k; their spans in seconds; what the span of k hours takes for a step and a grain.

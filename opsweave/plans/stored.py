@@ -30,8 +30,8 @@ def scan(t, reader, text: str) -> DataFrame:
 
 
 query("s1_journal", "select source, ts_us, case when k % 3 = 2 then concat('été ', cast(id as varchar)) else concat('line ', cast(id as varchar)) end as message from {requests} where k % 5 > 0")(
-    lambda t: readers.journal_scan(t("requests").sparkSession, filed(t("requests").selectExpr("source", "id", """case when k % 5 = 0 then '{"MESSAGE":"no time"}' when k % 3 = 2 then concat('{"__REALTIME_TIMESTAMP":"', ts_us, '","MESSAGE":[', concat_ws(',', transform(sequence(1, length(hex(encode(concat('été ', id), 'utf-8'))) div 2), i -> conv(substring(hex(encode(concat('été ', id), 'utf-8')), 2*i - 1, 2), 16, 10))), '],"S":"', source, '"}')
-   else concat('{"__REALTIME_TIMESTAMP":"', ts_us, '","MESSAGE":"line ', id, '"}') end as value"""), "id")).join(t("requests").select("source", "ts_us"), "ts_us").select("source", "ts_us", "message")
+    lambda t: scan(t, readers.journal_scan, """case when k % 5 = 0 then '{"MESSAGE":"no time"}' when k % 3 = 2 then concat('{"__REALTIME_TIMESTAMP":"', ts_us, '","MESSAGE":[', concat_ws(',', transform(sequence(1, length(hex(encode(concat('été ', id), 'utf-8'))) div 2), i -> conv(substring(hex(encode(concat('été ', id), 'utf-8')), 2*i - 1, 2), 16, 10))), '],"S":"', source, '"}')
+   else concat('{"__REALTIME_TIMESTAMP":"', ts_us, '","MESSAGE":"line ', id, '"}') end""").select("source", "ts_us", "message")
 )
 query("s2_log_lines", "select source, seq, concat('line ', cast(id as varchar)) as message from {logged} where k % 10 > 0")(
     lambda t: scan(t, readers.log_scan, "case when k % 10 = 0 then '' else concat('line ', id) end").select("source", "seq", "message")

@@ -27,13 +27,13 @@ def _sequence(lines: DataFrame, chained: bool = False) -> DataFrame:
 
 
 def journal_scan(spark: SparkSession, path: str) -> DataFrame:
-    """ts_us, message of journal JSON: times in microseconds; messages are text or byte arrays; other rows are skipped."""
-    raw = spark.read.text(path).select(F.col("value"))
+    """file, ts_us, message of journal JSON: times in microseconds; messages are text or byte arrays; other rows are skipped."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     text = F.from_json("value", "__REALTIME_TIMESTAMP string, MESSAGE string")
     bytes_ = F.from_json("value", "MESSAGE array<int>")["MESSAGE"]
     joined = F.unhex(F.array_join(F.transform(bytes_, lambda b: F.lpad(F.hex(F.pmod(b, F.lit(256))), 2, "0")), ""))
     message = F.when(bytes_.isNotNull(), F.try_validate_utf8(F.decode(joined, "utf-8"))).otherwise(text["MESSAGE"])
-    out = raw.select(text["__REALTIME_TIMESTAMP"].try_cast("long").alias("ts_us"), message.alias("message"))
+    out = raw.select("file", text["__REALTIME_TIMESTAMP"].try_cast("long").alias("ts_us"), message.alias("message"))
     return out.where("ts_us is not null and message is not null")
 
 

@@ -29,6 +29,13 @@ def answers(spark, folder, name, given):
     return sorted(rows, key=repr), sorted(want.fetchall(), key=repr)
 
 
+def test_journal_lines_of_one_time(spark, tmp_path):
+    """Two lines of one time, of two sources."""
+    folder = tables(spark, tmp_path, [(i, 5_000_000, i, "click", 1.5, 1 + i) for i in range(4)])
+    got, want = answers(spark, folder, "s1_journal", ["events"])
+    assert got == want and len(got) == 4
+
+
 def test_a_log_of_many_days_under_one_banner(spark, tmp_path):
     """Seconds since the banner pass 2**31."""
     n = 307_000

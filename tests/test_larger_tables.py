@@ -41,3 +41,12 @@ def test_a_log_of_many_days_under_one_banner(spark, tmp_path):
     n = 307_000
     folder = tables(spark, tmp_path, spark.range(n).selectExpr("id as event_id", "id * 1000000 as us", "cast(4 as bigint) as user_id", "'click' as event_type", "cast(1 as double) as value", "id % 100 as k"))
     assert catalog.QUERIES["t5_banner_clock"](spark, folder).where(f"ts_us = {catalog.FIRST} + (cast(seq as bigint) - 1)*7000000000").count() == n
+
+
+def test_readings_of_one_time_and_one_order(spark, tmp_path):
+    """The latest of equal readings is the hottest, in whatever order they come."""
+    rows = [(7, 1, float(q), 10.0 * q, 0.01, "A", "1996-01-05") for q in (3, 9, 4)]
+    for i, order in enumerate((rows, rows[::-1])):
+        folder = tables(spark, tmp_path / str(i), lineitem=order)
+        got, want = answers(spark, folder, "w11_host_devices", ["lineitem"])
+        assert got == want and 39.0 in [r[-1] for r in got]

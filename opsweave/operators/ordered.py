@@ -143,8 +143,12 @@ def scan(df: DataFrame, rule: Rule, columns: list[Column], name: str, start: int
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def laid(t: DataFrame, *by: str) -> DataFrame:
-        """Rows of a group in one partition, in order, group after group."""
-        return t.repartition(tasks, *by).sortWithinPartitions(*by, *([order] if order in t.columns else ["__part"]))
+        """Rows of a group in one partition, in order, group after group.
+
+        A hash of the columns places them: an exchange by the columns themselves is left out where a join below has made the same one,
+        and when that join becomes a broadcast at run time, its shuffle is read by mapper, and groups come apart.
+        """
+        return t.repartition(tasks, F.xxhash64(*by)).sortWithinPartitions(*by, *([order] if order in t.columns else ["__part"]))
 
     def lists(batch: pa.RecordBatch, *names: str) -> list[list]:
         return [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names]

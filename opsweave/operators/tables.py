@@ -114,6 +114,11 @@ def with_day(df: DataFrame, ts: str = "ts_us") -> DataFrame:
     return df.withColumn("dt", F.to_date(F.timestamp_micros(F.col(ts))))
 
 
+def _by_day(df: DataFrame) -> DataFrame:
+    """df as it is written: the rows of a day lie together, so that there is a file for a day, not one for each task and day; a day that is large is parted again."""
+    return df.hint("rebalance", "dt")
+
+
 def append_first_wins(new: DataFrame, path: str, keys: tuple[str, ...], order: str) -> int:
     """Append what a table on Parquet doesn't have yet; running it again adds nothing. Returns the rows added."""
     spark, n = new.sparkSession, with_day(new, "ts_us")
@@ -124,7 +129,7 @@ def append_first_wins(new: DataFrame, path: str, keys: tuple[str, ...], order: s
     rows = first_wins(n, target, keys, order).persist()
     count = rows.count()
     if count:
-        rows.write.mode("append").partitionBy("dt").parquet(path)
+        _by_day(rows).write.mode("append").partitionBy("dt").parquet(path)
     rows.unpersist()
     return count
 
@@ -143,7 +148,7 @@ def upsert_last_wins(new: DataFrame, path: str, keys: tuple[str, ...], order: st
         beside = f"{path.rstrip('/')}__new_{uuid.uuid4().hex}"
         n = _detached(n, beside)
         left = {r[0] for r in n.select("dt").distinct().collect()}
-    n.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
+    _by_day(n).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
     if beside is not None:
         _drop_partition(spark, beside)
     # A day that has lost its last row isn't written; a run that stops before this is made good by the next upsert of the key.

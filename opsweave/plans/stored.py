@@ -15,10 +15,10 @@ from .fixtures import VIEWS
 VIEWS["logged"] = "select source, ts_us, id, k, value, row_number() over (partition by source order by id) as seq from {requests}"
 
 
-def filed(df: DataFrame, order: str, **options: str) -> str:
-    """The folder of df (source, value): a text file for each source, its lines by order."""
+def filed(df: DataFrame, order: str, apart: str | None = None, **options: str) -> str:
+    """The folder of df (source, value): a text file for each source, its lines by order; where a column is to set them apart, several files, each in order."""
     folder = shared.folder(df.sparkSession, "files")
-    df.repartition("source").sortWithinPartitions("source", order).select("source", "value").write.options(**options).partitionBy("source").text(folder)
+    df.repartition("source", *([apart] if apart else [])).sortWithinPartitions("source", order).select("source", "value").write.options(**options).partitionBy("source").text(folder)
     return folder
 
 
@@ -84,7 +84,7 @@ def polled(t) -> DataFrame:
 query("s5_scrape_files", "select source, ts_us // 86400000000 * 86400000000 as ts_us, 'x' as name, k, cast(id as double) as value from {requests}")(scraped)
 query("s6_poll_files", "select source, ts_us // 86400000000 * 86400000000 as ts_us, case count(*) % 3 when 0 then 'generating' when 1 then 'reading' else 'idle' end as state, cast(max(k) + 1.0 as double) as queued from {requests} group by 1, 2")(polled)
 query("s7_device_lines", "select gpu_index, cast(util_pct as double) as util_pct, cast(temp_c as double) as temp_c, count(*) as n from (select l_linenumber as gpu_index, l_quantity as util_pct, case when l_returnflag = 'N' then null else 30 + l_quantity end as temp_c from {lineitem}) x group by 1, 2, 3")(
-    lambda t: readers.device_scan(t("lineitem").sparkSession, filed(t("lineitem").selectExpr("concat('s', l_linenumber) as source", "l_orderkey", "concat(l_linenumber, ', ', l_quantity, ', 100, 200, ', case when l_returnflag = 'N' then '[N/A]' else cast(30 + l_quantity as string) end, ', 5.5, [N/A]') as value"), "l_orderkey")).groupBy("gpu_index", "util_pct", "temp_c").agg(F.count("*").alias("n"))
+    lambda t: readers.device_scan(t("lineitem").sparkSession, filed(t("lineitem").selectExpr("concat('s', l_linenumber) as source", "l_orderkey", "concat(l_linenumber, ', ', l_quantity, ', 100, 200, ', case when l_returnflag = 'N' then '[N/A]' else cast(30 + l_quantity as string) end, ', 5.5, [N/A]') as value"), "l_orderkey", "l_orderkey")).groupBy("gpu_index", "util_pct", "temp_c").agg(F.count("*").alias("n"))
 )
 query("s8_manifests", "select concat('sha256:', cast(id as varchar)) as digest, concat(case when k % 2 = 0 then '' else 'own/' end, source, ':', cast(k as varchar), 'b') as model from {requests}")(
     lambda t: readers.manifests_of(t("requests").selectExpr(f"concat('{{\"layers\":[{{\"mediaType\":\"x\",\"digest\":\"no\"}},{{\"mediaType\":\"{readers.MODEL_LAYER}\",\"digest\":\"sha256:', id, '\"}}]}}') as value", "concat('/m/reg/', case when k % 2 = 0 then 'library' else 'own' end, '/', source, '/', k, 'b') as file"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from opsweave.operators import parse
+from opsweave.operators import backfill, parse
 
 KINDS = "source string, seq long, ts_us long, message string"
 
@@ -30,3 +30,13 @@ def test_lines_that_hold_the_marks(spark):
 def test_names_that_come_twice(spark):
     lines = spark.createDataFrame([("a", 1, 1, 'time=x level=INFO source=s msg="odd" k=1 l=2 k="3 4"')], KINDS)
     assert list(parse.go_lines(lines).first().kv.items()) == [("l", "2"), ("k", "3 4")]
+
+
+def test_only_the_owners_asked_for_are_parsed(spark):
+    """All lines are counted; those of other owners are neither kept nor parsed."""
+    lines = spark.createDataFrame([("s", 1, 1, "slot f: id 0 | task 7 | processing task"), ("s", 2, 2, "[GIN] x"), ("s", 3, 3, "what")], "source string, seq long, ts_us long, message string")
+    records, n = backfill.parsed_log(lines, ("slot", "server"))
+    assert n == 3 and set(records) == {"slot", "server"}
+    assert [r.count() for r in records.values()] == [1, 0]
+    none, n = backfill.parsed_log(lines.where("seq = 3"), ("slot",))
+    assert n == 1 and none["slot"].count() == 0

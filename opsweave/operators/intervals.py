@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import SECOND, WORK, bucket_us, ratio
+from . import ordered, shared
 
 
 def overlap_segments(intervals: DataFrame, start: int, end: int, edge_s: int = 3600) -> DataFrame:
@@ -98,17 +99,28 @@ def concurrency_series(requests: DataFrame, start: int, end: int, step_s: int) -
     return filled(s.groupBy("bucket").agg((F.sum(part * F.col("level")) / step_s).alias("mean"), F.max("level").alias("peak")), start, end, step_s)
 
 
-def sole_clients(requests: DataFrame, samples: DataFrame, sample_s: int = 60) -> DataFrame:
-    """id, client: requests during which every sample time showed exactly one client, always the same; and at least one sample.
+def sole_clients(requests: DataFrame, samples: DataFrame) -> DataFrame:
+    """id, client: requests during which every sample time showed exactly one client, always the same; and samples, how many times: at least one.
 
-    An interval join made equal by time buckets: requests are dealt over the buckets they cover, samples lie in one.
+    Sample times are numbered, and each knows since when its client was the only one. The last time up to a request's end then tells whether
+    another client was there since its start, and only for those where none was, the last time before their start tells how many there were: no
+    request meets each sample within it.
     """
-    at = samples.groupBy("source", "ts_us").agg(F.min("client").alias("lo"), F.max("client").alias("hi")).withColumn("bucket", bucket_us(F.col("ts_us"), sample_s))
-    step = F.lit(sample_s * SECOND).cast("long")
-    r = requests.where("started_us <= ts_us").select("id", "source", F.col("started_us").alias("a"), F.col("ts_us").alias("b"))
-    r = r.withColumn("bucket", F.explode(F.sequence(bucket_us(F.col("a"), sample_s), bucket_us(F.col("b"), sample_s), step)))
-    met = r.join(at, ["source", "bucket"]).where("ts_us between a and b").groupBy("id").agg(F.min("lo").alias("client"), F.max("hi").alias("hi"), F.count("*").alias("samples"))
-    return met.where("client = hi").select("id", "client", "samples")
+    us, hour = F.col("ts_us"), 3600 * SECOND
+    at = shared.written(samples.where("ts_us is not null").groupBy("source", "ts_us").agg(F.min("client").alias("lo"), F.max("client").alias("hi")))
+    some = F.struct("ts_us", "lo", "hi")
+    at = shared.written(ordered.running(at, {"n": ("sum", F.lit(1), True), "prev": ("max", F.when(F.col("lo").isNotNull(), some), False)}, order="ts_us", part=hour))
+    kept = (F.col("lo") == F.col("hi")) & (F.col("prev.lo") == F.col("prev.hi")) & (F.col("lo") == F.col("prev.lo"))
+    begins = F.col("lo").isNotNull() & ~F.coalesce(kept, F.lit(False))
+    at = ordered.running(at, {"since": ("max", F.when(begins, F.struct("ts_us", F.col("prev.ts_us").alias("other_us"))), True)}, order="ts_us", part=hour)
+    last = F.when(F.col("lo").isNotNull(), some).otherwise(F.col("prev"))
+    at = shared.written(at.select("source", us.alias("at"), "n", last.alias("last"), F.col("since.other_us").alias("other_us")))
+    r = shared.written(requests.where("started_us <= ts_us").select("id", "source", F.col("started_us").alias("a"), us.alias("at")))
+    r = ordered.asof(r, at, F.struct("n", "last", "other_us"), "told", by="at", part=hour, levels=1)
+    alone = r.where("told.last.lo = told.last.hi and told.last.ts_us >= a and (told.other_us is null or told.other_us < a)")
+    alone = alone.select("id", "source", F.col("told.last.lo").alias("client"), F.col("told.n").alias("upto"), (F.col("a") - 1).alias("at"))
+    alone = ordered.asof(alone, at, F.col("n"), "before", by="at", part=hour, levels=1)
+    return alone.select("id", "client", (F.col("upto") - F.coalesce("before", F.lit(0))).alias("samples"))
 
 
 def by_connected_client(samples: DataFrame, start: int, end: int) -> DataFrame:

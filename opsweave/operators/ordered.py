@@ -44,14 +44,14 @@ def running(df: DataFrame, columns: dict[str, tuple[str, Column, bool]], key: st
     return reduce(lambda x, n: x.drop(f"__{n}", f"__own_{n}", f"__before_{n}"), columns, out).drop("__part")
 
 
-def asof(asks: DataFrame, marks: DataFrame, value: Column, name: str, key: str = "source", at: str = "at", by: str = "seq") -> DataFrame:
+def asof(asks: DataFrame, marks: DataFrame, value: Column, name: str, key: str = "source", at: str = "at", by: str = "seq", part: int = SPAN, levels: int = 2) -> DataFrame:
     """asks (key, at, ...) with name: the value of the last of marks (key, at, by), in order of (at, by), whose time is not after the ask's; null if none.
 
-    Times are whole numbers. Marks of one time become one before anything is ordered.
+    Times are whole numbers. Marks of one time become one before anything is ordered. part and levels are those of running().
     """
     last = marks.groupBy(key, at).agg(F.max(F.struct(F.col(at).alias("a"), F.col(by).alias("b"), value.alias("v"))).alias("__m"))
     points = last.unionByName(asks.select(key, at).distinct(), allowMissingColumns=True).groupBy(key, at).agg(F.max("__m").alias("__m"))
-    found = running(points, {"__last": ("max", F.col("__m"), True)}, key, at, SPAN, levels=2).select(key, at, F.col("__last.v").alias(name))
+    found = running(points, {"__last": ("max", F.col("__m"), True)}, key, at, part, levels).select(key, at, F.col("__last.v").alias(name))
     return asks.join(found, [key, at])
 
 

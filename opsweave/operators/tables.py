@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Keys by which tables take each row once; the first wins, or the last.
@@ -126,10 +126,12 @@ def append_first_wins(new: DataFrame, path: str, keys: tuple[str, ...], order: s
     if target is not None:
         days = [r[0] for r in n.select("dt").distinct().collect()]
         target = target.where(F.col("dt").isin(days))
-    # Rows are counted as they are written; a table without any is no table yet.
-    seen = Observation()
-    _by_day(first_wins(n, target, keys, order).observe(seen, F.count(F.lit(1)).alias("n"))).write.mode("append").partitionBy("dt").parquet(path)
-    return seen.get["n"]
+    rows = first_wins(n, target, keys, order).persist()
+    count = rows.count()
+    if count:
+        _by_day(rows).write.mode("append").partitionBy("dt").parquet(path)
+    rows.unpersist()
+    return count
 
 
 def upsert_last_wins(new: DataFrame, path: str, keys: tuple[str, ...], order: str) -> None:
